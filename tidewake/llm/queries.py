@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, token_files
+from pyspark.sql import functions as F
+
+from . import byte_bpe, packing, simhash, token_files, topk
 from .common import scratch_path
 
 
@@ -23,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -34,5 +40,21 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_files, op5_byte_bpe)}
-ORACLE: dict[str, str] = {}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op5_byte_bpe, op7_simhash)}
+ORACLE: dict[str, str] = {
+    "op2_topk": """
+with fit as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+  from fit q join fit c on c.vec_id <> q.vec_id and len(c.x) = len(q.x) where q.vec_id % 50 = 0),
+ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5""",
+}
