@@ -8,8 +8,8 @@ fingerprint is filed under its ten pairs of blocks and only fingerprints under
 one key are compared, exactly, by Hamming distance.
 
 A bucket need not give all its pairs: a search from one unvisited fingerprint
-to the next, over the bucket, yields a spanning forest of its links, which has
-the same components.  Buckets over ``BUCKET_ROWS`` are dealt by a salt into
+to the next, over the bucket, yields its components, and a link from each
+member to the least one keeps them.  Buckets over ``BUCKET_ROWS`` are dealt by a salt into
 parts, and each two parts meet in one task, so no task holds an unbounded
 bucket and no pair is missed.  Components of the links follow by alternating
 large-star and small-star rounds over tables in the shared folder.
@@ -78,29 +78,35 @@ def block_keys(fp):
     return F.array(*(F.lit(n << 40).bitwiseOR(F.shiftleft(bits[i].cast("long"), 13)).bitwiseOR(bits[j]) for n, (i, j) in enumerate(pairs)))
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
-    """Spanning links among ``a``, or between ``a`` and ``b``: breadth-first over what isn't visited yet."""
-    nodes = np.sort(a) if b is None else np.concatenate([np.sort(a), np.sort(b)])
-    side = np.zeros(len(nodes), bool) if b is None else np.arange(len(nodes)) >= len(a)
-    links: list[tuple[int, int]] = []
+def stars(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
+    """(member, least member) of each component among ``a``, or of the links between ``a`` and ``b``.
+
+    Breadth-first over what isn't visited yet: a dense bucket takes few steps.
+    """
+    nodes = a if b is None else np.concatenate([a, b])
+    side = None if b is None else np.arange(len(nodes)) >= len(a)
+    found: list[tuple[int, int]] = []
     todo = np.arange(len(nodes))
     while len(todo):
-        front, todo = [int(todo[0])], todo[1:]
-        while front and len(todo):
-            at = front.pop()
+        group, todo = [int(todo[0])], todo[1:]
+        for at in group:  # grows while it is walked
+            if not len(todo):
+                break
             near = np.bitwise_count((nodes[todo] ^ nodes[at]).view(np.uint64)) <= distance
-            if b is not None:
+            if side is not None:
                 near &= side[todo] != side[at]
             if near.any():
-                new = todo[near]
+                group += todo[near].tolist()
                 todo = todo[~near]
-                links += [(int(nodes[at]), int(nodes[x])) for x in new]
-                front += new.tolist()
-    return links
+        if len(group) > 1:
+            members = nodes[group]
+            root = int(members.min())
+            found += [(int(x), root) for x in members if x != root]
+    return found
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs within ``distance``; ``distinct`` has a column fp."""
+    """Links (u, v) with the components of all pairs within ``distance``; ``distinct`` has a column fp."""
     if distance > DISTANCE:
         raise ValueError(f"five blocks cover distances up to {DISTANCE}")
 
@@ -111,45 +117,45 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCK
             for i in range(b.num_rows):
                 x = np.asarray(left[i].values)
                 y = np.asarray(right[i].values) if right[i].is_valid else None
-                for u, v in forest(x, y, distance):
+                for u, v in stars(x, y, distance):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     filed = distinct.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp")
     sizes = filed.groupBy("key").count().filter("count > 1")
-    met = filed.join(sizes.hint("merge"), "key")
+    common = filed.join(sizes.filter(F.col("count") <= bucket_rows).hint("merge"), "key").groupBy("key").agg(F.collect_list("fp").alias("a"))
+    # Of a larger bucket, a row of part p goes to every cell (p, q) and (q, p).
     parts = F.ceil(F.col("count") / F.lit(bucket_rows)).cast("int")
-    # One part: the bucket itself.  More: row of part p goes to every task (p, q) and (q, p).
-    p = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j")))
-    dealt = met.withColumn("parts", parts).withColumn("p", p).select("key", "fp", "p", F.explode(cells).alias("cell"))
-    groups = dealt.groupBy("key", "cell").agg(
-        F.collect_list(F.when(F.col("p") == F.col("cell.i"), F.col("fp"))).alias("a"),
-        F.collect_list(F.when((F.col("p") == F.col("cell.j")) & (F.col("cell.i") != F.col("cell.j")), F.col("fp"))).alias("b"),
-        F.first("cell").alias("c"),
-    )
-    cut = groups.filter((F.size("a") + F.size("b")) > 1).select("a", F.when(F.col("c.i") != F.col("c.j"), F.col("b")).alias("b"))
-    return cut.mapInArrow(within, "u long, v long")
+    hot = filed.join(sizes.filter(F.col("count") > bucket_rows).hint("merge"), "key").withColumn("parts", parts)
+    dealt = hot.withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select("key", "fp", "p", F.explode(cells).alias("c"))
+    dealt = dealt.select("key", "fp", "p", "c.i", "c.j").repartition("key", "i", "j")
+    met = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("p") == F.col("i"), F.col("fp"))).alias("a"), F.collect_list(F.when(F.col("p") != F.col("i"), F.col("fp"))).alias("b"))
+    met = met.select("a", F.when(F.col("i") != F.col("j"), F.col("b")).alias("b"))
+    return common.select("a", F.lit(None).cast("array<long>").alias("b")).unionByName(met).mapInArrow(within, "u long, v long")
+
+
+def is_settled(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    open_ = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1")
+    return open_.limit(1).count() == 0
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` with the least node of each component, for the nodes of ``edges`` (u, v)."""
-    spark = edges.sparkSession
-    shared_dir(spark)
+    shared_dir(edges.sparkSession)
     now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = None
     for _ in range(max_rounds):
+        if is_settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = materialise(small, "links")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+        moved = large.join(low.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialise(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
