@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, simhash, token_files, topk
+from . import byte_bpe, packing, simhash, token_files, topk, urls
 from .common import scratch_path
 
 
@@ -40,12 +40,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op5_byte_bpe, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op5_byte_bpe, op6_urls, op7_simhash)}
 ORACLE: dict[str, str] = {
+    "op6_urls": urls.oracle(),
     "op2_topk": """
 with fit as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
