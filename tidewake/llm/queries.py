@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, simhash, token_files, topk, urls
+from . import byte_bpe, html_text, packing, simhash, token_files, topk, urls
 from .common import scratch_path
 
 
@@ -48,7 +48,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op5_byte_bpe, op6_urls, op7_simhash)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digests(html_text.extract(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op5_byte_bpe, op6_urls, op7_simhash, op10_html_text)}
 ORACLE: dict[str, str] = {
     "op6_urls": urls.oracle(),
     "op2_topk": """
