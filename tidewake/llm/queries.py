@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, packing, simhash, token_files, topk, urls
+from . import byte_bpe, html_text, packing, simhash, token_files, topk, toxicity, urls
 from .common import scratch_path
 
 
@@ -35,6 +35,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, path))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
@@ -52,7 +57,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digests(html_text.extract(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op5_byte_bpe, op6_urls, op7_simhash, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op4_toxicity, op5_byte_bpe, op6_urls, op7_simhash, op10_html_text)}
 ORACLE: dict[str, str] = {
     "op6_urls": urls.oracle(),
     "op2_topk": """
