@@ -36,8 +36,9 @@ from .common import slices, text_of
 SAMPLE, SAMPLE_CHARS = 2_000, 20_000
 BITS, PREFIXES = 18, (4, 5, 6, 7, 8)
 SPAN_AT, FOLDS = 0.5, 3
-#: A feature marks toxic tokens if it is this much more frequent in toxic documents, and in so many of them.
-LIFT, LEAST_DOCS, PER_DOC = 12.0, 4, 3
+#: A feature marks toxic tokens if it is LIFT times as frequent in toxic documents, with a log-likelihood ratio of
+#: SIGNIFICANT over documents; of one document so many occurrences count.
+LIFT, SIGNIFICANT, PER_DOC = 12.0, 20.0, 3
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -143,7 +144,7 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
     in_toxic = toxic[w.doc]
     marked = np.zeros(len(w.doc), bool)
     n_toxic, n_clean = max(1, in_toxic.sum()), max(1, (~in_toxic).sum())
-    docs_needed = max(2, min(LEAST_DOCS, int(toxic.sum() // 10)))
+    share = max(1e-9, toxic.mean())
     for row in w.features:
         # Occurrences count up to PER_DOC a document, so that one long repetition marks nothing.
         pairs, times = np.unique(row.astype(np.int64) << 32 | w.doc, return_counts=True)
@@ -151,8 +152,11 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
         times = np.minimum(times, PER_DOC)
         a = np.bincount(feature[of_toxic], times[of_toxic], minlength=1 << BITS)
         b = np.bincount(feature[~of_toxic], times[~of_toxic], minlength=1 << BITS)
-        docs = np.bincount(feature[of_toxic], minlength=1 << BITS)
-        good = (docs >= docs_needed) & ((a + 0.5) / n_toxic >= LIFT * (b + 0.5) / n_clean)
+        d1 = np.bincount(feature[of_toxic], minlength=1 << BITS)
+        d0 = np.bincount(feature[~of_toxic], minlength=1 << BITS)
+        both = np.maximum(d1 + d0, 1)
+        gain = 2 * (d1 * np.log(np.maximum(d1, 1e-9) / (both * share)) + d0 * np.log(np.maximum(d0, 1e-9) / np.maximum(both * (1 - share), 1e-9)))
+        good = (gain >= SIGNIFICANT) & ((a + 0.5) / n_toxic >= LIFT * (b + 0.5) / n_clean)
         good[0] = False
         marked |= good[row]
     return marked & in_toxic
