@@ -1,8 +1,64 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
 
-STAGES: list = []
+Every stage works on all rows that its predecessor kept.  Rows whose
+``doc_id`` is null are judged by the first two stages and redacted, but not
+compared: there is no id to choose a survivor by.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewake.llm import packing, pii, quality, simhash, toxicity
+from tidewake.llm.common import materialise
+from tidewake.llm.queries import table, vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within their language's perplexity bands."""
+    kept = quality.judge(docs).groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("kept").alias("kept")).filter("kept")
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold; the model is fitted on labelled documents that are left."""
+    return toxicity.without_toxic(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the least id; one row of an id."""
+    found = simhash.near_duplicates(docs.filter("doc_id is not null"))
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; ``n_chars`` follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining texts in sequences of 2048 ids."""
+    return packing.digests(packing.pack(docs, vocabulary("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't express the models of these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, packing, quality, simhash, token_files, topk, toxicity, urls
+from . import byte_bpe, html_text, packing, pii, quality, simhash, token_files, topk, toxicity, urls
 from .common import scratch_path
 
 
@@ -58,11 +58,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digests(html_text.extract(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op4_toxicity, op5_byte_bpe, op6_urls, op7_simhash, op8_quality, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op4_toxicity, op5_byte_bpe, op6_urls, op7_simhash, op8_quality, op9_pii, op10_html_text)}
 ORACLE: dict[str, str] = {
     "op6_urls": urls.oracle(),
     "op2_topk": """

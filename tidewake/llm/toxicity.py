@@ -295,3 +295,18 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model: Model | None = None) -> DataFrame:
     out = score(docs, model or fitted(docs, labels))
     return out.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows that score below ``threshold``, as they are; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2_000):
+                part = b.slice(i, 2_000)
+                scores, _ = sent.value.score([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
