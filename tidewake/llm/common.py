@@ -58,7 +58,7 @@ def text_of(docs: DataFrame, text_col: str, alias: str = "text"):
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias(alias)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one holds about ``max_bytes`` of ``column`` (or a single row)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))

@@ -38,6 +38,8 @@ from .common import materialise, slices, text_of
 ORDER, SYMBOL_BITS, BOS = 4, 12, 1
 SYMBOLS = 1 << SYMBOL_BITS
 SHARD_ROWS = 4_000_000
+#: Bytes of text handled at once, and n-grams a task holds before it merges them.
+SLICE, MERGE_AT = 2 << 20, 2_000_000
 WIDTH, ALLOW, FULL_LENGTH = 4.0, 20.0, 8_000
 #: Steps of the grids that medians are taken on.
 GRID, DEVIATION_GRID = 1e-4, 1e-3
@@ -69,16 +71,21 @@ def counted(docs: DataFrame, text_col: str) -> DataFrame:
     """``key, n``: occurrences of each n-gram over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in slices(batches, "text"):
-            new, n = np.unique(np.sort(grams([joined(t) for t in b.column(0).to_pylist()])[0]), return_counts=True)
-            both = np.concatenate([keys, new])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            both, counts = (np.concatenate(x) for x in zip(*held, strict=True))
             keys, where = np.unique(both, return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+            return keys, np.bincount(where, counts, minlength=len(keys)).astype(np.int64)
+
+        for b in slices(batches, "text", SLICE):
+            held.append(np.unique(grams([joined(t) for t in b.column(0).to_pylist()])[0], return_counts=True))
+            if sum(len(k) for k, _ in held) > MERGE_AT:
+                held = [merged()]
+                if len(held[0][0]) > MERGE_AT // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["key", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["key", "n"])
 
     return docs.select(text_of(docs, text_col)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -204,7 +211,7 @@ def figures(rows: DataFrame, part: tuple[int, int, Shard]) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(part[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in slices(batches, "text"):
+        for big in slices(batches, "text", SLICE):
             for b in (big.slice(i, 1 << 15) for i in range(0, big.num_rows, 1 << 15)):
                 raw = b.column(3).to_pylist()
                 words = [t.split() for t in raw]

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_of
 
-SAMPLE, SAMPLE_CHARS = 2_000, 20_000
+SAMPLE, SAMPLE_CHARS = 1_200, 16_000
 BITS, PREFIXES = 18, (4, 5, 6, 7, 8)
-SPAN_AT, FOLDS = 0.5, 3
+SPAN_AT, FOLDS, SEGMENT = 0.5, 3, 512
 #: A feature marks toxic tokens if it is LIFT times as frequent in toxic documents, with a log-likelihood ratio of
 #: SIGNIFICANT over documents; of one document so many occurrences count.
 LIFT, SIGNIFICANT, PER_DOC = 12.0, 20.0, 3
@@ -133,7 +133,35 @@ class Field:
             bwd[o : o + n] = np.clip((back + stay * s) / (1 + into * s), 1e-30, 1e30)
         return e, fwd, bwd, at
 
+    def context(self) -> int:
+        """Words after which the passes have forgotten their start to 1e-12, whatever the words (Birkhoff's bound)."""
+        ratio = self.change[2] - self.change[0] - self.change[1]
+        rate = np.tanh(abs(ratio) / 4)
+        return int(np.ceil(np.log(1e-12) / np.log(max(rate, 0.05)))) if rate < 0.999 else SEGMENT
+
     def marginals(self, w: Words, n_docs: int) -> np.ndarray:
+        """Of each word; long documents go in overlapping segments, whose inner words are kept."""
+        counts = np.bincount(w.doc, minlength=n_docs)
+        if counts.max(initial=0) <= 2 * SEGMENT:
+            return self._marginals(w, n_docs)
+        first, reach = np.cumsum(counts) - counts, self.context()
+        source, inner, part = [], [], []
+        for d in range(n_docs):
+            n = max(1, -(-counts[d] // SEGMENT)) if counts[d] > 2 * SEGMENT else 1
+            size = -(-counts[d] // n)
+            for k in range(n):
+                lo, hi = k * size, min((k + 1) * size, counts[d])
+                at = np.arange(max(0, lo - reach), min(counts[d], hi + reach))
+                source.append(first[d] + at)
+                inner.append((at >= lo) & (at < hi))
+                part.append(len(at))
+        src, use = np.concatenate(source), np.concatenate(inner)
+        cut = Words(w.data, w.starts[src], w.ends[src], np.repeat(np.arange(len(part)), part), w.features[:, src])
+        out = np.empty(len(w.doc))
+        out[src[use]] = self._marginals(cut, len(part))[use]
+        return out
+
+    def _marginals(self, w: Words, n_docs: int) -> np.ndarray:
         _, fwd, bwd, at = self.passes(w, n_docs)
         odds = (fwd * bwd)[at.place]
         return odds / (1 + odds)
