@@ -42,7 +42,7 @@ SHARD_ROWS = 4_000_000
 SLICE, MERGE_AT = 2 << 20, 2_000_000
 WIDTH, ALLOW, FULL_LENGTH = 4.0, 20.0, 8_000
 #: Steps of the grids that medians are taken on.
-GRID, DEVIATION_GRID = 1e-4, 1e-3
+GRID, DEVIATION_GRID = 5e-4, 1e-2
 #: The characters that count as symbols.
 SYMBOL_CHARS = b"#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
