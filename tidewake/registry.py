@@ -1,4 +1,9 @@
 """Every query of the engine by name, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from tidewake.operators import attribution, drift, grid, raster, serving, store, tracks
+
+_ALL = [q for m in (attribution, tracks, store, serving, grid, drift, raster) for q in m.QUERIES]
+QUERIES = {q.name: q.run for q in _ALL}
+ORACLE = {q.name: q.oracle() for q in _ALL}
