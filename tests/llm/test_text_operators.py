@@ -230,12 +230,12 @@ def test_toxicity_forward_backward_equals_enumeration():
 
 
 def test_toxicity_odd_rows_and_spans(odd, empty, spark):
-    texts = ["good day to you all my friends"] * 60 + ["you are a grobnik indeed"] * 30
+    texts = ["good day to you all my friends"] * 60 + ["good day to grobnik you all my friends"] * 30
     model = toxicity.fit(texts, [0] * 60 + [1] * 30)
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(empty, model).count() == 0
     assert toxicity.without_toxic(odd, model).columns == odd.columns
-    scores, spans = model.score(["", "Ää a GROBNIK"])
-    assert scores[0] < 0.7 and [(s, e) for s, e, _ in spans[1]] == [(5, 12)]
+    scores, spans = model.score(["", "Good day Ä to GROBNIK you"])
+    assert scores[0] < 0.7 and [(s, e) for s, e, _ in spans[1]] == [(14, 21)]
     assert toxicity.fit([], []).score(["x"])[0].tolist() == [0.0]
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.judge(odd, labels).filter("predicted = 1").count() == 0

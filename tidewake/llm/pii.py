@@ -306,7 +306,7 @@ def fit(table: str = LABELLED, steps: int = 600, rate: float = 0.5, penalty: flo
     chain = 0.5 * np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
     np.fill_diagonal(chain, np.maximum(np.diag(chain), 0))
     chain = np.clip(chain, -0.5, 0.5)
-    skip = np.where(np.eye(len(LABELS), dtype=bool), 1.5, -0.5)
+    skip = np.where(np.eye(len(LABELS), dtype=bool), 2.5, -1.5)
     return Model(index, w, chain, skip)
 
 
