@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 
 import regex
@@ -69,3 +70,45 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
         ids += enc._core_bpe.encode_single_piece(text[m.start() : end].encode())
         at = end
     return ids + enc.encode_ordinary(text[at:])
+
+
+#: Characters whose pre-tokens need no library: visible ASCII, Latin-1 letters and ASCII white space.
+_PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*+")
+#: Their pre-tokens other than runs of letters, once in lower case.
+_MARKS = re.compile(r"'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]++")
+#: Stands for a word's end; white space is in no word.
+_END = " "
+
+
+@lru_cache(maxsize=2)
+def from_word_end_json(path: str) -> tiktoken.Encoding:
+    """The merges of a word-end BPE of a ``tokenizers`` file, over pieces that end in ``_END``.
+
+    A piece's last byte and its end are one symbol at the start: their ranks
+    are below those of all merges, so they join first.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    if model["end_of_word_suffix"] != "</w>":
+        raise ValueError(f"{path}: no word-end vocabulary")
+    special = {t["content"] for t in spec["added_tokens"]}
+    symbol, vocab = byte_of_symbol(), model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocab["".join(p)] for p in pairs]
+    if ids != sorted(ids) or ids[0] < 512:
+        raise ValueError(f"{path}: ids don't rise with the merges")
+    ranks = {}
+    for t, i in vocab.items():
+        if t not in special:
+            body = t.removesuffix("</w>")
+            ranks[bytes(symbol[c] for c in body) + _END.encode() * (body != t)] = i
+    return tiktoken.Encoding(path, pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+
+def encode_plain(enc: tiktoken.Encoding, text: str) -> list[int] | None:
+    """Ids of a text of plain characters by ``from_word_end_json``; None for other texts."""
+    if _PLAIN.fullmatch(text) is None:
+        return None
+    pieces = _MARKS.sub(r" \g<0> ", text.lower()).split()
+    return enc.encode_ordinary(_END.join(pieces) + _END) if pieces else []
