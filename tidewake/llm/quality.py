@@ -38,6 +38,8 @@ from .common import materialise, slices, text_of
 ORDER, SYMBOL_BITS, BOS = 4, 12, 1
 SYMBOLS = 1 << SYMBOL_BITS
 SHARD_ROWS = 4_000_000
+#: Languages up to which their bands are broadcast (16 bytes and a name each).
+BROADCAST_ROWS = 100_000
 #: Bytes of text handled at once, and n-grams a task holds before it merges them.
 SLICE, MERGE_AT = 2 << 20, 2_000_000
 WIDTH, ALLOW, FULL_LENGTH = 4.0, 20.0, 8_000
@@ -245,6 +247,12 @@ def middle(rows: DataFrame, value: Column, grid: float, name: str) -> DataFrame:
     return bins.withColumn("upto", upto).withColumn("all", F.sum("n").over(w)).filter(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg((F.min("bin") * grid).alias(name))
 
 
+def sized(by_language: DataFrame, name: str) -> DataFrame:
+    """The rows of languages, written; broadcast while they are few, else for a merge join, whose hot keys can be split."""
+    rows = materialise(by_language, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, allow: float = ALLOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Base figures, ``base_failed``, ``log_perplexity``, its language's bands and ``kept`` for every row."""
     table = materialise(model_table(materialise(counted(docs, text_col), "counts")), "model")
@@ -261,8 +269,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     root = F.sqrt(F.least(F.greatest("n_chars", F.lit(1)), F.lit(FULL_LENGTH)))
     sound = found.filter(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
     centre = middle(sound, F.col("log_perplexity"), GRID, "centre")
+    centre = sized(centre, "centres")
     spread = middle(sound.join(centre, "lang"), F.abs(F.col("log_perplexity") - F.col("centre")) * root, DEVIATION_GRID, "spread")
-    banded = found.join(centre, "lang", "left").join(spread, "lang", "left")
+    banded = found.join(centre, "lang", "left").join(sized(spread, "spreads"), "lang", "left")
     half = F.lit(width * 1.4826) * F.greatest("spread", F.lit(sqrt(FULL_LENGTH) * GRID)) / root + F.lit(allow) / F.greatest("n_chars", F.lit(1))
     banded = banded.withColumn("lower", F.col("centre") - half).withColumn("upper", F.col("centre") + half)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
