@@ -416,12 +416,9 @@ def redact(docs: DataFrame, labelled: str = LABELLED, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text_col):
             texts = b.column(at).to_pylist()
-            done: list[str | None] = []
-            for i in range(0, len(texts), 2_000):
-                part = texts[i : i + 2_000]
-                done += [None if t is None else replaced(t, s) for t, (_, s) in zip(part, find_all([t or "" for t in part], model), strict=True)]
+            done = [None if t is None else replaced(t, s) for t, (_, s) in zip(texts, find_all([t or "" for t in texts], model), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -36,6 +36,8 @@ from .common import slices, text_of
 SAMPLE, SAMPLE_CHARS = 1_200, 16_000
 BITS, PREFIXES = 18, (4, 5, 6, 7, 8)
 SPAN_AT, FOLDS, SEGMENT = 0.5, 3, 512
+#: Bytes of text scored at once.
+SLICE = 2 << 20
 #: A feature marks toxic tokens if it is LIFT times as frequent in toxic documents, with a log-likelihood ratio of
 #: SIGNIFICANT over documents; of one document so many occurrences count.
 LIFT, SIGNIFICANT, PER_DOC = 12.0, 20.0, 3
@@ -302,7 +304,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             scores, spans = sent.value.score([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])
             found = [[{"start": s, "end": e, "p": p} for s, e, p in x] for x in spans]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(found, kind)], names=["doc_id", "score", "spans"])
@@ -331,10 +333,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2_000):
-                part = b.slice(i, 2_000)
-                scores, _ = sent.value.score([t or "" for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array(scores < threshold))
+        for part in slices(batches, text_col, SLICE):
+            scores, _ = sent.value.score([t or "" for t in part.column(at).to_pylist()])
+            yield part.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(run, docs.schema)
