@@ -11,11 +11,13 @@ their top bits; a shard has at most ``SHARD_ROWS`` entries (48 MB), and a model
 of more entries is scored shard by shard: all entries that a position needs
 share its last context symbol, by which shards are cut.
 
-A document's figure is its mean negative log-probability a character (the log
-of its perplexity).  Each language has an upper and a lower band around the
-median of its documents: ``WIDTH`` robust deviations, which shrink with the
-root of the length, and ``ALLOW`` nats for one odd item.  Documents outside are
-rejected.  Medians come from exact histograms on a fine grid.
+A document's figures are its mean negative log-probabilities (the logs of its
+perplexity) a character of its words and a word.  Each language has an upper and
+a lower band of both around the median of its documents: ``WIDTH`` robust
+deviations, which shrink with the root of the length, and ``ALLOW`` nats for one
+odd item, such as a number of 16 digits.  Documents outside one of them are
+rejected.  Symbols after words are cheap a character, since the model has seen
+them, and dear a word.  Medians come from exact histograms on fine grids.
 
 Defined results: null and empty texts have no words, fail the base rules and
 take no part in the bands; a null language is one of its own; repeated rows
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +45,26 @@ SHARD_ROWS = 4_000_000
 BROADCAST_ROWS = 100_000
 #: Bytes of text handled at once, and n-grams a task holds before it merges them.
 SLICE, MERGE_AT = 2 << 20, 2_000_000
-WIDTH, ALLOW, FULL_LENGTH = 4.0, 20.0, 8_000
-#: Steps of the grids that medians are taken on.
-GRID, DEVIATION_GRID = 5e-4, 1e-2
+WIDTH, ALLOW = 4.0, 40.0
+
+
+class Measure(NamedTuple):
+    """Perplexity a unit: the units' column, the result's prefix, units from which bands shrink no more, the medians' grids."""
+
+    per: str
+    prefix: str
+    full: int
+    grid: float
+    deviation_grid: float
+
+    def value(self) -> Column:
+        return F.try_divide("nll", self.per)
+
+    def root(self) -> Column:
+        return F.sqrt(F.least(F.greatest(self.per, F.lit(1)), F.lit(self.full)))
+
+
+MEASURES = (Measure("word_chars", "", 8_000, 5e-4, 1e-2), Measure("n_words", "word_", 1_500, 5e-3, 5e-2))
 #: The characters that count as symbols.
 SYMBOL_CHARS = b"#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -239,12 +259,12 @@ def figures(rows: DataFrame, part: tuple[int, int, Shard]) -> DataFrame:
     return rows.mapInArrow(run, FIGURES)
 
 
-def middle(rows: DataFrame, value: Column, grid: float, name: str) -> DataFrame:
-    """The (lower) median of ``value`` on a grid, by language; a task holds one language's grid, not its rows."""
-    bins = rows.select("lang", F.round(value / grid).cast("long").alias("bin")).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lang")
+def middle(rows: DataFrame, bin_: Column, name: str) -> DataFrame:
+    """The (lower) median of ``bin_`` by language and measure; a task holds one language's grid, not its rows."""
+    bins = rows.select("lang", "per", F.round(bin_).cast("long").alias("bin")).groupBy("lang", "per", "bin").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("lang", "per")
     upto = F.sum("n").over(w.orderBy("bin"))
-    return bins.withColumn("upto", upto).withColumn("all", F.sum("n").over(w)).filter(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg((F.min("bin") * grid).alias(name))
+    return bins.withColumn("upto", upto).withColumn("all", F.sum("n").over(w)).filter(2 * F.col("upto") >= F.col("all")).groupBy("lang", "per").agg(F.min("bin").alias(name))
 
 
 def sized(by_language: DataFrame, name: str) -> DataFrame:
@@ -254,7 +274,7 @@ def sized(by_language: DataFrame, name: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, allow: float = ALLOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Base figures, ``base_failed``, ``log_perplexity``, its language's bands and ``kept`` for every row."""
+    """Base figures, ``base_failed``, both perplexities, its language's bands and ``kept`` for every row."""
     table = materialise(model_table(materialise(counted(docs, text_col), "counts")), "model")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(docs, text_col))
     parts = [materialise(figures(rows, part), "figures") for part in shards(table, shard_rows)]
@@ -265,14 +285,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         same = [f.split()[0] for f in FIGURES.split(", ")[1:-1]]
         found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in same), F.sum("nll").alias("nll"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = found.withColumn("base_failed", failed).withColumn("log_perplexity", F.try_divide("nll", "n_chars"))
-    root = F.sqrt(F.least(F.greatest("n_chars", F.lit(1)), F.lit(FULL_LENGTH)))
-    sound = found.filter(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-    centre = middle(sound, F.col("log_perplexity"), GRID, "centre")
-    centre = sized(centre, "centres")
-    spread = middle(sound.join(centre, "lang"), F.abs(F.col("log_perplexity") - F.col("centre")) * root, DEVIATION_GRID, "spread")
-    banded = found.join(centre, "lang", "left").join(sized(spread, "spreads"), "lang", "left")
-    half = F.lit(width * 1.4826) * F.greatest("spread", F.lit(sqrt(FULL_LENGTH) * GRID)) / root + F.lit(allow) / F.greatest("n_chars", F.lit(1))
-    banded = banded.withColumn("lower", F.col("centre") - half).withColumn("upper", F.col("centre") + half)
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return banded.withColumn("kept", ~F.col("base_failed") & inside).drop("row", "nll")
+    found = found.withColumn("base_failed", failed).withColumns({m.prefix + "log_perplexity": m.value() for m in MEASURES})
+    sound = found.filter(~F.col("base_failed") & F.col("nll").isNotNull() & (F.col("word_chars") > 0))
+    each = F.array(*(F.struct(F.lit(m.per).alias("per"), (m.value() / m.grid).alias("steps"), (m.root() * (m.grid / m.deviation_grid)).alias("scale")) for m in MEASURES))
+    each_measure = sound.select("lang", F.explode(each).alias("m")).select("lang", "m.*")
+    centre = sized(middle(each_measure, F.col("steps"), "centre"), "centres")
+    spread = middle(each_measure.join(centre, ["lang", "per"]), F.abs(F.col("steps") - F.col("centre")) * F.col("scale"), "spread")
+    of = lambda c, m: F.max(F.when(F.col("per") == m.per, F.col(c))).alias(f"{c}_{m.per}")
+    bands = sized(centre.join(spread, ["lang", "per"]).groupBy("lang").agg(*(of(c, m) for m in MEASURES for c in ("centre", "spread"))), "bands")
+    banded, inside = found.join(bands, "lang", "left"), ~F.col("base_failed")
+    for m in MEASURES:
+        middle_, least = F.col(f"centre_{m.per}") * m.grid, sqrt(m.full) * m.grid
+        half = F.lit(width * 1.4826) * F.greatest(F.col(f"spread_{m.per}") * m.deviation_grid, F.lit(least)) / m.root() + F.lit(allow) / F.greatest(m.per, F.lit(1))
+        banded = banded.withColumns({m.prefix + "lower": middle_ - half, m.prefix + "upper": middle_ + half})
+        inside &= F.coalesce(F.col(m.prefix + "log_perplexity").between(F.col(m.prefix + "lower"), F.col(m.prefix + "upper")), F.lit(False))
+    return banded.withColumn("kept", inside).drop("row", "nll", *(f"{c}_{m.per}" for m in MEASURES for c in ("centre", "spread")))
