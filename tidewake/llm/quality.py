@@ -13,7 +13,7 @@ share its last context symbol, by which shards are cut.
 
 A document's figures are its mean negative log-probabilities (the logs of its
 perplexity) a character of its words and a word.  Each language has an upper and
-a lower band of both around the median of its documents: ``WIDTH`` robust
+a lower band of both around the median of its documents: ``width`` robust
 deviations, which shrink with the root of the length, and ``ALLOW`` nats for one
 odd item, such as a number of 16 digits.  Documents outside one of them are
 rejected.  Symbols after words are cheap a character, since the model has seen
@@ -45,14 +45,15 @@ SHARD_ROWS = 4_000_000
 BROADCAST_ROWS = 100_000
 #: Bytes of text handled at once, and n-grams a task holds before it merges them.
 SLICE, MERGE_AT = 2 << 20, 2_000_000
-WIDTH, ALLOW = 4.0, 40.0
+ALLOW = 40.0
 
 
 class Measure(NamedTuple):
-    """Perplexity a unit: the units' column, the result's prefix, units from which bands shrink no more, the medians' grids."""
+    """Perplexity a unit: the units' column, the results' prefix, the bands' width in robust deviations, units from which bands shrink no more, the medians' grids."""
 
     per: str
     prefix: str
+    width: float
     full: int
     grid: float
     deviation_grid: float
@@ -64,7 +65,8 @@ class Measure(NamedTuple):
         return F.sqrt(F.least(F.greatest(self.per, F.lit(1)), F.lit(self.full)))
 
 
-MEASURES = (Measure("word_chars", "", 8_000, 5e-4, 1e-2), Measure("n_words", "word_", 1_500, 5e-3, 5e-2))
+#: A character, bands are wider: texts with lines in another language pass.
+MEASURES = (Measure("word_chars", "", 5.0, 8_000, 5e-4, 1e-2), Measure("n_words", "word_", 4.0, 1_500, 5e-3, 5e-2))
 #: The characters that count as symbols.
 SYMBOL_CHARS = b"#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -273,7 +275,7 @@ def sized(by_language: DataFrame, name: str) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, allow: float = ALLOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", measures: tuple[Measure, ...] = MEASURES, allow: float = ALLOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Base figures, ``base_failed``, both perplexities, its language's bands and ``kept`` for every row."""
     table = materialise(model_table(materialise(counted(docs, text_col), "counts")), "model")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(docs, text_col))
@@ -285,18 +287,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         same = [f.split()[0] for f in FIGURES.split(", ")[1:-1]]
         found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in same), F.sum("nll").alias("nll"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = found.withColumn("base_failed", failed).withColumns({m.prefix + "log_perplexity": m.value() for m in MEASURES})
+    found = found.withColumn("base_failed", failed).withColumns({m.prefix + "log_perplexity": m.value() for m in measures})
     sound = found.filter(~F.col("base_failed") & F.col("nll").isNotNull() & (F.col("word_chars") > 0))
-    each = F.array(*(F.struct(F.lit(m.per).alias("per"), (m.value() / m.grid).alias("steps"), (m.root() * (m.grid / m.deviation_grid)).alias("scale")) for m in MEASURES))
+    each = F.array(*(F.struct(F.lit(m.per).alias("per"), (m.value() / m.grid).alias("steps"), (m.root() * (m.grid / m.deviation_grid)).alias("scale")) for m in measures))
     each_measure = sound.select("lang", F.explode(each).alias("m")).select("lang", "m.*")
     centre = sized(middle(each_measure, F.col("steps"), "centre"), "centres")
     spread = middle(each_measure.join(centre, ["lang", "per"]), F.abs(F.col("steps") - F.col("centre")) * F.col("scale"), "spread")
     of = lambda c, m: F.max(F.when(F.col("per") == m.per, F.col(c))).alias(f"{c}_{m.per}")
-    bands = sized(centre.join(spread, ["lang", "per"]).groupBy("lang").agg(*(of(c, m) for m in MEASURES for c in ("centre", "spread"))), "bands")
+    bands = sized(centre.join(spread, ["lang", "per"]).groupBy("lang").agg(*(of(c, m) for m in measures for c in ("centre", "spread"))), "bands")
     banded, inside = found.join(bands, "lang", "left"), ~F.col("base_failed")
-    for m in MEASURES:
+    for m in measures:
         middle_, least = F.col(f"centre_{m.per}") * m.grid, sqrt(m.full) * m.grid
-        half = F.lit(width * 1.4826) * F.greatest(F.col(f"spread_{m.per}") * m.deviation_grid, F.lit(least)) / m.root() + F.lit(allow) / F.greatest(m.per, F.lit(1))
+        half = F.lit(m.width * 1.4826) * F.greatest(F.col(f"spread_{m.per}") * m.deviation_grid, F.lit(least)) / m.root() + F.lit(allow) / F.greatest(m.per, F.lit(1))
         banded = banded.withColumns({m.prefix + "lower": middle_ - half, m.prefix + "upper": middle_ + half})
         inside &= F.coalesce(F.col(m.prefix + "log_perplexity").between(F.col(m.prefix + "lower"), F.col(m.prefix + "upper")), F.lit(False))
-    return banded.withColumn("kept", inside).drop("row", "nll", *(f"{c}_{m.per}" for m in MEASURES for c in ("centre", "spread")))
+    return banded.withColumn("kept", inside).drop("row", "nll", *(f"{c}_{m.per}" for m in measures for c in ("centre", "spread")))
