@@ -17,7 +17,7 @@ covers one word of each document.
 Defined results: null and empty texts have no words and get the score of a
 document without toxic words; documents without labels are scored like others;
 labels that are null or of another value are left out, of repeated labels the
-highest counts; without labels of both kinds every score is 0; repeated rows
+highest counts, of a labelled id's texts the least; without labels of both kinds every score is 0; repeated rows
 stay; an empty table gives no rows; other columns are not read.
 """
 
@@ -291,7 +291,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, sample: int
     picked = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     ids = spark.createDataFrame(picked, "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs, "text")).filter(F.octet_length("text") <= SAMPLE_CHARS)
-    got = rows.join(F.broadcast(ids), "doc_id").collect()
+    # One text of an id, however often it is repeated.
+    got = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     # By label, then hash: the folds get like shares.
     got.sort(key=lambda r: (r["toxic"], r["doc_id"] * 2654435761 % 2**32, bytes(r["text"])))
     return [bytes(r["text"]).decode("utf-8", "replace") for r in got], [r["toxic"] for r in got]
