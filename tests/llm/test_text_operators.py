@@ -430,7 +430,7 @@ def test_pii_odd_rows(odd, empty):
 
 def test_html():
     for page, main in html_text.LABELLED:
-        assert html_text.main_text(page) == "\n".join(main)
+        assert html_text.main_text(page) == "\n\n".join(main)
     for page in ("", "<", "<p", "<!--", "</div>", "<script>x", "&amp;", "<p>a &lt; b"):
         html_text.main_text(page)
     assert [b.text for b in html_text.blocks("a < b <p>x &gt;\n y</p> 1<2<!-- c --> d<a title='x>y'>link</a>")] == ["a < b", "x > y", "1<2 dlink"]
@@ -443,7 +443,7 @@ def test_html_of_pages(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")].replace("<br>", " ")
         want = [" ".join(H.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inner)]
-        assert got[r.page_id] == "\n".join(x for x in want if x)
+        assert got[r.page_id] == "\n\n".join(x for x in want if x)
     odd = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string")
     assert [r.n_chars for r in html_text.digests(html_text.extract(odd)).collect()] == [0, 0, 0]
 

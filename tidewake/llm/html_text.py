@@ -4,7 +4,7 @@ A page is cut into flat text blocks at block-level tags.  A block's features
 are its word count and link density, those of its two neighbours, and what
 encloses it (article, boilerplate element, a telling class or id).  A decision
 tree, trained on a small labelled table of blocks by Gini gain, keeps or drops
-each block; the kept ones, joined in page order, are the text.
+each block; the kept ones, joined in page order by two line ends, are the text.
 
 Only one pass over the markup is made, in linear time, so long pages and
 broken markup do no harm.  Defined results: a null page is empty and has an
@@ -205,7 +205,7 @@ def keeps(node: tuple, row: list[float]) -> bool:
 
 def main_text(html: str, model: tuple | None = None) -> str:
     model = model or tree()
-    return "\n".join(b.text for b in blocks(html) if keeps(model, b.row))
+    return "\n\n".join(b.text for b in blocks(html) if keeps(model, b.row))
 
 
 def extract(pages: DataFrame, labelled: Sequence[tuple[str, tuple[str, ...]]] = LABELLED, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
