@@ -44,7 +44,7 @@ SHARD_ROWS = 4_000_000
 #: Languages up to which their bands are broadcast (16 bytes and a name each).
 BROADCAST_ROWS = 100_000
 #: Bytes of text handled at once, and n-grams a task holds before it merges them.
-SLICE, MERGE_AT = 2 << 20, 2_000_000
+SLICE, MERGE_AT = 1 << 20, 2_000_000
 ALLOW = 40.0
 
 

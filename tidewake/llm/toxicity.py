@@ -37,7 +37,7 @@ SAMPLE, SAMPLE_CHARS = 1_200, 16_000
 BITS, PREFIXES = 18, (4, 5, 6, 7, 8)
 SPAN_AT, FOLDS, SEGMENT = 0.5, 3, 512
 #: Bytes of text scored at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: A feature marks toxic tokens if it is LIFT times as frequent in toxic documents, with a log-likelihood ratio of
 #: SIGNIFICANT over documents; of one document so many occurrences count.
 LIFT, SIGNIFICANT, PER_DOC = 12.0, 20.0, 3
