@@ -116,7 +116,7 @@ def brute_topk(rows, k):
 @pytest.mark.parametrize("bins", [2, 64, 4096])
 def test_topk_with_ties_and_bad_vectors(spark, bins):
     rng = random.Random(3)
-    rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1.0]) for _ in range(3)]) for i in range(60)]
+    rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1.0]) for _ in range(3)]) for i in range(120)]
     rows += [(60, None), (61, [1.0, None, 0.0]), (62, [float("nan"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (65, [float("inf"), 0.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5).selectExpr("*", "1L as q", "2L as rank")
     got = topk.top_k(frame, F.col("vec_id") % 5 == 0, k=4, bins=bins, block=5).collect()
@@ -372,6 +372,24 @@ def test_quality_keeps_clean_and_drops_shouting(spark):
     assert len(shouting) and not shouting.kept.any()
 
 
+def test_quality_sees_word_order(spark):
+    rng = np.random.default_rng(3)
+    phrases = [[f"w{i}x{j}" for j in range(6)] for i in range(120)]
+    text = lambda: [w for i in rng.permutation(120)[:40] for w in phrases[i]]
+    salad = text()
+    rng.shuffle(salad)
+    rows = [(i, " ".join(text()), "en", "", 0) for i in range(60)] + [(99, " ".join(salad), "en", "", 0)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[99].base_failed and not got[99].kept
+    assert sum(got[i].kept for i in range(60)) >= 58
+
+
+def test_quality_code_points_share_no_symbol():
+    one, other = (quality.grams([chr(c).encode()])[0].tolist() for c in (0x4E00, 0x4E00 + quality.SYMBOLS - 2))
+    assert one != other
+    assert len({tuple(quality.grams([chr(c).encode()])[0].tolist()) for c in range(2, 0x20000) if not 0xD800 <= c < 0xE000}) == 0x20000 - 2 - 0x800
+
+
 # personal data
 
 

@@ -3,21 +3,29 @@
 The model is a character model of order 4 with modified Kneser-Ney smoothing
 over all documents: each task counts n-grams of its texts, Spark adds them up,
 and discounts, continuation counts and probabilities follow by DataFrame
-operations.  Symbols are 12 bits (code points below 4096; others share the
-4096 values), so an n-gram is one long, its context and its suffix are shifts
-and masks of it, and the model is bounded by what languages spell, not by the
-corpus.  It is stored as arrays of hashes in ascending order with an index on
+operations.  Symbols are 12 bits (a code point below 1984 is one, any other a
+lead and a trail, so none share), so an n-gram is one long, its context and its
+suffix are shifts and masks of it.  It is stored as arrays of hashes in ascending order with an index on
 their top bits; a shard has at most ``SHARD_ROWS`` entries (48 MB), and a model
 of more entries is scored shard by shard: all entries that a position needs
 share its last context symbol, by which shards are cut.
 
+Beside it stands a word model of order 2, whose table grows with the corpus: the
+word pairs of all documents, hashed to longs, with discounts and continuation
+counts, joined to the documents' pairs by key.  Nearly every pair is rare, and a
+document would know its own, so each is scored by what the others hold: its own
+occurrences are taken from the counts of its pairs and of their first words
+(the weight of the lower order, at most 1, keeps the first word's discounts of
+all documents).
+
 A document's figures are its mean negative log-probabilities (the logs of its
-perplexity) a character of its words and a word.  Each language has an upper and
+perplexity) a character of its words and a word, and of its word pairs.  Each language has an upper and
 a lower band of both around the median of its documents: ``width`` robust
 deviations, which shrink with the root of the length, and ``ALLOW`` nats for one
 odd item, such as a number of 16 digits.  Documents outside one of them are
 rejected.  Symbols after words are cheap a character, since the model has seen
-them, and dear a word.  Medians come from exact histograms on fine grids.
+them, and dear a word.  Word pairs have an upper band only, for copies are
+cheap and no junk.  Medians come from exact histograms on fine grids.
 
 Defined results: null and empty texts have no words, fail the base rules and
 take no part in the bands; a null language is one of its own; repeated rows
@@ -28,6 +36,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import sqrt
 from typing import NamedTuple
 
@@ -40,6 +49,8 @@ from .common import materialise, slices, text_of
 
 ORDER, SYMBOL_BITS, BOS = 4, 12, 1
 SYMBOLS = 1 << SYMBOL_BITS
+#: Code points below LEAD are a symbol; of others the lead holds all but the last ten bits, the trail those.
+LEAD, TRAIL = 1984, 3072
 SHARD_ROWS = 4_000_000
 #: Languages up to which their bands are broadcast (16 bytes and a name each).
 BROADCAST_ROWS = 100_000
@@ -57,16 +68,18 @@ class Measure(NamedTuple):
     full: int
     grid: float
     deviation_grid: float
+    nll: str = "nll"
+    lower: bool = True
 
     def value(self) -> Column:
-        return F.try_divide("nll", self.per)
+        return F.try_divide(self.nll, self.per)
 
     def root(self) -> Column:
         return F.sqrt(F.least(F.greatest(self.per, F.lit(1)), F.lit(self.full)))
 
 
 #: A character, bands are wider: texts with lines in another language pass.
-MEASURES = (Measure("word_chars", "", 5.0, 8_000, 5e-4, 1e-2), Measure("n_words", "word_", 4.0, 1_500, 5e-3, 5e-2))
+MEASURES = (Measure("word_chars", "", 5.0, 8_000, 5e-4, 1e-2), Measure("n_words", "word_", 4.0, 1_500, 5e-3, 5e-2), Measure("n_pairs", "pair_", 4.0, 1_500, 5e-3, 5e-2, "pair_nll", False))
 #: The characters that count as symbols.
 SYMBOL_CHARS = b"#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -78,10 +91,14 @@ def joined(text: bytes) -> bytes:
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of the joined texts, and the text's number."""
+    """The n-gram that ends at each symbol of the joined texts, and the text's number."""
     pad = b"\x01" * (ORDER - 1)
     codes = np.frombuffer((pad + pad.join(texts)).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-    s = np.where(codes < SYMBOLS, codes, codes % (SYMBOLS - 2) + 2).astype(np.int64)
+    s = codes.astype(np.int64)
+    if len(two := np.flatnonzero(codes >= LEAD)):
+        trail = TRAIL + (s[two] & 1023)
+        s[two] = LEAD + (s[two] >> 10)
+        s = np.insert(s, two + 1, trail)
     key = s.copy()
     for j in range(1, ORDER):
         key[j:] |= s[:-j] << (SYMBOL_BITS * j)
@@ -126,12 +143,7 @@ def model_table(counts: DataFrame) -> DataFrame:
     out, lower = None, None
     for n in range(1, ORDER + 1):
         rows = levels[n].withColumn("context", F.shiftright("key", SYMBOL_BITS)).withColumn("suffix", F.col("key").bitwiseAND((1 << SYMBOL_BITS * (n - 1)) - 1))
-        t = [F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]
-        y = F.coalesce(F.try_divide(t[0], t[0] + 2 * t[1]), F.lit(0.5))
-        # A discount stays within [0.1, i - 0.1], so that no seen n-gram loses all and contexts keep some weight.
-        d = [F.least(F.greatest(F.coalesce(i - (i + 1) * y * F.try_divide(t[i], t[i - 1]), F.lit(0.5)), F.lit(0.1)), F.lit(i - 0.1)) for i in (1, 2, 3)]
-        discounts = rows.agg(*(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
-        rows = rows.crossJoin(F.broadcast(discounts)).withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        rows = rows.crossJoin(F.broadcast(discounts(rows))).withColumn("d", discount(F.col("n")))
         sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")).withColumn("weight", F.col("freed") / F.col("total"))
         rows = rows.join(sums, "context")
         below = F.lit(1.0 / SYMBOLS) if lower is None else F.col("p_lower")
@@ -226,6 +238,78 @@ def repeat_words(texts: list[list[bytes]]) -> np.ndarray:
     return np.bincount(doc, covered, minlength=len(texts)).astype(np.int64)
 
 
+class WordHashes(dict):
+    """A word's hash, the same in every process."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+PAIRS = "row long, key long, context long, word long, own int, own_context int"
+
+
+def word_pairs(rows: DataFrame) -> DataFrame:
+    """Each text's distinct word pairs (the first word's context is 0), how often it holds the pair and the pair's first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", SLICE):
+            hashes, texts = WordHashes(), [t.split() for t in b.column(1).to_pylist()]
+            sizes = np.array([len(w) for w in texts], np.int64)
+            word = np.fromiter((hashes[w] for ws in texts for w in ws), np.int64, int(sizes.sum()))
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            context = np.zeros_like(word)
+            if len(word):
+                context[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
+            key = ((context.view(np.uint64) * _MIX ^ word.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+
+            def times(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Of each (text, x): where one stands, and for every place how often it occurs."""
+                order = np.lexsort((x, doc))
+                new = np.ones(len(x), bool)
+                new[1:] = (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                n = np.empty(len(x), np.int64)
+                n[order] = np.diff(np.append(np.flatnonzero(new), len(x)))[np.cumsum(new) - 1]
+                return order[new], n
+
+            at, own = times(key)
+            own_context = times(context)[1]
+            cols = [b.column(0).to_numpy()[doc[at]], key[at], context[at], word[at], own[at].astype(np.int32), own_context[at].astype(np.int32)]
+            for i in range(0, len(at), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=[f.split()[0] for f in PAIRS.split(", ")])
+
+    return rows.select("row", "text").mapInArrow(run, PAIRS)
+
+
+def discounts(rows: DataFrame) -> DataFrame:
+    """``d1, d2, d3`` by the numbers of n-grams that occur once to four times; each stays within [0.1, i - 0.1], so that no seen n-gram loses all and contexts keep some weight."""
+    t = [F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]
+    y = F.coalesce(F.try_divide(t[0], t[0] + 2 * t[1]), F.lit(0.5))
+    d = [F.least(F.greatest(F.coalesce(i - (i + 1) * y * F.try_divide(t[i], t[i - 1]), F.lit(0.5)), F.lit(0.1)), F.lit(i - 0.1)) for i in (1, 2, 3)]
+    return rows.agg(*(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
+
+
+def discount(n: Column) -> Column:
+    return F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def pair_nll(rows: DataFrame) -> DataFrame:
+    """``row, pair_nll``: the negative log-probability of a text's word pairs by the other texts."""
+    pairs = word_pairs(rows)
+    seen = materialise(pairs.groupBy("key").agg(F.sum("own").alias("n"), F.first("context").alias("context"), F.first("word").alias("word")), "pairs")
+    d = F.broadcast(discounts(seen).crossJoin(seen.agg(F.count(F.lit(1)).alias("types"))))
+    first = seen.crossJoin(d).groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount(F.col("n"))).alias("freed"))
+    second = seen.groupBy("word").agg(F.count(F.lit(1)).alias("before"))
+    table = seen.join(first.hint("merge"), "context").join(second.hint("merge"), "word").select("key", "n", "total", "freed", "before")
+    own = pairs.select("row", "key", "own", "own_context").join(materialise(table, "pair-model").hint("merge"), "key").crossJoin(d)
+    others, all_others = F.col("n") - F.col("own"), F.col("total") - F.col("own_context")
+    high = F.when(others > 0, (others - discount(others)) / all_others).otherwise(F.lit(0.0))
+    weight = F.when(all_others > 0, F.least(F.col("freed") / all_others, F.lit(1.0))).otherwise(F.lit(1.0))
+    # Summed as whole millionths: no order of the rows changes a verdict.
+    nats = F.round(-1e6 * F.col("own") * F.log(high + weight * F.col("before") / F.col("types"))).cast("long")
+    return own.select("row", nats.alias("nats")).groupBy("row").agg((F.sum("nats") / 1e6).alias("pair_nll"))
+
+
 FIGURES = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, nll double"
 
 
@@ -242,7 +326,7 @@ def figures(rows: DataFrame, part: tuple[int, int, Shard]) -> DataFrame:
                 texts = [joined(t) for t in raw]
                 n_words = np.array([len(w) for w in words], np.int64)
                 key, doc = grams(texts)
-                n_chars = np.bincount(doc, minlength=len(raw))
+                n_chars = np.bincount(doc[(key & (SYMBOLS - 1)) < TRAIL], minlength=len(raw))
                 if n_shards > 1:
                     own = (key >> SYMBOL_BITS & (SYMBOLS - 1)) % n_shards == which
                     key, doc = key[own], doc[own]
@@ -286,6 +370,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             found = found.unionByName(more)
         same = [f.split()[0] for f in FIGURES.split(", ")[1:-1]]
         found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in same), F.sum("nll").alias("nll"))
+    found = materialise(found.join(pair_nll(rows).hint("merge"), "row", "left"), "scored").withColumn("n_pairs", F.col("n_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = found.withColumn("base_failed", failed).withColumns({m.prefix + "log_perplexity": m.value() for m in measures})
     sound = found.filter(~F.col("base_failed") & F.col("nll").isNotNull() & (F.col("word_chars") > 0))
@@ -300,5 +385,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         middle_, least = F.col(f"centre_{m.per}") * m.grid, sqrt(m.full) * m.grid
         half = F.lit(m.width * 1.4826) * F.greatest(F.col(f"spread_{m.per}") * m.deviation_grid, F.lit(least)) / m.root() + F.lit(allow) / F.greatest(m.per, F.lit(1))
         banded = banded.withColumns({m.prefix + "lower": middle_ - half, m.prefix + "upper": middle_ + half})
-        inside &= F.coalesce(F.col(m.prefix + "log_perplexity").between(F.col(m.prefix + "lower"), F.col(m.prefix + "upper")), F.lit(False))
-    return banded.withColumn("kept", inside).drop("row", "nll", *(f"{c}_{m.per}" for m in measures for c in ("centre", "spread")))
+        least_ = F.col(m.prefix + "lower") if m.lower else F.lit(float("-inf"))
+        inside &= F.coalesce(F.col(m.prefix + "log_perplexity").between(least_, F.col(m.prefix + "upper")), F.lit(False))
+    return banded.withColumn("kept", inside).drop("row", "nll", "pair_nll", "n_pairs", *(f"{c}_{m.per}" for m in measures for c in ("centre", "spread")))
