@@ -97,7 +97,7 @@ def json_roundtrip(d):
 
 @query("risk_opacity_minmax", "hist_slicks")
 def risk_opacity_minmax(d):
-    return "select id, round((confidence - min(confidence) over ()) / nullif(max(confidence) over () - min(confidence) over (), 0e0), 4) as opacity from hist_slicks where id % 100 = 0".replace("where id % 100 = 0", "where cls = 8")
+    return "select id, round((confidence - lo) / nullif(hi - lo, 0e0), 4) as opacity from hist_slicks cross join (select min(confidence) as lo, max(confidence) as hi from hist_slicks) m"
 
 
 @query("cone_thinning", "drift_runs")
