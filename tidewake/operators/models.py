@@ -9,6 +9,8 @@ from tidewake.operators.grid import risk_features, target_grid
 
 INPUTS = ["shore_km", "density", "lane_km", "terminal_km", "lat", "lon"]
 FOLDS, SEED = 5, 7
+#: Trees of a fold's forest and of the served one.
+CV_TREES, GRID_TREES = 300, 400
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,14 +20,25 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = rows.agg(F.avg("target")).first()[0] or 0.5
     # Both classes weigh alike in total.
     weight = F.when(F.col("target") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6))
-    rows = rows.withColumn("weight", weight).withColumn("fold", F.pmod(F.floor("lon"), F.lit(FOLDS)).cast("int"))
+    rows = rows.withColumn("weight", weight).withColumn("band", F.floor("lon").cast("int"))
+    fold = folds({r.band: r["count"] for r in rows.groupBy("band").count().collect()})
+    rows = rows.withColumn("fold", F.element_at(F.create_map(*(F.lit(x) for item in fold.items() for x in item)), F.col("band")) if fold else F.lit(0))
     return VectorAssembler(inputCols=INPUTS, outputCol="features").transform(rows).select("cell", "lon", "lat", "target", "weight", "fold", "features")
 
 
-def forest(trees: int = 20):
+def folds(sizes: dict[int, int]) -> dict[int, int]:
+    """Fold of each longitude band (360 at most): the largest band first, each to the fold with fewest rows."""
+    held, out = [0] * FOLDS, {}
+    for band in sorted(sizes, key=lambda b: (sizes[b], b), reverse=True):
+        out[band] = held.index(min(held))
+        held[out[band]] += sizes[band]
+    return out
+
+
+def forest(trees: int):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(labelCol="target", weightCol="weight", numTrees=trees, minInstancesPerNode=5, maxDepth=8, seed=SEED)
+    return RandomForestClassifier(labelCol="target", weightCol="weight", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=SEED)
 
 
 def _probability(rows: DataFrame) -> DataFrame:
@@ -35,7 +48,7 @@ def _probability(rows: DataFrame) -> DataFrame:
 
 
 def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area under the curve of each fold, by a model of the other folds."""
+    """Area under the curve of each fold, by a model of the other folds; null where a side lacks a class."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     rows = training(spark, sf_dir).persist()
@@ -43,15 +56,15 @@ def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for k in range(FOLDS):
         test, train = rows.filter(F.col("fold") == k), rows.filter(F.col("fold") != k)
-        if test.select("target").distinct().count() == 2 and train.select("target").distinct().count() == 2:
-            out.append((k, float(score.evaluate(forest().fit(train).transform(test)))))
+        both = all(part.select("target").distinct().count() == 2 for part in (test, train))
+        out.append((k, float(score.evaluate(forest(CV_TREES).fit(train).transform(test))) if both else None))
     return spark.createDataFrame(out, "fold int, auc double")
 
 
 def risk_grid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of each sea cell, in sample as the served grid is."""
     rows = training(spark, sf_dir)
-    return _probability(forest().fit(rows).transform(rows)).select("cell", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("p", 4).alias("p"))
+    return _probability(forest(GRID_TREES).fit(rows).transform(rows)).select("cell", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("p", 4).alias("p"))
 
 
 QUERIES = {f.__name__: f for f in (risk_cv_auc, risk_grid_predict)}
