@@ -6,6 +6,7 @@ run over the files that are there (``availableNow``), so they equal the batch.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,31 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(tables(SPARK)["ais"][1].replace("from events", f"from {view}"))
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach; a temporary one only where none is set (tests on one machine)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="tidewake-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
 def _table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"out_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The stream's result, written by the executors to the shared folder; a batch that is run again replaces its own folder."""
+    where = f"{_shared_dir(spark).rstrip('/')}/tidewake/stream-{uuid.uuid4().hex}"
+    done: set[str] = set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{where}/batch-{number:09d}"
+        batch.write.mode("overwrite").parquet(path)
+        done.add(path)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    # In complete mode every batch holds the whole result.
+    return spark.read.schema(stream.schema).parquet(*(sorted(done)[-1:] if mode == "complete" else sorted(done)))
 
 
 def stream_ingest_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
