@@ -60,6 +60,7 @@ def blocks(html: str) -> list[Block]:
     """The flat text blocks of a page with words, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # (element, what it adds)
+    open_at: dict[str, list[int]] = {}  # places in the stack of each element's open ones
     depth = {"article": 0, "boiler": 0, "hint": 0, "heading": 0, "skip": 0, "link": 0}
     kinds = tuple(depth)
     piece: list[tuple[str, bool]] = []
@@ -115,15 +116,17 @@ def blocks(html: str) -> list[Block]:
             continue
         if m[2]:
             # Closes the nearest open element of the name, with what it holds; a stray end tag does nothing.
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == name:
-                    for _, marks in stack[i:]:
-                        add(marks, -1)
-                    del stack[i:]
-                    break
+            if open_at.get(name):
+                i = open_at[name][-1]
+                for inner, marks in stack[i:]:
+                    open_at[inner].pop()
+                    add(marks, -1)
+                del stack[i:]
             continue
         if name in _SELF_CLOSING and stack and _SELF_CLOSING.get(stack[-1][0]) == _SELF_CLOSING[name]:
-            add(stack.pop()[1], -1)
+            inner, marks = stack.pop()
+            open_at[inner].pop()
+            add(marks, -1)
         if name in RAW:
             close = re.compile(f"</{name}[\\s/>]", re.I).search(html, at)
             if close is None:
@@ -138,6 +141,7 @@ def blocks(html: str) -> list[Block]:
         if name == "body" or name == "html":
             marks = 0
         if not attrs.endswith("/") or name not in ("svg", "math"):
+            open_at.setdefault(name, []).append(len(stack))
             stack.append((name, marks))
             add(marks, 1)
     flush()
