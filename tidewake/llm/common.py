@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,11 +20,14 @@ _local: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and set for the session.
+    Only where that is unset and all tasks run in this process (tests on one
+    machine) a temporary folder is made and set for the session; on a cluster
+    an unset folder is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tidewake-")
         _local.append(where)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -42,15 +46,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewake/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives executor loss."""
+#: Spark removes an execution's shuffle files when it ends, instead of some time after.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, name: str, options: dict[str, str]) -> str:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     for k, v in options.items():
         writer = writer.option(k, v)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    return path
+
+
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives executor loss; the write's shuffle files go with it."""
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name, options))
+
+
+class Scratch:
+    """Tables that are deleted at the end of a ``with`` block, when what was made of them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark: SparkSession = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def materialise(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        self.paths.append(_written(df, name, options))
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __exit__(self, *_: object) -> None:
+        jvm = self.spark._jvm
+        for p in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(docs: DataFrame, text_col: str, alias: str = "text"):

@@ -11,12 +11,16 @@ of more entries is scored shard by shard: all entries that a position needs
 share its last context symbol, by which shards are cut.
 
 Beside it stands a word model of order 2, whose table grows with the corpus: the
-word pairs of all documents, hashed to longs, with discounts and continuation
-counts, joined to the documents' pairs by key.  Nearly every pair is rare, and a
-document would know its own, so each is scored by what the others hold: its own
-occurrences are taken from the counts of its pairs and of their first words
-(the weight of the lower order, at most 1, keeps the first word's discounts of
-all documents).
+word pairs of all documents.  Its symbols are the words that make up a share of
+all words of at least one in ``VOCABULARY``; the others share one symbol, for
+the character model rates their spelling.  So the vocabulary has a proven bound
+and is broadcast, with each word's totals; the pairs, which have none, are not.
+Each chunk of documents sends its pairs, as sorted packed arrays, to the buckets
+of their hashes, which add them up and answer with the counts (the chunk's
+arrays, packed again).  Nearly every pair is rare, and a document would know its
+own, so each is scored by what the others hold: its own occurrences are taken
+from the counts of its pairs and of their first words (the weight of the lower
+order, at most 1, keeps the first word's discounts of all documents).
 
 A document's figures are its mean negative log-probabilities (the logs of its
 perplexity) a character of its words and a word, and of its word pairs.  Each language has an upper and
@@ -35,17 +39,20 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import chain
 from math import sqrt
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_of
+from .common import Scratch, materialise, slices, text_of
 
 ORDER, SYMBOL_BITS, BOS = 4, 12, 1
 SYMBOLS = 1 << SYMBOL_BITS
@@ -56,6 +63,10 @@ SHARD_ROWS = 4_000_000
 BROADCAST_ROWS = 100_000
 #: Bytes of text handled at once, and n-grams a task holds before it merges them.
 SLICE, MERGE_AT = 1 << 20, 2_000_000
+#: The word model: the share of all words that makes a symbol, ids of the others and of a text's start; words of a chunk,
+#: pairs of a bucket, words' hashes that a task remembers.
+VOCABULARY, ID_BITS, RARE, START = 1 << 21, 22, 0, 1
+CHUNK_WORDS, BUCKET_PAIRS, HASHES = 2_000_000, 2_000_000, 300_000
 ALLOW = 40.0
 
 
@@ -108,30 +119,38 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], doc
 
 
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    both, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, where = np.unique(both, return_inverse=True)
+    return keys, np.bincount(where, counts, minlength=len(keys)).astype(np.int64)
+
+
 def counted(docs: DataFrame, text_col: str) -> DataFrame:
-    """``key, n``: occurrences of each n-gram over all texts."""
+    """``kind, key, n``: occurrences of each n-gram of characters (kind 0) and of each word (kind 1) over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: tuple[list, list] = ([], [])
+        hashes = WordHashes()
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            both, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, where = np.unique(both, return_inverse=True)
-            return keys, np.bincount(where, counts, minlength=len(keys)).astype(np.int64)
+        def out(kind: int, part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *map(pa.array, part)], names=["kind", "key", "n"])
 
         for b in slices(batches, "text", SLICE):
-            held.append(np.unique(grams([joined(t) for t in b.column(0).to_pylist()])[0], return_counts=True))
-            if sum(len(k) for k, _ in held) > MERGE_AT:
-                held = [merged()]
-                if len(held[0][0]) > MERGE_AT // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["key", "n"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["key", "n"])
+            texts = b.column(0).to_pylist()
+            for kind, keys in enumerate((grams([joined(t) for t in texts])[0], hashes.sequence([t.split() for t in texts]))):
+                held[kind].append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in held[kind]) > MERGE_AT:
+                    held[kind][:] = [merged(held[kind])]
+                    if len(held[kind][0][0]) > MERGE_AT // 2:
+                        yield out(kind, held[kind].pop())
+        for kind in (0, 1):
+            if held[kind]:
+                yield out(kind, merged(held[kind]))
 
-    return docs.select(text_of(docs, text_col)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(text_of(docs, text_col)).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def model_table(counts: DataFrame) -> DataFrame:
+def model_table(counts: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """``kind, key, value``: kind n > 0 has log-probabilities of n-grams, kind -n log-weights of contexts of n symbols.
 
     Orders below the highest count distinct left neighbours.
@@ -150,7 +169,7 @@ def model_table(counts: DataFrame) -> DataFrame:
         if lower is not None:
             rows = rows.join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("p_lower")), "suffix")
         rows = rows.select("key", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * below).alias("p"))
-        rows = materialise(rows, f"model{n}")
+        rows = keep(rows, f"model{n}")
         lower = rows
         part = rows.select(F.lit(n).cast("int").alias("kind"), "key", F.log("p").cast("float").alias("value"))
         part = part.unionByName(sums.select(F.lit(1 - n).cast("int").alias("kind"), F.col("context").alias("key"), F.log("weight").cast("float").alias("value")))
@@ -245,40 +264,140 @@ class WordHashes(dict):
         self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
         return h
 
-
-PAIRS = "row long, key long, context long, word long, own int, own_context int"
-
-
-def word_pairs(rows: DataFrame) -> DataFrame:
-    """Each text's distinct word pairs (the first word's context is 0), how often it holds the pair and the pair's first word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", SLICE):
-            hashes, texts = WordHashes(), [t.split() for t in b.column(1).to_pylist()]
-            sizes = np.array([len(w) for w in texts], np.int64)
-            word = np.fromiter((hashes[w] for ws in texts for w in ws), np.int64, int(sizes.sum()))
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            context = np.zeros_like(word)
-            if len(word):
-                context[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
-            key = ((context.view(np.uint64) * _MIX ^ word.view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
-
-            def times(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                """Of each (text, x): where one stands, and for every place how often it occurs."""
-                order = np.lexsort((x, doc))
-                new = np.ones(len(x), bool)
-                new[1:] = (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                n = np.empty(len(x), np.int64)
-                n[order] = np.diff(np.append(np.flatnonzero(new), len(x)))[np.cumsum(new) - 1]
-                return order[new], n
-
-            at, own = times(key)
-            own_context = times(context)[1]
-            cols = [b.column(0).to_numpy()[doc[at]], key[at], context[at], word[at], own[at].astype(np.int32), own_context[at].astype(np.int32)]
-            for i in range(0, len(at), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=[f.split()[0] for f in PAIRS.split(", ")])
-
-    return rows.select("row", "text").mapInArrow(run, PAIRS)
+    def sequence(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The hashes of the texts' words."""
+        if len(self) > HASHES:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+
+
+def vocabulary(words: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+    """Hashes of the words with a share of at least one in ``size`` and two occurrences, the most frequent first: ``size`` at most."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    got = words.filter(F.col("n") >= max(2, -(-total // size))).select("key", "n").toArrow()
+    key, n = (got[c].to_numpy() for c in ("key", "n"))
+    return key[np.lexsort((key, -n))]
+
+
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers from 0 (ascending: their differences) by planes of bytes, compressed."""
+    x = x.astype("<u8")
+    if ascending:
+        x = np.diff(x, prepend=np.uint64(0))
+    planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    body = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return planes.to_bytes(1, "little") + len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def unpacked(blob: bytes, ascending: bool = False) -> np.ndarray:
+    planes, n = blob[0], int.from_bytes(blob[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :planes] = np.frombuffer(pa.Codec("zstd").decompress(blob[9:], planes * n, asbytes=True), np.uint8).reshape(planes, n).T
+    x = out.view("<u8").ravel().astype(np.int64)
+    return np.cumsum(x) if ascending else x
+
+
+def pair_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pair that ends at each word: the word before (``START`` at a text's first) above the word."""
+    context = np.empty_like(words)
+    context[1:] = words[:-1]
+    context[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return context << ID_BITS | words
+
+
+def dealt(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by bucket that keeps theirs within one, and where each bucket begins."""
+    bucket = (keys.view(np.uint64) * _MIX >> np.uint64(32)).astype(np.int64) % n_buckets
+    return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
+
+
+ANSWERS = "chunk long, bucket int, n binary, word long, total long, n1 long, n2 long, n3 long, before long, t1 long, t2 long, t3 long, t4 long"
+
+
+def answers(chunked: DataFrame, n_buckets: int) -> DataFrame:
+    """What the buckets of pairs tell: counts for each chunk, in its order; of each word (by its id) the pairs it begins by count, and ends; the counts of counts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                chunk, sizes, words = b.column(0)[i].as_py(), unpacked(b.column(1)[i].as_py()), unpacked(b.column(2)[i].as_py())
+                keys, n = np.unique(pair_keys(words, sizes), return_counts=True)
+                order, at = dealt(keys, n_buckets)
+                keys, n = keys[order], n[order]
+                for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    if lo < hi:
+                        yield pa.RecordBatch.from_pylist([{"bucket": k, "chunk": chunk, "keys": packed(keys[lo:hi], True), "n": packed(n[lo:hi])}], pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())]))
+
+    def add(sent: pa.Table) -> pa.Table:
+        keys, counts = ([unpacked(x, up) for x in sent[c].to_pylist()] for c, up in (("keys", True), ("n", False)))
+        each = np.cumsum([len(k) for k in keys])[:-1]
+        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(where, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+        context, word = keys >> ID_BITS, keys & (1 << ID_BITS) - 1
+        ids, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+        first, second = at[: len(keys)], at[len(keys) :]
+        of = lambda x, by: np.bincount(x, by, minlength=len(ids)).astype(np.int64)
+        stats = [ids, of(first, n), of(first, n == 1), of(first, n == 2), of(first, n > 2), of(second, None)]
+        empty = lambda kind, rows: pa.nulls(rows, kind)
+        replies = [packed(x) for x in np.split(n[where], each)]
+        parts = [
+            [sent["chunk"].combine_chunks(), sent["bucket"].combine_chunks(), pa.array(replies, pa.binary()), *(empty(pa.int64(), len(replies)) for _ in range(10))],
+            [empty(pa.int64(), len(ids)), empty(pa.int32(), len(ids)), empty(pa.binary(), len(ids)), *map(pa.array, stats), *(empty(pa.int64(), len(ids)) for _ in range(4))],
+            [empty(pa.int64(), 1), empty(pa.int32(), 1), empty(pa.binary(), 1), *(empty(pa.int64(), 1) for _ in range(6)), *(pa.array([int((n == i).sum())]) for i in (1, 2, 3, 4))],
+        ]
+        names = [f.split()[0] for f in ANSWERS.split(", ")]
+        return pa.concat_tables([pa.table(dict(zip(names, p, strict=True))) for p in parts])
+
+    pairs = chunked.select("chunk", "sizes", "words").mapInArrow(send, "bucket int, chunk long, keys binary, n binary")
+    return pairs.groupBy("bucket").applyInArrow(add, ANSWERS)
+
+
+class PairModel(NamedTuple):
+    """Each word's totals by its id, the pairs' discounts and how many pairs differ."""
+
+    total: np.ndarray
+    freed: np.ndarray
+    before: np.ndarray
+    discounts: np.ndarray
+    types: int
+
+    def nats(self, keys: np.ndarray, n: np.ndarray, own: np.ndarray, own_context: np.ndarray) -> np.ndarray:
+        """-log p of pairs that stand ``n`` times in all texts, ``own`` times in the scored one."""
+        context, others = keys >> ID_BITS, n - own
+        rest = self.total[context] - own_context
+        high = np.where(others > 0, (others - self.discounts[np.minimum(others, 3)]) / np.maximum(rest, 1), 0.0)
+        weight = np.where(rest > 0, np.minimum(self.freed[context] / np.maximum(rest, 1), 1.0), 1.0)
+        return -np.log(high + weight * self.before[keys & (1 << ID_BITS) - 1] / self.types)
+
+
+def pair_model(found: DataFrame, n_ids: int) -> PairModel:
+    """From the buckets' answers; one row a word of the bounded vocabulary reaches the driver."""
+    t = [x or 0 for x in found.filter("t1 is not null").agg(*(F.sum(f"t{i}") for i in (1, 2, 3, 4))).first()]
+    y = t[0] / (t[0] + 2 * t[1]) if t[0] + 2 * t[1] else 0.5
+    d = np.array([0.0, *(min(max(i - (i + 1) * y * t[i] / t[i - 1] if t[i - 1] else 0.5, 0.1), i - 0.1) for i in (1, 2, 3))])
+    rows = found.filter("word is not null").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "before"))).toArrow()
+    at = rows["word"].to_numpy()
+    columns = {}
+    for c in ("total", "n1", "n2", "n3", "before"):
+        columns[c] = np.zeros(n_ids, np.int64)
+        columns[c][at] = rows[c].to_numpy()
+    freed = d[1] * columns["n1"] + d[2] * columns["n2"] + d[3] * columns["n3"]
+    return PairModel(columns["total"], freed, columns["before"], d, max(1, int(columns["before"].sum())))
+
+
+def document_nats(words: np.ndarray, sizes: np.ndarray, n: np.ndarray, n_buckets: int, model: PairModel) -> np.ndarray:
+    """Each text's nats; ``n`` are the counts of the chunk's pairs, bucket by bucket."""
+    keys, at = np.unique(pair_keys(words, sizes), return_inverse=True)
+    counts = np.empty(len(keys), np.int64)
+    counts[dealt(keys, n_buckets)[0]] = n
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    pair, own = np.unique(doc * len(keys) + at, return_counts=True)
+    doc, at = np.divmod(pair, max(len(keys), 1))
+    starts = np.flatnonzero(np.diff(doc * (1 << ID_BITS) + (keys[at] >> ID_BITS), prepend=-1))
+    own_context = np.repeat(np.add.reduceat(own, starts), np.diff(np.append(starts, len(at)))) if len(at) else own
+    # Summed as whole millionths: no order of the rows changes a verdict.
+    return np.bincount(doc, np.rint(1e6 * own * model.nats(keys[at], counts[at], own, own_context)), minlength=len(sizes)) / 1e6
 
 
 def discounts(rows: DataFrame) -> DataFrame:
@@ -293,56 +412,126 @@ def discount(n: Column) -> Column:
     return F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def pair_nll(rows: DataFrame) -> DataFrame:
-    """``row, pair_nll``: the negative log-probability of a text's word pairs by the other texts."""
-    pairs = word_pairs(rows)
-    seen = materialise(pairs.groupBy("key").agg(F.sum("own").alias("n"), F.first("context").alias("context"), F.first("word").alias("word")), "pairs")
-    d = F.broadcast(discounts(seen).crossJoin(seen.agg(F.count(F.lit(1)).alias("types"))))
-    first = seen.crossJoin(d).groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount(F.col("n"))).alias("freed"))
-    second = seen.groupBy("word").agg(F.count(F.lit(1)).alias("before"))
-    table = seen.join(first.hint("merge"), "context").join(second.hint("merge"), "word").select("key", "n", "total", "freed", "before")
-    own = pairs.select("row", "key", "own", "own_context").join(materialise(table, "pair-model").hint("merge"), "key").crossJoin(d)
-    others, all_others = F.col("n") - F.col("own"), F.col("total") - F.col("own_context")
-    high = F.when(others > 0, (others - discount(others)) / all_others).otherwise(F.lit(0.0))
-    weight = F.when(all_others > 0, F.least(F.col("freed") / all_others, F.lit(1.0))).otherwise(F.lit(1.0))
-    # Summed as whole millionths: no order of the rows changes a verdict.
-    nats = F.round(-1e6 * F.col("own") * F.log(high + weight * F.col("before") / F.col("types"))).cast("long")
-    return own.select("row", nats.alias("nats")).groupBy("row").agg((F.sum("nats") / 1e6).alias("pair_nll"))
+FIGURES = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, nll double"
+CHUNKS = "chunk long, n_pairs long, docs binary, sizes binary, words binary"
 
 
-FIGURES = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, nll double"
+def character_nll(texts: list[bytes], shard: Shard, n_shards: int = 1, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's characters, and the part of its negative log-probability that the shard holds."""
+    key, doc = grams([joined(t) for t in texts])
+    n_chars = np.bincount(doc[(key & (SYMBOLS - 1)) < TRAIL], minlength=len(texts))
+    if n_shards > 1:
+        own = (key >> SYMBOL_BITS & (SYMBOLS - 1)) % n_shards == which
+        key, doc = key[own], doc[own]
+    pair, times = np.unique(key << 16 | doc, return_counts=True)
+    keys, at = np.unique(pair >> 16, return_inverse=True)
+    value = shard.log_probabilities(keys)[at]
+    return n_chars, -np.bincount(pair & 0xFFFF, times * value, minlength=len(texts))
+
+
+def base_figures(texts: list[bytes], words: list[list[bytes]], n_chars: np.ndarray) -> list:
+    n_words = np.array([len(w) for w in words], np.int64)
+    lines = [[x for x in t.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")] for t in texts]
+    symbols = [sum(t.count(SYMBOL_CHARS[i : i + 1]) for i in range(len(SYMBOL_CHARS))) for t in texts]
+    return [n_words, np.maximum(n_chars - np.maximum(n_words - 1, 0), 0), symbols, [len(x) - len(set(x)) for x in lines], repeat_words(words), n_chars]
+
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded bytes and rows."""
+    for big in slices(batches, "text", SLICE):
+        yield from (big.slice(i, 1 << 15) for i in range(0, big.num_rows, 1 << 15))
 
-def figures(rows: DataFrame, part: tuple[int, int, Shard]) -> DataFrame:
-    """Base figures of each text, and the part of its negative log-probability that the shard holds."""
+
+def chunks(rows: DataFrame, part: tuple[int, int, Shard], known: np.ndarray) -> DataFrame:
+    """Chunks of about ``CHUNK_WORDS`` words: the documents' figures, their numbers of words and the words' ids."""
+    n_shards, which, _ = part
+    sent = rows.sparkSession.sparkContext.broadcast((part[2], HashArrays(known, np.arange(2, 2 + len(known)))))
+    names = [f.split()[0] for f in FIGURES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (shard, ids), hashes = sent.value, WordHashes()
+        docs, found, chunk = [], [], TaskContext.get().partitionId() << 33
+
+        def out() -> pa.RecordBatch:
+            batch = pa.Table.from_batches(docs).combine_chunks().to_batches()[0]
+            sizes, words = batch.column(3).to_numpy(), np.concatenate(found)
+            row = {"chunk": chunk, "n_pairs": len(np.unique(pair_keys(words, sizes))), "docs": ipc(batch), "sizes": packed(sizes), "words": packed(words)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("n_pairs", pa.int64()), *((c, pa.binary()) for c in ("docs", "sizes", "words"))]))
+
+        for b in pieces(batches):
+            texts = b.column(3).to_pylist()
+            words = [t.split() for t in texts]
+            n_chars, nll = character_nll(texts, shard, n_shards, which)
+            cols = base_figures(texts, words, n_chars)
+            docs.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array(nll, pa.float64())], names=names))
+            found.append(np.nan_to_num(ids.find(hashes.sequence(words)), nan=RARE).astype(np.int64))
+            if sum(map(len, found)) >= CHUNK_WORDS or sum(d.num_rows for d in docs) >= CHUNK_WORDS:
+                yield out()
+                docs, found, chunk = [], [], chunk + 1
+        if docs:
+            yield out()
+
+    return rows.mapInArrow(run, CHUNKS)
+
+
+def ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def scored(chunked: DataFrame, found: DataFrame, n_buckets: int, model: PairModel) -> DataFrame:
+    """``FIGURES`` and ``pair_nll`` of every document: each chunk meets its answers."""
+    sent = chunked.sparkSession.sparkContext.broadcast(model)
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = rows.filter(pa.compute.equal(rows["bucket"], -1)).to_pylist()[0]
+        replies = rows.filter(pa.compute.greater_equal(rows["bucket"], 0)).sort_by("bucket")["a"].to_pylist()
+        n = np.concatenate([unpacked(x) for x in replies]) if replies else np.zeros(0, np.int64)
+        nats = document_nats(unpacked(own["c"]), unpacked(own["b"]), n, n_buckets, sent.value)
+        return pa.ipc.open_stream(own["a"]).read_all().append_column("pair_nll", pa.array(nats, pa.float64()))
+
+    docs = chunked.select("chunk", F.lit(-1).alias("bucket"), F.col("docs").alias("a"), F.col("sizes").alias("b"), F.col("words").alias("c"))
+    replies = found.filter("chunk is not null").select("chunk", "bucket", F.col("n").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
+    return docs.unionByName(replies).groupBy("chunk").applyInArrow(run, FIGURES + ", pair_nll double")
+
+
+def shard_nll(rows: DataFrame, part: tuple[int, int, Shard]) -> DataFrame:
+    """``row, more``: a further shard's part of each text's negative log-probability."""
     n_shards, which, _ = part
     sent = rows.sparkSession.sparkContext.broadcast(part[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in slices(batches, "text", SLICE):
-            for b in (big.slice(i, 1 << 15) for i in range(0, big.num_rows, 1 << 15)):
-                raw = b.column(3).to_pylist()
-                words = [t.split() for t in raw]
-                texts = [joined(t) for t in raw]
-                n_words = np.array([len(w) for w in words], np.int64)
-                key, doc = grams(texts)
-                n_chars = np.bincount(doc[(key & (SYMBOLS - 1)) < TRAIL], minlength=len(raw))
-                if n_shards > 1:
-                    own = (key >> SYMBOL_BITS & (SYMBOLS - 1)) % n_shards == which
-                    key, doc = key[own], doc[own]
-                pair = np.sort(key << 16 | doc)
-                head = np.flatnonzero(np.diff(pair, prepend=-1))
-                times = np.diff(head, append=len(pair))
-                pair = pair[head]
-                key = pair >> 16
-                first = np.diff(key, prepend=-1) != 0
-                value = sent.value.log_probabilities(key[first])[np.cumsum(first) - 1]
-                nll = -np.bincount(pair & 0xFFFF, times * value, minlength=len(raw))
-                lines = [[x for x in t.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")] for t in raw]
-                cols = [n_words, np.maximum(n_chars - np.maximum(n_words - 1, 0), 0), [sum(t.count(c) for c in (SYMBOL_CHARS[i : i + 1] for i in range(len(SYMBOL_CHARS)))) for t in raw], [len(x) - len(set(x)) for x in lines], repeat_words(words), n_chars]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array(nll, pa.float64())], names=[f.split()[0] for f in FIGURES.split(", ")])
-
-    return rows.mapInArrow(run, FIGURES)
+        for b in pieces(batches):
+            nll = character_nll(b.column(1).to_pylist(), sent.value, n_shards, which)[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nll, pa.float64())], names=["row", "more"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, more double")
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shard_rows: int, bucket_pairs: int) -> DataFrame:
+    """Base figures, ``nll`` and ``pair_nll`` of every row, written."""
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.materialise(counted(docs, text_col), "counts")
+        table = scratch.materialise(model_table(counts.filter("kind = 0").drop("kind"), scratch.materialise), "model")
+        known = vocabulary(counts.filter("kind = 1"))
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(docs, text_col))
+        parts = shards(table, shard_rows)
+        first = next(parts)
+        if first[0] > 1:  # rows are numbered once, for all shards
+            rows = scratch.materialise(rows, "rows")
+        chunked = scratch.materialise(chunks(rows, first, known), "chunks", **{"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
+        more = [scratch.materialise(shard_nll(rows, p), "shard") for p in parts]
+        n_buckets = max(1, -(-(chunked.agg(F.sum("n_pairs")).first()[0] or 0) // bucket_pairs))
+        found = scratch.materialise(answers(chunked, n_buckets), "pairs")
+        out = scored(chunked, found, n_buckets, pair_model(found, len(known) + 2))
+        if more:
+            rest = more[0]
+            for m in more[1:]:
+                rest = rest.unionByName(m)
+            out = out.join(rest.groupBy("row").agg(F.sum("more").alias("more")), "row").withColumn("nll", F.col("nll") + F.col("more")).drop("more")
+        return materialise(out, "scored")
 
 
 def middle(rows: DataFrame, bin_: Column, name: str) -> DataFrame:
@@ -359,18 +548,9 @@ def sized(by_language: DataFrame, name: str) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", measures: tuple[Measure, ...] = MEASURES, allow: float = ALLOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", measures: tuple[Measure, ...] = MEASURES, allow: float = ALLOW, shard_rows: int = SHARD_ROWS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """Base figures, ``base_failed``, both perplexities, its language's bands and ``kept`` for every row."""
-    table = materialise(model_table(materialise(counted(docs, text_col), "counts")), "model")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(docs, text_col))
-    parts = [materialise(figures(rows, part), "figures") for part in shards(table, shard_rows)]
-    found = parts[0]
-    if len(parts) > 1:
-        for more in parts[1:]:
-            found = found.unionByName(more)
-        same = [f.split()[0] for f in FIGURES.split(", ")[1:-1]]
-        found = found.groupBy("row").agg(*(F.first(c).alias(c) for c in same), F.sum("nll").alias("nll"))
-    found = materialise(found.join(pair_nll(rows).hint("merge"), "row", "left"), "scored").withColumn("n_pairs", F.col("n_words"))
+    found = measured(docs, id_col, text_col, lang_col, shard_rows, bucket_pairs).withColumn("n_pairs", F.col("n_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = found.withColumn("base_failed", failed).withColumns({m.prefix + "log_perplexity": m.value() for m in measures})
     sound = found.filter(~F.col("base_failed") & F.col("nll").isNotNull() & (F.col("word_chars") > 0))
