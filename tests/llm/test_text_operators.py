@@ -58,7 +58,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -100,6 +99,17 @@ def test_packing_odd_rows(odd, empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_added_tokens_are_those_of_the_library():
+    words, pieces = token_files.word_encoder(P.path("word_bpe_49k.json")), vocab.from_byte_level_json(P.path("byte_bpe_50k.json"))
+    a, b = library("word_bpe_49k.json"), library("byte_bpe_50k.json")
+    rng = random.Random(4)
+    some = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " ", "  ", "\n", "word", "É", "Ω", "\u3000", "'s", "7"]
+    texts = ["a <|endoftext|> b", "", "<|endoftext|>", *("".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(3000))]
+    for t, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == a(t)
+        assert vocab.around_added(P.path("byte_bpe_50k.json"), t, lambda x: vocab.encode_text(pieces, x)) == b(t)
+
+
 # top-k
 
 
@@ -496,3 +506,22 @@ def test_pipeline_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rng = random.Random(11)
+    some = [f"word{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choice(some) for _ in range(90)) + "."
+    good = [text() for _ in range(12)]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(good[:8])] + [(None, good[8], "en", "a", 0), (None, "too short", "en", "a", 0), (3, "too short", "en", "a", 0), (3, good[9], None, "b", 0), (None, good[8], "en", "c", 0), (1, good[1], "en", "d", 0), (50, good[0] + "", "en", "e", 0), (9, None, "en", "f", 0)]
+    frame = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as root", "'x' as key_id", "2 as first")
+    kept = quality.without_rejected(frame, allow=1e6)  # bands that a few documents can't leave
+    assert kept.columns == frame.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter((r[0], r[1]) for r in rows if r[1] and len(r[1]) > 20)
+    left = C.STAGES[2][1](spark, frame, SF)
+    assert left.columns == frame.columns
+    got = [(r.doc_id, r.text or "") for r in left.collect()]
+    want = {(i, t) for i, t in enumerate(good[:8])} | {(None, good[8]), (3, "too short"), (3, good[9]), (9, "")}
+    assert len(got) == len(want) and set(got) == want

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
@@ -96,6 +96,11 @@ def text_of(docs: DataFrame, text_col: str, alias: str = "text"):
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias(alias)
 
 
+def row_key(*values: Column) -> list[Column]:
+    """Two join keys of a row: its id (first value; null counts as -1) and a hash of all values."""
+    return [F.coalesce(values[0].cast("long"), F.lit(-1)).alias("key_id"), F.xxhash64(*values).alias("key_hash")]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one holds about ``max_bytes`` of ``column`` (or a single row)."""
     for batch in batches:

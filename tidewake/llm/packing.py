@@ -7,6 +7,9 @@ tokens at the multiples of ``seq_len``; a document that crosses a cut gives
 boundary records.  There is no shuffle of tokens, and only the last sequence
 is short, so padding is below ``seq_len`` ids in total.
 
+Ids are the library's: an added token in a text, such as an end mark, gives its
+own id.
+
 Defined results: a null text is an empty one (it gives its end id); a null
 ``doc_id`` stays null; repeated rows are packed as often as they occur; an
 empty table gives no rows; other columns are not read.
@@ -15,6 +18,7 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, text_of
-from .vocab import encode_text, from_byte_level_json
+from .vocab import around_added, encode_text, from_byte_level_json
 
 ENCODED = "doc_id long, part int, local_start long, doc_tokens long, tokens binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tokens binary, continued boolean, continues boolean"
@@ -38,7 +42,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
         for b in slices(batches, "text"):
             blobs, starts, counts = [], [], []
             for text in b.column(1).to_pylist():
-                ids = np.array(encode_text(enc, text.decode("utf-8", "replace")) + end, "<u4")
+                ids = np.array(around_added(tokenizer, text.decode("utf-8", "replace"), partial(encode_text, enc)) + end, "<u4")
                 blobs.append(ids.tobytes())
                 starts.append(at)
                 counts.append(len(ids))

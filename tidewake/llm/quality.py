@@ -34,7 +34,7 @@ cheap and no junk.  Medians come from exact histograms on fine grids.
 Defined results: null and empty texts have no words, fail the base rules and
 take no part in the bands; a null language is one of its own; repeated rows
 count as often as they occur; an empty table gives no rows; other columns are
-not read.
+not read (``without_rejected`` passes them on).
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialise, slices, text_of
+from .common import Scratch, materialise, row_key, slices, text_of
 
 ORDER, SYMBOL_BITS, BOS = 4, 12, 1
 SYMBOLS = 1 << SYMBOL_BITS
@@ -412,7 +412,7 @@ def discount(n: Column) -> Column:
     return F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-FIGURES = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, nll double"
+FIGURES = "row long, doc_id long, lang string, key_id long, key_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, nll double"
 CHUNKS = "chunk long, n_pairs long, docs binary, sizes binary, words binary"
 
 
@@ -454,16 +454,16 @@ def chunks(rows: DataFrame, part: tuple[int, int, Shard], known: np.ndarray) ->
 
         def out() -> pa.RecordBatch:
             batch = pa.Table.from_batches(docs).combine_chunks().to_batches()[0]
-            sizes, words = batch.column(3).to_numpy(), np.concatenate(found)
+            sizes, words = batch.column("n_words").to_numpy(), np.concatenate(found)
             row = {"chunk": chunk, "n_pairs": len(np.unique(pair_keys(words, sizes))), "docs": ipc(batch), "sizes": packed(sizes), "words": packed(words)}
             return pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("n_pairs", pa.int64()), *((c, pa.binary()) for c in ("docs", "sizes", "words"))]))
 
         for b in pieces(batches):
-            texts = b.column(3).to_pylist()
+            texts = b.column("text").to_pylist()
             words = [t.split() for t in texts]
             n_chars, nll = character_nll(texts, shard, n_shards, which)
             cols = base_figures(texts, words, n_chars)
-            docs.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array(nll, pa.float64())], names=names))
+            docs.append(pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:5]), *(pa.array(c, pa.int64()) for c in cols), pa.array(nll, pa.float64())], names=names))
             found.append(np.nan_to_num(ids.find(hashes.sequence(words)), nan=RARE).astype(np.int64))
             if sum(map(len, found)) >= CHUNK_WORDS or sum(d.num_rows for d in docs) >= CHUNK_WORDS:
                 yield out()
@@ -510,13 +510,22 @@ def shard_nll(rows: DataFrame, part: tuple[int, int, Shard]) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, more double")
 
 
+def language(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")
+
+
+def keys(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[Column]:
+    """Rows that agree on these have the same verdict."""
+    return row_key(F.col(id_col).cast("long"), language(lang_col), text_of(docs, text_col))
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shard_rows: int, bucket_pairs: int) -> DataFrame:
     """Base figures, ``nll`` and ``pair_nll`` of every row, written."""
     with Scratch(docs.sparkSession) as scratch:
         counts = scratch.materialise(counted(docs, text_col), "counts")
         table = scratch.materialise(model_table(counts.filter("kind = 0").drop("kind"), scratch.materialise), "model")
         known = vocabulary(counts.filter("kind = 1"))
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(docs, text_col))
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), language(lang_col), *keys(docs, id_col, text_col, lang_col), text_of(docs, text_col))
         parts = shards(table, shard_rows)
         first = next(parts)
         if first[0] > 1:  # rows are numbered once, for all shards
@@ -568,3 +577,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         least_ = F.col(m.prefix + "lower") if m.lower else F.lit(float("-inf"))
         inside &= F.coalesce(F.col(m.prefix + "log_perplexity").between(least_, F.col(m.prefix + "upper")), F.lit(False))
     return banded.withColumn("kept", inside).drop("row", "nll", "pair_nll", "n_pairs", *(f"{c}_{m.per}" for m in measures for c in ("centre", "spread")))
+
+
+def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: object) -> DataFrame:
+    """The rows that are kept, with their columns as they are.  Each is judged by its own text, whatever else has its id."""
+    kept = judge(docs, id_col, text_col, lang_col, **limits).filter("kept").select("key_id", "key_hash")
+    names = [f"column {i}" for i in range(len(docs.columns))]  # clash with none of ours
+    keyed = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), *keys(docs, id_col, text_col, lang_col))
+    left = keyed.join(kept.hint("merge"), ["key_id", "key_hash"], "left_semi")
+    return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, slices, text_of
+from .common import materialise, row_key, shared_dir, slices, text_of
 
 SEED, DISTANCE = 42, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -61,14 +61,20 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the fingerprint as a signed long."""
+    """``doc_id``, the fingerprint as a signed long and the row's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "key_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col)).mapInArrow(run, "doc_id long, fp long")
+    text = text_of(docs, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text, keys(docs, id_col, text_col)[1]).mapInArrow(run, "doc_id long, fp long, key_hash long")
+
+
+def keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Rows that agree on these are copies under one id."""
+    return row_key(F.col(id_col).cast("long"), text_of(docs, text_col))
 
 
 def block_keys(fp):
@@ -159,17 +165,35 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the least id that links reach."""
+def grouped(docs: DataFrame, words: int, distance: int, id_col: str, text_col: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' fingerprints, and each distinct one's ``root`` (of its component) and ``least`` id."""
     rows = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(distinct.select("fp"), distance, bucket_rows))
+    return rows, distinct.join(linked.hint("merge"), distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id``, the least id that links reach."""
+    rows, named = grouped(docs, words, distance, id_col, text_col, bucket_rows)
     # A component's node of least fingerprint need not hold its least document.
-    named = distinct.join(linked.hint("merge"), distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = named.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
     return rows.join(names.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of each component, its columns as they are: of the least id (null is the highest), of its texts the one of the least hash."""
+    rows, named = grouped(docs, words, distance, id_col, text_col, bucket_rows)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key_hash"))
+    of_print = rows.groupBy("fp").agg(F.min(rank).alias("first"))
+    first = of_print.join(named.select("fp", "root").hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    first = first.select(F.coalesce("first.doc_id", F.lit(-1)).alias("key_id"), F.col("first.key_hash").alias("key_hash"))
+    names = [f"column {i}" for i in range(len(docs.columns))]  # clash with none of ours
+    keyed = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), *keys(docs, id_col, text_col))
+    left = keyed.join(first.hint("merge"), ["key_id", "key_hash"], "left_semi").dropDuplicates(["key_id", "key_hash"])
+    return left.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+
+
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

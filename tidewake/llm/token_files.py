@@ -11,7 +11,8 @@ Texts of ASCII and Latin-1 letters, whose pre-tokens are plain, are merged by
 rank; others go to the ``tokenizers`` library.  White space is no part of any
 token of a word-end vocabulary, so the latter are cut at ASCII white space and
 each distinct piece is encoded once per worker, into a bounded cache.  Tests
-hold both ways against the library on whole texts.
+hold both ways against the library on whole texts.  An added token in a text
+gives its own id, as in the library.
 
 Defined results: a null text is empty (it gives its end id); null ids sort
 first; repeated rows stay; an empty table writes no rows; other columns are
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import list_array, slices, text_of
-from .vocab import encode_plain, from_word_end_json
+from .vocab import added_tokens, around_added, encode_plain, from_word_end_json
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 CACHE_WORDS = 200_000
@@ -43,15 +44,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranks = from_word_end_json(path)
+        self.path, self.ranks = path, from_word_end_json(path)
+        self.added = [t.encode() for t in added_tokens(path)[1]]
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        plain = [encode_plain(self.ranks, t.decode("utf-8", "replace")) for t in texts]
+        plain = [self._around(t) if any(a in t for a in self.added) else encode_plain(self.ranks, t.decode("utf-8", "replace")) for t in texts]
         rest = iter(self._by_pieces([t for t, p in zip(texts, plain, strict=True) if p is None]))
         return [next(rest) if p is None else np.array(p, "<i4") for p in plain]
 
+    def _around(self, text: bytes) -> list[int]:
+        def between(part: str) -> list[int]:
+            ids = encode_plain(self.ranks, part)
+            return self._by_pieces([part.encode()])[0].tolist() if ids is None else ids
+
+        return around_added(self.path, text.decode("utf-8", "replace"), between)
+
     def _by_pieces(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.split() for t in texts]
         new = list(set().union(*words).difference(self.known)) if words else []

@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
@@ -28,6 +29,30 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[re.Pattern[str] | None, dict[str, int]]:
+    """A pattern of the added tokens of a ``tokenizers`` file, which its library finds in the raw text first, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+        raise ValueError(f"{path}: added tokens with conditions")
+    ids = {t["content"]: t["id"] for t in added}
+    return re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None, ids
+
+
+def around_added(path: str, text: str, encode: Callable[[str], list[int]]) -> list[int]:
+    """Ids of a text: of its added tokens, and by ``encode`` of what stands between them."""
+    pattern, ids = added_tokens(path)
+    out: list[int] = []
+    at = 0
+    for m in pattern.finditer(text) if pattern else ():
+        if m.start() > at:
+            out += encode(text[at : m.start()])
+        out.append(ids[m[0]])
+        at = m.end()
+    return out + encode(text[at:]) if at < len(text) or not at else out
+
+
 @lru_cache(maxsize=2)
 def from_ranks(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -40,7 +65,7 @@ def from_byte_level_json(path: str) -> tiktoken.Encoding:
     """The byte-level BPE of a ``tokenizers`` file, run by rank.
 
     Ids equal those of the ``tokenizers`` library (tested) where ids rise in
-    the order of the merges, which is checked; special tokens are plain text.
+    the order of the merges, which is checked; added tokens are the callers' (``around_added``).
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
