@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
-Every stage works on all rows that its predecessor kept.  Rows whose
-``doc_id`` is null are judged by the first two stages and redacted, but not
-compared: there is no id to choose a survivor by.
+Every stage works on all rows that its predecessor kept, and decides row by row:
+neither a null ``doc_id`` nor one that several rows share lets one text's verdict
+hold for another.  Null texts are empty, so they fail the quality rules; further
+columns of ``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from tidewake.llm.queries import table, vocabulary
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity bands."""
-    kept = quality.judge(docs).groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("kept").alias("kept")).filter("kept")
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return quality.without_rejected(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least id; one row of an id."""
-    found = simhash.near_duplicates(docs.filter("doc_id is not null"))
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each component of near-duplicates: of the least id (null is the highest)."""
+    return simhash.without_near_duplicates(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
