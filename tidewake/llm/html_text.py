@@ -1,10 +1,13 @@
 """Main text of HTML pages from flat text blocks.
 
 A page is cut into flat text blocks at block-level tags.  A block's features
-are its word count and link density, those of its two neighbours, and what
-encloses it (article, boilerplate element, a telling class or id).  A decision
-tree, trained on a small labelled table of blocks by Gini gain, keeps or drops
-each block; the kept ones, joined in page order by two line ends, are the text.
+are its word count and link density (the share of its visible characters that
+are links), those of its two neighbours, and what encloses it: an article, a
+boilerplate element such as an aside, footer, form or menu, a telling class or
+id, comments.  A ``main`` element speaks for itself: what encloses it isn't
+counted.  A decision tree, trained on a small labelled table of blocks by Gini
+gain, keeps or drops each block; the kept ones, joined in page order by two line
+ends, are the text.
 
 Only one pass over the markup is made, in linear time, so long pages and
 broken markup do no harm.  Defined results: a null page is empty and has an
@@ -39,8 +42,13 @@ SKIPPED = frozenset("script style template noscript iframe object svg math selec
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Words of a class, id or role that tell of boilerplate.
-HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary cookie cookies consent contentinfo copyright disqus footer form header hidden login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar warning widget".split())
+#: Parts of a class, id or role that tell of boilerplate; of reader comments; whole names that do.
+HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs complementary cookie cookies consent contentinfo copyright footer form login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe tags teaser teasers toolbar topbar warning widget widgets".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+WHOLE = frozenset("hidden header site-header page-header top-header site-info legal bottom".split())
+#: Names that begin so describe a layout, not a part of it.
+_LAYOUT = ("has-", "with-", "without-", "no-", "is-", "js-")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SELF_CLOSING = {"p": "p", "li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dd", "dd": "dd", "option": "option"}
 
 
@@ -48,30 +56,48 @@ _SELF_CLOSING = {"p": "p", "li": "li", "td": "td", "th": "td", "tr": "tr", "dt":
 class Block:
     text: str
     words: int
-    link_words: int
+    density: float
     article: bool
     boiler: bool
     hint: bool
+    comment: bool
     heading: bool
     row: list[float] = field(default_factory=list)
 
 
+def told(attrs: str) -> tuple[bool, bool]:
+    """Whether the class, id or role tells of boilerplate, of comments."""
+    hint = comment = False
+    for v in _HINT_ATTR.finditer(attrs):
+        for name in (v[1] or v[2] or v[3] or "").split():
+            low = name.lower()
+            if low in WHOLE:
+                hint = True
+            elif not low.startswith(_LAYOUT):
+                parts = {p.lower() for p in _PARTS.findall(name)}
+                hint |= not parts.isdisjoint(HINTS)
+                comment |= not parts.isdisjoint(COMMENTS)
+    return hint or _HIDDEN.search(attrs) is not None, comment
+
+
 def blocks(html: str) -> list[Block]:
     """The flat text blocks of a page with words, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # (element, what it adds)
     open_at: dict[str, list[int]] = {}  # places in the stack of each element's open ones
-    depth = {"article": 0, "boiler": 0, "hint": 0, "heading": 0, "skip": 0, "link": 0}
+    depth = {"article": 0, "boiler": 0, "hint": 0, "heading": 0, "skip": 0, "link": 0, "comment": 0, "main": 0}
     kinds = tuple(depth)
     piece: list[tuple[str, bool]] = []
+    outside = {"boiler": 0, "hint": 0}  # what encloses main
     at, n = 0, len(html)
 
     def flush() -> None:
         if piece:
             text = " ".join("".join(t for t, _ in piece).split())
             if text:
-                linked = sum(len(t.split()) for t, link in piece if link)
-                out.append(Block(text, text.count(" ") + 1, linked, depth["article"] > 0, depth["boiler"] > 0, depth["hint"] > 0, depth["heading"] > 0))
+                linked = sum(len("".join(t.split())) for t, link in piece if link)
+                by_main = {k: depth[k] > (outside[k] if depth["main"] else 0) for k in outside}
+                out.append(Block(text, text.count(" ") + 1, linked / len(text.replace(" ", "")), depth["article"] > 0, by_main["boiler"], by_main["hint"], depth["comment"] > 0, depth["heading"] > 0))
             piece.clear()
 
     def add(marks: int, by: int) -> None:
@@ -133,11 +159,13 @@ def blocks(html: str) -> list[Block]:
                 break
             at = html.find(">", close.start()) + 1 or n
             continue
-        words = {w for v in _HINT_ATTR.finditer(attrs) for w in re.split(r"[^a-z]+", (v[1] or v[2] or v[3] or "").lower())} if attrs else set()
-        inside = depth["article"] > 0
-        marks = (name in ("article", "main")) | (name in BOILER or name == "header" and not inside) << 1
-        marks |= (bool(words & HINTS) or bool(attrs) and _HIDDEN.search(attrs) is not None) << 2
+        hint, comment = told(attrs) if attrs else (False, False)
+        inside, body = depth["article"] > 0, name in ("article", "main")
+        if name == "main" and not depth["main"]:
+            outside = {k: depth[k] for k in outside}
+        marks = body | (name in BOILER or name == "header" and not inside) << 1 | (hint and not body) << 2
         marks |= (len(name) == 2 and name[0] == "h" and name[1] in "123456") << 3 | (name in SKIPPED) << 4 | (name == "a") << 5
+        marks |= comment << 6 | (name == "main") << 7
         if name == "body" or name == "html":
             marks = 0
         if not attrs.endswith("/") or name not in ("svg", "math"):
@@ -147,23 +175,48 @@ def blocks(html: str) -> list[Block]:
     flush()
     for i, b in enumerate(out):
         near = [out[j] if 0 <= j < len(out) else None for j in (i - 1, i + 1)]
-        b.row = [float(b.article), float(b.boiler), float(b.hint), float(b.heading), float(b.words), b.link_words / b.words]
+        b.row = [float(b.article), float(b.boiler), float(b.hint), float(b.comment), float(b.heading), float(b.words), b.density]
         for x in near:
-            b.row += [float(x.words) if x else 0.0, x.link_words / x.words if x else 0.0]
+            b.row += [float(x.words) if x else 0.0, x.density if x else 0.0]
     return out
 
 
-_MENU = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About us</a></li><li><a href='/c'>Latest news today</a></li></ul></nav>"
-_LONG = "A longer paragraph of the article tells in many plain words what happened that day and why it mattered to those who lived there, and it goes on."
-#: The small labelled table: (page, the texts of its blocks that are main text).
-LABELLED = (
-    (f"<body>{_MENU}<div class='ad'>Buy two of these now and get one.</div><article><h1>A headline</h1><p>{_LONG}</p><p>Short.</p><p>{_LONG} More.</p></article><footer>&copy; The paper, all rights reserved</footer></body>", ("A headline", _LONG, "Short.", _LONG + " More.")),
-    (f"<body><header><a href='/'>The Site</a> <p>Your daily source</p></header>{_MENU}<main><h1>Title of it</h1><p>One.</p><p>{_LONG}</p><ul><li>first item</li><li>second item of the list</li></ul><blockquote>A quote by someone.</blockquote></main><aside><h3>Read next</h3><p>{_LONG}</p></aside><footer><p>Imprint</p><a href='/x'>Contact</a></footer></body>", ("Title of it", "One.", _LONG, "first item", "second item of the list", "A quote by someone.")),
-    (f"<body><div id='menu'><a href='/1'>One</a><a href='/2'>Two</a></div><div><h2>Plain page heading</h2><p>{_LONG}</p><p>{_LONG} Again.</p></div><div class='comments'><p>Nice text, thanks for it!</p><p>{_LONG}</p></div><div class='sidebar'><p>Popular posts of this week</p></div></body>", ("Plain page heading", _LONG, _LONG + " Again.")),
-    (f"<body><div class='cookie notice'>We use cookies to give you the best experience on our website.</div><article><header><h1>Inner header</h1><p>By a writer</p></header><p>{_LONG}</p><p>See <a href='/z'>this page</a> for more on the matter.</p><div class='share'><a href='/s'>Share</a></div><section class='comments'><p>{_LONG}</p></section></article><form><p>Sign up for our letter</p></form></body>", ("Inner header", "By a writer", _LONG, "See this page for more on the matter.")),
-    (f"<body><table><tr><td><a href='/1'>Links</a></td><td><a href='/2'>More links</a></td></tr></table><p>{_LONG}</p><p>{_LONG} Third.</p><p><a href='/3'>Next page</a> <a href='/4'>Last page</a></p></body>", (_LONG, _LONG + " Third.")),
-    (f"<body>{_MENU}<article><h1>Two words</h1><p>Yes.</p><p>No. It is so.</p><p><a href='/q'>A paragraph that is a link only</a></p><p>{_LONG}</p></article><div class='related'><p>{_LONG}</p></div></body>", ("Two words", "Yes.", "No. It is so.", "A paragraph that is a link only", _LONG)),
+#: Marks a main block in the labelled pages.
+MAIN = "\ue000"
+_TEXTS = (
+    "Yes.",
+    "A line of nine words stands here by itself.",
+    "A longer paragraph of the article tells in many plain words what happened that day and why it mattered to those who lived there, and it goes on.",
 )
+_LINKS = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>About us</a></li><li><a href='/c'>Latest news of today</a></li></ul>"
+#: Page shapes: T is a title, P paragraphs, L a list of links, X a text that is no part of the article.
+SHAPES = (
+    "<nav>L</nav><div class='ad'>X</div><article><h1>T</h1>P</article><footer>X</footer>",
+    "<header><a href='/'>Site</a><p>X</p></header><nav>L</nav><main><h1>T</h1>P<ul><li>\ue000first item</li><li>\ue000second item of it</li></ul><blockquote>\ue000A quote by someone.</blockquote></main><aside><h3>Read next</h3><p>X</p></aside><footer><p>X</p>L</footer>",
+    "<div id='menu'>L</div><div><h2>T</h2>P</div><div class='comments'><p>X</p><p>X</p></div><div class='sidebar'><p>X</p></div>",
+    "<div class='cookie-notice'>X</div><article class='post tags-list'><header><h1>T</h1><p>\ue000By a writer</p></header>P<aside><p>X</p></aside><form><p>X</p></form><div class='share'><a href='/s'>Share</a> X</div><footer>X</footer><section class='comments'><article class='comment'><p>X</p></article></section></article>",
+    "<table><tr><td><a href='/1'>Links</a></td><td><a href='/2'>More links</a></td></tr></table>P<p><a href='/3'>Next page</a> <a href='/4'>Last page</a></p>",
+    "<nav>L</nav><article><h1>T</h1><p>\ue000Yes.</p><p>\ue000<a href='/q'>A paragraph that is a link only</a></p>P</article><div class='related'><article><h3>X</h3><p>X</p></article></div>",
+    "<form id='all'><div class='topbar'>X</div><main><h1>T</h1>P</main><p>X</p></form>",
+    "<div class='has-sidebar'><div class='content'><h1>T</h1>P</div><aside>X</aside></div><footer>X</footer>",
+    "<h1>T</h1>P<hr>L<footer><p>X</p></footer>",
+    "<div role='navigation'>L</div><section><h2>T</h2>P<h3>\ue000Part two</h3>P</section><div id='newsletter'><form><p>X</p></form></div><div class='site-info'>X</div>",
+    "<dialog>X</dialog><article>P<figure><figcaption>\ue000A picture of it</figcaption></figure><nav>L</nav><div class='related-posts'><h3>X</h3>L</div></article><div id='disqus_thread'><p>X</p></div>",
+    "<p><a href='/1'>Home</a> | <a href='/2'>News and more</a> | <a href='/3'>Contact</a></p><h1>T</h1>P<p>More: <a href='/1'>An older story of the year</a>, <a href='/2'>another one</a></p>",
+    "<article><h1>T</h1>P<p>\ue000Read it in <a href='/r'>the report of the office</a> now.</p></article><p>&copy; <a href='/x'>Imprint of the site</a></p>",
+    "<p>T</p><p>\ue000See <a href='/z'>this page</a> for more on the whole matter.</p>P<p><a href='/1'>One</a><a href='/2'>Two</a></p>",
+)
+
+
+def labelled_page(shape: str, title: int, lengths: Sequence[int], other: int) -> str:
+    """A page of a shape, with texts of given lengths."""
+    paragraphs = "".join(f"<p>{MAIN}{_TEXTS[i]}</p>" for i in lengths)
+    fill = {"T": MAIN + _TEXTS[title], "P": paragraphs, "L": _LINKS, "X": _TEXTS[other]}
+    return "<body>" + re.sub(r"(?<=[>\s])[TPLX](?=[<\s])|^[TPLX](?=<)|(?<=>)[TPLX]$", lambda m: fill[m[0]], shape) + "</body>"
+
+
+#: The small labelled table: pages whose main blocks begin with ``MAIN``.
+LABELLED = tuple(labelled_page(s, t, p, x) for s in SHAPES for t, p, x in ((1, (2, 0, 2), 2), (0, (0,), 1), (1, (1, 2), 0), (0, (2,), 2), (1, (0, 1), 2)))
 
 
 def grow(rows: list[list[float]], labels: list[int], depth: int) -> tuple:
@@ -191,13 +244,12 @@ def grow(rows: list[list[float]], labels: list[int], depth: int) -> tuple:
 
 
 @lru_cache(maxsize=4)
-def tree(labelled: Sequence[tuple[str, tuple[str, ...]]] = LABELLED, depth: int = 6) -> tuple:
+def tree(labelled: Sequence[str] = LABELLED, depth: int = 8) -> tuple:
     rows, labels = [], []
-    for html, main in labelled:
-        for b in blocks(html):
-            rows.append(b.row)
-            # The same words may stand in the article and beside it; boilerplate around them decides.
-            labels.append(int(b.text in main and not (b.boiler or b.hint)))
+    for html in labelled:
+        for b, plain in zip(blocks(html), blocks(html.replace(MAIN, "")), strict=True):
+            rows.append(plain.row)
+            labels.append(int(b.text.startswith(MAIN)))
     return grow(rows, labels, depth)
 
 
@@ -212,7 +264,7 @@ def main_text(html: str, model: tuple | None = None) -> str:
     return "\n\n".join(b.text for b in blocks(html) if keeps(model, b.row))
 
 
-def extract(pages: DataFrame, labelled: Sequence[tuple[str, tuple[str, ...]]] = LABELLED, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, labelled: Sequence[str] = LABELLED, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text`` of every page."""
     model = tree(labelled)
 
