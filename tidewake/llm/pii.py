@@ -1,18 +1,22 @@
 """Personal data: exact patterns, and a skip-chain conditional random field.
 
 The base patterns give spans of four kinds by fixed rules, in time linear in a
-text's length.  The field labels the words near digits and ``@`` signs: a word
-has a unary potential from its shape, its neighbours and the base span it lies
-in; neighbouring words share chain potentials; words of one document that
-repeat or resemble each other (the same digits, the same address) share skip
-potentials, from one occurrence to the next.  Loopy sum-product messages over
-this graph settle the labels, so that an entity gets one label all over a
-document.  Spans of the field that touch no base span are added.
-
-Potentials are fitted piecewise on a small labelled table (a parameter): the
-unary ones as a softmax regression, chain and skip ones from label counts.
-Words further than ``REACH`` from any digit or ``@`` are plain, so texts
-without those cost one search.
+text's length.  The field labels the words near digits, ``@`` signs and the
+words that announce a secret: a word has a unary potential from its shape, the
+words before it and the base span it lies in; neighbouring words share chain
+potentials; the words of one document that repeat or resemble each other (the
+same digits, the same address, the same long word) share skip potentials, each
+with one hub, so that any number of them is linked in one step, and the
+observations that stand before any of them.  Loopy sum-product messages over
+this graph settle the labels until no message changes by ``TOLERANCE`` (damped;
+``ROUNDS`` at most, for graphs that never settle).  Spans of the field that
+touch no base span are added.
+
+All potentials are fitted piecewise on a small labelled table (a parameter) in
+four languages: the unary ones as a softmax regression, chain and skip ones from
+the labels of neighbours and of repeats.  What tells of a kind is learned: the
+stems of the two words before, alone and with the word's shape.  Words further
+than ``REACH`` from any trigger are plain, so texts without one cost one search.
 
 Defined results: a null text is empty and has no spans; a null id stays null;
 repeated rows stay; an empty table gives no rows; other columns are not read
@@ -35,9 +39,12 @@ from .common import slices, text_of
 
 Span = tuple[str, int, int]
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "secret")
+KINDS = (*BASE_KINDS, "secret", "id")
 LABELS = ("plain", *KINDS)
-REACH, ROUNDS, LEAST = 6, 12, 0.6
+REACH, LEAST = 6, 0.6
+TOLERANCE, ROUNDS = 1e-3, 400
+#: Letters of a word before a value that count.
+STEM = 5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -98,17 +105,6 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-#: Words that tell of a kind when they stand before a value.
-CUES = {
-    "secret": frozenset("token key secret password passwd pwd apikey api_key bearer auth credential access_token client_secret passphrase".split()),
-    "phone": frozenset("phone tel telephone call mobile cell fax whatsapp dial ring".split()),
-    "card": frozenset("card visa mastercard amex credit debit cardnumber pan".split()),
-    "email": frozenset("email mail e-mail contact write mailto".split()),
-    "ip": frozenset("ip host server address ping ssh".split()),
-    "other": frozenset("version license page chapter order invoice year number no isbn id item room section rev".split()),
-}
-
-
 @dataclass
 class Word:
     text: str
@@ -117,8 +113,15 @@ class Word:
     base: str  # kind of the base span that it lies in
 
 
-def words(text: str, base: Sequence[Span]) -> list[list[Word]]:
-    """Runs of words near triggers; a word without its outer punctuation."""
+def stem(word: str) -> str:
+    return word.lower()[:STEM]
+
+
+def words(text: str, base: Sequence[Span], announcing: frozenset[str] = frozenset()) -> list[list[Word]]:
+    """Runs of words near triggers; a word without its outer punctuation.
+
+    A trigger has a digit or ``@``, or is a long word after a stem that announces secrets and ``=`` or ``:``.
+    """
     found: list[Word] = []
     spans = sorted(base, key=lambda s: s[1])
     marks: list[int] = []
@@ -131,7 +134,8 @@ def words(text: str, base: Sequence[Span]) -> list[list[Word]]:
         while at < len(spans) and spans[at][2] <= start:
             at += 1
         inside = spans[at][0] if at < len(spans) and spans[at][1] < start + len(body) else ""
-        if inside or _TRIGGER.search(body):
+        told = len(body) >= 8 and len(found) > 1 and found[-1].text in "=:" and stem(found[-2].text) in announcing
+        if inside or told or _TRIGGER.search(body):
             marks.append(len(found))
         found.append(Word(body, start, start + len(body), inside))
     runs: list[list[Word]] = []
@@ -171,37 +175,42 @@ def shape(word: str) -> list[str]:
     return out
 
 
-def features(run: Sequence[Word]) -> list[list[str]]:
+def form(word: str) -> str:
+    """The coarse shape that goes with the words before."""
+    d = sum(c.isdigit() for c in word)
+    if not d:
+        return "long" if len(word) >= 8 else "letters"
+    if any(c.isalpha() for c in word):
+        return "mixed" if len(word) >= 8 else "short"
+    return "few" if d < 6 else "digits" if d < 13 else "many"
+
+
+def features(run: Sequence[Word]) -> list[tuple[list[str], list[str]]]:
+    """Of each word, what its own shape tells and what stands before it."""
     out = []
     for i, w in enumerate(run):
-        own = ["bias", *shape(w.text), f"base:{w.base}"]
-        back, equals = 0, False
+        before: list[str] = []
+        equals, like = False, form(w.text)
         for p in reversed(run[max(0, i - 4) : i]):
-            t = p.text.lower()
-            if t in "=:":
-                equals = True
+            if p.text in "=:":
+                equals = equals or not before
                 continue
-            own += [f"cue:{k}:{'near' if back == 0 else 'far'}" for k, cues in CUES.items() if t in cues]
-            back += 1
-            if back == 2:
+            place = "near" if not before else "far"
+            before += [f"{place}:{stem(p.text)}", f"{place}:{stem(p.text)}&{like}"]
+            if place == "near" and equals:
+                before.append(f"equals:{stem(p.text)}&{like}")
+            if place == "far":
                 break
-        if equals:
-            own.append("equals")
-            own += [f"{f}&equals" for f in own if f.startswith("cue:")]
-        has_digit = any(c.isdigit() for c in w.text)
-        own += [f"{f}&digit" for f in own if f.startswith("cue:") and f.count(":") == 2] if has_digit else []
-        if "mixed" in own or "hex" in own:
-            own += [f"{f}&mixed" for f in own if f.startswith("cue:secret")]
-        out.append(own)
+        out.append((["bias", *shape(w.text), f"base:{w.base}", f"form:{like}"], [*before, *([f"equals&{like}"] if equals else [])]))
     return out
 
 
 def alike(word: Word) -> str | None:
-    """What repeated or similar words share: their digits if there are seven or more, the address, or the long mixed word."""
+    """What repeated or similar words share: their digits if there are seven or more, the address, or the long word."""
     d = _digits(word.text)
     if len(d) >= 7 and not any(c.isalpha() for c in word.text):
         return d[-9:] if len(d) < 16 else d
-    if "@" in word.text or len(word.text) >= 12 and d:
+    if "@" in word.text or len(word.text) >= 12:
         return word.text.lower()
     return None
 
@@ -251,6 +260,72 @@ a token of 15 people and a card with 7 stars
 the password has 12 letters and the secret is 1 word
 call it 5 times or 20 times a day
 his phone has 128 apps and a key of 7 parts
+password = [secret correcthorsebattery] is what it was
+secret : [secret qwertzuiopasdf] and nothing else
+passwd = [secret letmeinplease] here
+password : strong ones are best
+the secret : everybody knows everything
+ssn [id 078-05-1120] of the client
+iban : [id DE89370400440532013000] at the bank
+his social security number is [id 219-09-9999] he said
+passport no [id C01X00T478] was lost
+Passwort: [secret geheim12Xy] bitte merken
+das Passwort = [secret sonnenschein] war falsch
+Kennwort : [secret Winter2023ab] gilt noch
+Telefon: [phone 030 5550 7788] im Amt
+Tel. [phone 089-5550123] oder per Post
+Rufnummer [phone 0171-5550199] ab sechs Uhr
+Handy : [phone 01715550188] anrufen
+ruf mich an unter [phone 040-5550177] heute
+die IBAN [id DE02120300000000202051] steht unten
+Steuernummer [id 12/345/67890] angeben
+Ausweis Nr. [id L01X00T471] ist gestohlen
+Karte : [card 4012888888881881] gesperrt
+im Jahr 2019 gab es 12 Berichte auf 340 Seiten
+Bestellung Nr. 88213 vom 05.04.2021 um 10:30
+die Rechnung 2021-00417 ist offen
+Version 4.2.1 mit 1500 Zeilen
+Postleitzahl 10115 und Hausnummer 12
+mot de passe : [secret soleil99Zk] pour entrer
+le mot de passe = [secret bonjourtoutlemonde] ici
+jeton : [secret 8f3c2a9b7d6e5f4a1b2c3d4e] du service
+téléphone : [phone 01 55 50 77 88] le matin
+portable [phone 06 55 50 12 34] le soir
+appelez le [phone 01-5550-1234] avant midi
+tél [phone 0155501234] du bureau
+carte [card 5500000000000004] volée
+iban [id FR7630006000011234567890189] du compte
+passeport [id 12AB34567] perdu
+en 1998 il y avait 250 pages et 12 chapitres
+commande no 55120 du 05/04/2021 à 10:30
+la version 2.0 de la licence
+environ 100000 personnes en 2019
+contraseña: [secret abc123XYZ9] del correo
+la contraseña = [secret mariposaazul] no vale
+clave : [secret k9Qm2Lp7Zt4] de acceso
+teléfono [phone 91 555 01 77] por la tarde
+telefono [phone 030 5550 7788] de casa
+móvil : [phone 655501234] o correo
+llame al [phone 915-550-123] hoy
+tarjeta [card 4111111111111111] robada
+iban : [id ES9121000418450200051332] de la cuenta
+dni [id 12345678Z] del cliente
+en el año 2019 hubo 12 informes de 340 páginas
+pedido no 88213 del 05/04/2021 a las 10:30
+unas 100000 personas y 250 casas
+la versión 3 de la licencia
+call [phone 0800-555-0142] or [phone 0800-555-0142] again
+phone [phone 020-7946-0991] then later [phone 020-7946-0991] and [phone 020-7946-0991] once more
+token = [secret 1f8ac10f23c5b5bc1167bda84b833e5c] so [secret 1f8ac10f23c5b5bc1167bda84b833e5c] it is
+Passwort : [secret herbstlaub77] und nochmal [secret herbstlaub77] hier
+iban [id GB29NWBK60161331926819] and also [id GB29NWBK60161331926819] below
+mail [email a.person@example.com] or [email a.person@example.com] both
+the card [card 4000056655665556] and [card 4000056655665556] twice
+server [ip 10.1.2.3] and then 1234567 and 1234567 of them
+isbn 9783161484100 and the isbn 9783161484100 again
+order 2021-0041788 and order 2021-0041788 were merged
+internationalization and internationalization are long words
+the sum 12345678 and 12345678 were equal
 """
 
 
@@ -260,6 +335,7 @@ class Model:
     unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    announcing: frozenset[str]
 
 
 def parse(table: str = LABELLED) -> list[tuple[str, list[Span]]]:
@@ -276,57 +352,120 @@ def parse(table: str = LABELLED) -> list[tuple[str, list[Span]]]:
     return out
 
 
+@dataclass
+class Graph:
+    """Words of some texts; nodes below ``len(words)`` are words, the rest hubs of those that share a key."""
+
+    words: list[tuple[int, Word]]
+    own: list[list[str]]
+    chain: list[tuple[int, int]]
+    hubs: list[list[int]]
+
+
+def graph(texts: Sequence[str], base: Sequence[Sequence[Span]], announcing: frozenset[str]) -> Graph:
+    g = Graph([], [], [], [])
+    for d, t in enumerate(texts):
+        if not base[d] and _TRIGGER.search(t) is None and ("=" not in t and ":" not in t or not announcing):
+            continue
+        seen: dict[str, list[int]] = {}
+        around: list[list[str]] = []
+        first = len(g.words)
+        for run in words(t, base[d], announcing):
+            for i, (w, (own, before)) in enumerate(zip(run, features(run), strict=True)):
+                here = len(g.words)
+                g.words.append((d, w))
+                g.own.append(own)
+                around.append(before)
+                if i:
+                    g.chain.append((here - 1, here))
+                key = alike(w)
+                if key is not None:
+                    seen.setdefault(key, []).append(here)
+        for some in seen.values():
+            if len(some) > 1:
+                g.hubs.append(some)
+                shared = list(dict.fromkeys(f for n in some for f in around[n - first]))
+                for n in some:
+                    around[n - first] = shared
+        for own, before in zip(g.own[first:], around, strict=True):
+            own += before
+    return g
+
+
+def announcing_stems(table: str) -> frozenset[str]:
+    """Stems that stand before ``=`` or ``:`` and a secret in the table."""
+    out = set()
+    for text, spans in parse(table):
+        for kind, start, _ in spans:
+            before = _WORD.findall(text[:start])
+            if kind == "secret" and len(before) > 1 and before[-1] in "=:":
+                out.add(stem(before[-2]))
+    return frozenset(out)
+
+
+def rates(counts: np.ndarray, limit: float) -> np.ndarray:
+    """What a pair of labels adds to what the two words tell by themselves."""
+    joint = counts / counts.sum()
+    return np.clip(np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))), -limit, limit)
+
+
 @lru_cache(maxsize=4)
 def fit(table: str = LABELLED, steps: int = 600, rate: float = 0.5, penalty: float = 2e-3) -> Model:
     """Piecewise fit of the potentials."""
-    rows, ys, runs = [], [], []
-    for text, spans in parse(table):
-        for run in words(text, base_spans(text)):
-            y = [next((LABELS.index(k) for k, s, e in spans if s < w.end and w.start < e), 0) for w in run]
-            rows += features(run)
-            ys += y
-            runs.append(y)
-    index = {f: i for i, f in enumerate(sorted({f for r in rows for f in r}))}
-    x = np.zeros((len(rows), len(index)))
-    for i, r in enumerate(rows):
+    announcing, k = announcing_stems(table), len(LABELS)
+    parsed = parse(table)
+    g = graph([t for t, _ in parsed], [base_spans(t) for t, _ in parsed], announcing)
+    ys = [next((LABELS.index(kind) for kind, s, e in parsed[d][1] if s < w.end and w.start < e), 0) for d, w in g.words]
+    index = {f: i for i, f in enumerate(sorted({f for r in g.own for f in r}))}
+    x = np.zeros((len(ys), len(index)))
+    for i, r in enumerate(g.own):
         x[i, [index[f] for f in r]] = 1
-    y = np.eye(len(LABELS))[ys]
-    w = np.zeros((len(index), len(LABELS)))
+    y = np.eye(k)[ys]
+    w = np.zeros((len(index), k))
     for _ in range(steps):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w += rate * (8 * x.T @ (y - p) / len(rows) - penalty * w)
-    counts = np.full((len(LABELS),) * 2, 1.0)
-    for y_ in runs:
-        for a, b in zip(y_, y_[1:], strict=False):
-            counts[a, b] += 1
-    joint = counts / counts.sum()
-    # What a pair of labels adds to what the two words tell by themselves, halved: values are mostly one word.
-    chain = 0.5 * np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
-    np.fill_diagonal(chain, np.maximum(np.diag(chain), 0))
-    chain = np.clip(chain, -0.5, 0.5)
-    skip = np.where(np.eye(len(LABELS), dtype=bool), 2.5, -1.5)
-    return Model(index, w, chain, skip)
-
-
-def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Loopy sum-product messages, halfway damped; ``pair[e]`` rates (label of its first word, of its second)."""
-    n, k = unary.shape
+        w += rate * (8 * x.T @ (y - p) / len(ys) - penalty * w)
+    chain, skip = np.full((k, k), 1.0), np.full((k, k), 0.25)
+    for a, b in g.chain:
+        chain[ys[a], ys[b]] += 1
+    for some in g.hubs:
+        hub = max(range(k), key=[ys[n] for n in some].count)
+        for n in some:
+            skip[hub, ys[n]] += 1
+    chain_rates = rates(chain, 0.5)  # values are mostly one word
+    np.fill_diagonal(chain_rates, np.maximum(np.diag(chain_rates), 0))
+    return Model(index, w, chain_rates, rates(skip, 4.0), announcing)
+
+
+def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Loopy sum-product messages, halfway damped; ``pair[e]`` rates (label of its first word, of its second).
+
+    ``group`` numbers the parts of the graph that no edge joins; a part rests when its messages have settled.
+    """
+    k = unary.shape[1]
     to = np.zeros((2, len(edges), k))  # messages into the first and the second word
+    part = np.zeros(len(edges), int) if group is None else group[edges[:, 0]]
+    at = np.arange(len(edges))
     for _ in range(ROUNDS):
+        if not len(at):
+            break
+        ends, mine = edges[at], to[:, at]
         belief = unary.copy()
         for side in (0, 1):
-            np.add.at(belief, edges[:, side], to[side])
-        new = np.empty_like(to)
+            np.add.at(belief, ends[:, side], mine[side])
+        new = np.empty_like(mine)
         for side in (0, 1):
-            rest = belief[edges[:, 1 - side]] - to[1 - side]
-            table = pair + (rest[:, None, :] if side == 0 else rest[:, :, None])
+            rest = belief[ends[:, 1 - side]] - mine[1 - side]
+            table = pair[at] + (rest[:, None, :] if side == 0 else rest[:, :, None])
             axis = 2 if side == 0 else 1
             top = table.max(axis=axis, keepdims=True)
             m = np.log(np.exp(table - top).sum(axis=axis)) + top.squeeze(axis)
             new[side] = m - m.max(axis=1, keepdims=True)
-        to = 0.5 * (to + new)
+        to[:, at] = 0.5 * (mine + new)
+        moved = np.abs(new - mine).max(axis=(0, 2)) >= TOLERANCE
+        at = at[np.isin(part[at], np.unique(part[at][moved]))]
     belief = unary.copy()
     for side in (0, 1):
         np.add.at(belief, edges[:, side], to[side])
@@ -338,39 +477,24 @@ def find_all(texts: Sequence[str], model: Model | None = None) -> list[tuple[lis
     """(base spans, all spans) of each text; the texts' graphs are solved as one, without edges between them."""
     model = model or fit()
     base = [base_spans(t) for t in texts]
-    nodes: list[tuple[int, Word]] = []
-    unary: list[np.ndarray] = []
-    edges: list[tuple[int, int]] = []
-    is_skip: list[bool] = []
-    for d, t in enumerate(texts):
-        if not base[d] and _TRIGGER.search(t) is None:
-            continue
-        seen: dict[str, int] = {}
-        for run in words(t, base[d]):
-            for i, (w, f) in enumerate(zip(run, features(run), strict=True)):
-                here = len(nodes)
-                nodes.append((d, w))
-                unary.append(model.unary[[model.index[x] for x in f if x in model.index]].sum(axis=0))
-                if i:
-                    edges.append((here - 1, here))
-                    is_skip.append(False)
-                key = alike(w)
-                if key is not None:
-                    if key in seen and seen[key] != here - 1:
-                        edges.append((seen[key], here))
-                        is_skip.append(True)
-                    seen[key] = here
+    g = graph(texts, base, model.announcing)
     out = [(b, list(b)) for b in base]
-    if not nodes:
+    if not g.words:
         return out
-    pairs = np.where(np.array(is_skip, bool)[:, None, None], model.skip, model.chain) if edges else np.zeros((0, len(LABELS), len(LABELS)))
-    p = marginals(np.array(unary), np.array(edges, int).reshape(-1, 2), pairs)
-    best = p.argmax(axis=1)
+    n, index = len(g.words), model.index
+    unary = np.zeros((n + len(g.hubs), len(LABELS)))
+    for i, own in enumerate(g.own):
+        unary[i] = model.unary[[index[x] for x in own if x in index]].sum(axis=0)
+    skips = [(n + h, i) for h, some in enumerate(g.hubs) for i in some]
+    edges = np.array([*g.chain, *skips], int).reshape(-1, 2)
+    pairs = np.where((np.arange(len(edges)) < len(g.chain))[:, None, None], model.chain, model.skip)
+    of = np.array([d for d, _ in g.words] + [g.words[some[0]][0] for some in g.hubs])
+    p = marginals(unary, edges, pairs, of)[:n]
     last: tuple[int, str, int] | None = None
-    for (d, w), k, q in zip(nodes, best, p.max(axis=1), strict=True):
+    for (d, w), k, q in zip(g.words, p.argmax(axis=1), p.max(axis=1), strict=True):
         if k and q >= LEAST and not w.base and any(c.isalnum() for c in w.text):
             kind, spans = LABELS[k], out[d][1]
-            if last and last[:2] == (d, kind) and kind == "phone" and not texts[d][last[2] : w.start].strip(" ().-"):
+            if last and last[:2] == (d, kind) and kind in ("phone", "id") and not texts[d][last[2] : w.start].strip(" ().-/"):
                 spans[-1] = (kind, spans[-1][1], w.end)
             else:
                 spans.append((kind, w.start, w.end))

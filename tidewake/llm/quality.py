@@ -66,7 +66,7 @@ SLICE, MERGE_AT = 1 << 20, 2_000_000
 #: The word model: the share of all words that makes a symbol, ids of the others and of a text's start; words of a chunk,
 #: pairs of a bucket, words' hashes that a task remembers.
 VOCABULARY, ID_BITS, RARE, START = 1 << 21, 22, 0, 1
-CHUNK_WORDS, BUCKET_PAIRS, HASHES = 2_000_000, 2_000_000, 300_000
+CHUNK_WORDS, BUCKET_PAIRS, HASHES = 1_000_000, 2_000_000, 300_000
 ALLOW = 40.0
 
 
