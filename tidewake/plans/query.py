@@ -17,12 +17,16 @@ class Query:
     needs: tuple[str, ...]
     body: Callable[[Dialect], str]
     steps: Callable[[Dialect], list[tuple[str, str]]] | None = None
+    #: Gives the result from DataFrames (by their tables' names); the SQL is then the oracle's alone.
+    frame: Callable[[Callable[[str], DataFrame]], DataFrame] | None = None
 
     def text(self, d: Dialect) -> str:
         return counted(with_tables(d, self.needs, self.steps(d) if self.steps else []) + self.body(d))
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
+        if self.frame is not None:
+            return self.frame(lambda name: spark.sql(f"{with_tables(SPARK, (name,))}select * from {name}"))
         return spark.sql(self.text(SPARK))
 
     def oracle(self) -> str:
@@ -46,6 +50,6 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def query(name: str, *needs: str, steps: Callable[[Dialect], list[tuple[str, str]]] | None = None):
+def query(name: str, *needs: str, steps: Callable[[Dialect], list[tuple[str, str]]] | None = None, frame: Callable[[Callable[[str], DataFrame]], DataFrame] | None = None):
     """Makes a Query of a function from a dialect to SQL."""
-    return lambda body: Query(name, needs, body, steps)
+    return lambda body: Query(name, needs, body, steps, frame)

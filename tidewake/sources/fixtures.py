@@ -41,12 +41,15 @@ def tables(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
   greatest(least(0.8e0 + 0.4e0 * major_axis_km + 0.5e0 * sqrt(area_km2), 17e0), 1e0) as age_h,
   detected_at - greatest(least(0.8e0 + 0.4e0 * major_axis_km + 0.5e0 * sqrt(area_km2), 17e0), 1e0) * 3600e0 as release_ts,
   greatest(0.3e0 + 0.1e0 * major_axis_km, 1e0) as sigma_km from slicks"""),
+        "cases": (("releases",), """select id, olon, olat + case when id % 11 = 0 then 2e0 else 0e0 end as olat, release_ts + case when id % 7 = 0 then 9e6 else 0e0 end as release_ts,
+  sigma_km, orientation_deg from releases"""),
         "ring": (("slicks",), """select id, k, centroid_lon + (case when k in (0, 3) then 1e0 else -1e0 end * major_axis_km * cos(radians(orientation_deg))
     - case when k in (0, 1) then 1e0 else -1e0 end * minor_axis_km * sin(radians(orientation_deg))) / 2e0 / (111.320e0 * cos(radians(centroid_lat))) as lon,
   centroid_lat + (case when k in (0, 3) then 1e0 else -1e0 end * major_axis_km * sin(radians(orientation_deg))
     + case when k in (0, 1) then 1e0 else -1e0 end * minor_axis_km * cos(radians(orientation_deg))) / 2e0 / 110.574e0 as lat
   from slicks cross join (""" + " union all ".join(f"select {k} as k" for k in range(4)) + ") corners"),
         "ring_edges": (("ring",), "select a.id, a.k, a.lon as x1, a.lat as y1, b.lon as x2, b.lat as y2 from ring a join ring b on a.id = b.id and b.k = (a.k + 1) % 4"),
+        "rings": (("ring",), f"select id, {'array_sort(collect_list(struct(k, lon, lat)))' if d.spark else 'list(struct_pack(k, lon, lat) order by k)'} as ring from ring group by id"),
         "hist_slicks": ((), f"""select o_orderkey as id, {d.micros('cast(o_orderdate as timestamp)')} / 1e6 as ts, cast(o_orderkey % 9 as int) as cls, (o_orderkey * 7 % 100) / 1e2 as confidence,
   1e4 + (o_orderkey * 31 % 9973) * 1e2 as area_m2, 22.0e0 + (o_orderkey * 104729 % 8000) / 1e3 as centroid_lon,
   53.0e0 + (o_orderkey * 1299709 % 13000) / 1e3 as centroid_lat, case when o_orderkey % 13 = 0 then null else 'S1A_' || cast(o_custkey % 40 as varchar(20)) end as s1_scene from orders"""),

@@ -6,13 +6,13 @@ run over the files that are there (``availableNow``), so they equal the batch.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.plans.dialect import DUCKDB, SPARK
+from tidewake.plans.scratch import shared_dir
 from tidewake.sources.fixtures import tables, with_tables
 
 
@@ -24,18 +24,9 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(tables(SPARK)["ais"][1].replace("from events", f"from {view}"))
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where none is set (tests on one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tidewake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def _table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """The stream's result, written by the executors to the shared folder; a batch that is run again replaces its own folder."""
-    where = f"{_shared_dir(spark).rstrip('/')}/tidewake/stream-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/tidewake/stream-{uuid.uuid4().hex}"
     done: set[str] = set()
 
     def write(batch: DataFrame, number: int) -> None:
