@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewake.operators import attribution, drift, grid, models, patches, raster, serving, simulate, store, tracks
+from tidewake.operators import attribution, drift, grid, inputs, models, patches, raster, serving, shore, simulate, store, tracks
 from tidewake.streaming import ingest
 
-_ALL = [q for m in (attribution, tracks, store, serving, grid, drift, raster) for q in m.QUERIES]
+_ALL = [q for m in (attribution, tracks, store, serving, grid, drift, raster, inputs, shore) for q in m.QUERIES]
 QUERIES = {q.name: q.run for q in _ALL} | simulate.QUERIES | patches.QUERIES | models.QUERIES | ingest.QUERIES
 ORACLE = {q.name: q.oracle() for q in _ALL} | ingest.ORACLE

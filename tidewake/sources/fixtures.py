@@ -73,10 +73,25 @@ def tables(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
   from {d.numbers(6, 'ix')} a cross join {d.numbers(5, 'iy')} b cross join {d.numbers(24, 'it')} c"""),
         "sar": ((), f"""select cast(id % 64 as int) as c, cast(floor(id / 64) as int) as r,
   -18e0 + 2e0 * sin(floor(id / 64) / 5e0) + 1.5e0 * cos((id % 64) / 7e0) - case when power(floor(id / 64) - 30e0, 2) + power((id % 64) - 34e0, 2) < 81e0 then 12e0 else 0e0 end as v from {d.numbers(4096)} p"""),
+        "files": ((), """select p_partkey + case when p_partkey % 13 = 0 then 100000 else 0 end as scene, 'scenes/' || cast(p_partkey % 50 as varchar(20)) as directory, cast((p_partkey * 31 + k * 17) % 1000 + 1 as bigint) as bytes,
+  's1a-iw-grd-' || case when k = 3 then 'notes.xml' else case when k = 1 and p_partkey % 5 <> 0 then 'vv' else 'vh' end || '-' || cast(9 - k as varchar(2)) || '.tiff' end as name
+  from part cross join (""" + " union all ".join(f"select {k} as k" for k in range(4)) + ") ks"),
+        "calibration": ((), """select p_partkey as scene, '<calibration>' || '<calibrationVector><line>0</line><pixel>0 40 80 120</pixel><sigmaNought>310.5 305.25 ' || cast(300 + p_partkey % 7 as varchar(9)) || ' 299</sigmaNought></calibrationVector>'
+  || '<calibrationVector><line>500</line><pixel>0 40 80 120</pixel><sigmaNought>311 306 301 300</sigmaNought></calibrationVector>'
+  || '<calibrationVector><line>' || cast(1000 + p_partkey % 11 as varchar(9)) || '</line><pixel>0 40 80 120</pixel><sigmaNought>312 307 302 301.75</sigmaNought></calibrationVector></calibration>' as xml from part where p_partkey % 20 = 1"""),
+        "land": ((), """select n_nationkey as id, k, 22.2e0 + (n_nationkey * 13 % 17) * 0.5e0 + (0.1e0 + (n_nationkey % 4) * 0.09e0) * cos(k * pi() / 3e0) as lon,
+  58.8e0 + (n_nationkey * 7 % 11) * 0.2e0 + (0.08e0 + (n_nationkey % 3) * 0.05e0) * sin(k * pi() / 3e0) as lat from nation cross join (""" + " union all ".join(f"select {k} as k" for k in range(6)) + """) ks
+  where k < case when n_nationkey % 9 = 4 then 2 else 6 end"""),
+        "land_rings": (("land",), f"select id, {'array_sort(collect_list(struct(k, lon, lat)))' if d.spark else 'list(struct_pack(k, lon, lat) order by k)'} as ring from land group by id"),
         "particles": ((), "select l_suppkey as slick_id, cast(l_linenumber as bigint) as step, cast(l_extendedprice as double) / 1e1 as x, cast(l_quantity as double) * 1e2 as y from lineitem"),
     }
 
 
+def met_column(d: Dialect) -> str:
+    """One place of the met grid, by the hour."""
+    return f"select ts, wind_u, wind_v, cur_u, cur_v from ({tables(d)['met'][1]}) m where ix = 2 and iy = 3"
+
+
 def with_tables(d: Dialect, names: tuple[str, ...], extra: list[tuple[str, str]] = []) -> str:
     """A WITH list of the named tables, what they need before them, and further ones."""
     known, out = tables(d), {}
