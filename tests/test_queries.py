@@ -66,12 +66,11 @@ def test_drift_repeats(spark):
     assert rows(a) == rows(b) and (a.groupby("id").size() == 19).all()
 
 
-def test_labels_cross_tiles_and_outlines_match(spark):
+def test_an_outline_matches_its_patch(spark):
     from tidewake.operators import patches
 
-    cells = [(r, c) for r in range(10, 20) for c in range(12, 22)] + [(40, 40), (41, 41), (15, 60)]
-    px = spark.createDataFrame([(r, c, -30.0) for r, c in cells], "r int, c int, v double")
-    got = patches.labelled(px).toPandas()
-    assert got.groupby("label").size().sort_index().to_dict() == {10 * 64 + 12: 100, 15 * 64 + 60: 1, 40 * 64 + 40: 1, 41 * 64 + 41: 1}
-    ring = patches.outline(got[got.label == 652])
-    assert ring.area_px[0] == 100
+    got = registry.QUERIES["slick_polygons"](spark, SF).collect()
+    sizes = {r.label: r.px for r in registry.QUERIES["component_bands"](spark, SF).collect()}
+    assert got and all(r.area_px == sizes[r.label] for r in got)
+    line = [(0.0, 0.0), (1.0, 0.0005), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)]
+    assert patches.simplified(line, 0.001) == [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tidewake.plans.dialect import haversine
+from pyspark.sql import functions as F
+
+from tidewake.operators.shore import CELL_KM, distance_transform, shore_grid, valid_land
+from tidewake.plans.dialect import SPARK, haversine
 from tidewake.plans.query import query
 
 IN_GRID = "ix between 0 and 188 and iy between 0 and 47"
@@ -12,7 +15,7 @@ def density(d):
     return [
         ("dense", f"select ix, iy, count(*) as n from ais_cells where {IN_GRID} group by ix, iy"),
         ("p90", f"select {d.percentile('ln(1e0 + n)', 0.9)} as cut from dense"),
-        ("lanes", "select g.cell, g.lon, g.lat from dense n join grid g on g.ix = n.ix and g.iy = n.iy cross join p90 where ln(1e0 + n.n) >= p90.cut"),
+        ("lane_cells", "select g.cell, g.ix, g.iy from dense n join grid g on g.ix = n.ix and g.iy = n.iy cross join p90 where ln(1e0 + n.n) >= p90.cut"),
     ]
 
 
@@ -28,13 +31,18 @@ def ais_density(d):
 
 @query("lane_mask_p90", "grid", "ais_cells", steps=density)
 def lane_mask_p90(d):
-    return "select cell from lanes"
+    return "select cell from lane_cells"
+
+
+def lanes_away(table):
+    """``cell, cells``: distance to the nearest lane cell by the distance transform."""
+    grid = table("grid")
+    return distance_transform(grid, grid.sparkSession.sql(lane_mask_p90.text(SPARK)))
 
 
-@query("lane_distance", "grid", "ais_cells", steps=density)
+@query("lane_distance", "grid", "ais_cells", steps=density, frame=lambda t: lanes_away(t).select("cell", F.round(F.col("cells") * CELL_KM, 4).alias("lane_km")))
 def lane_distance(d):
-    # Lane cells are at most a tenth of a fixed grid of 9,072 cells: a bounded side.
-    return "select g.cell, round(111e0 * min(sqrt(power(g.lon - l.lon, 2) + power(g.lat - l.lat, 2))), 4) as lane_km from grid g cross join lanes l group by g.cell"
+    return f"select g.cell, round({CELL_KM}e0 * min(sqrt(power(g.ix - l.ix, 2) + power(g.iy - l.iy, 2))), 4) as lane_km from grid g cross join lane_cells l group by g.cell"
 
 
 @query("terminal_distance", "grid", "terminals")
@@ -49,12 +57,23 @@ def target_grid(d):
   select distinct {ix} as ix, {iy} as iy from hist_slicks where cls in (2, 4, 5, 6, 7, 8)) t on g.ix = t.ix and g.iy = t.iy"""
 
 
-@query("risk_features", "grid", "ais_cells", "terminals", steps=density)
+def features(table):
+    """Of each sea cell: distances to shore, lane and terminal, density, place."""
+    grid = table("grid")
+    spark = grid.sparkSession
+    shore = shore_grid(table).filter("cells > 0").select("cell", F.round(F.col("cells") * CELL_KM, 4).alias("shore_km"))
+    dense, far = spark.sql(ais_density.text(SPARK)), spark.sql(terminal_distance.text(SPARK))
+    lane = lanes_away(table).select("cell", F.round(F.col("cells") * CELL_KM, 4).alias("lane_km"))
+    rows = grid.join(shore, "cell").join(dense, "cell").join(lane, "cell").join(far, "cell")
+    return rows.select("cell", "shore_km", "density", "lane_km", "terminal_km", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("risk_features", "grid", "ais_cells", "terminals", "land", steps=lambda d: density(d) + valid_land(d), frame=features)
 def risk_features(d):
-    return f"""select g.cell, round(abs(g.lat - 59.1e0) * 110.574e0, 4) as shore_km, round(ln(1e0 + coalesce(n.n, 0)), 5) as density, l.lane_km, t.terminal_km, round(g.lat, 6) as lat, round(g.lon, 6) as lon
-  from grid g left join dense n on g.ix = n.ix and g.iy = n.iy
-  left join (select a.cell, round(111e0 * min(sqrt(power(a.lon - b.lon, 2) + power(a.lat - b.lat, 2))), 4) as lane_km from grid a cross join lanes b group by a.cell) l on l.cell = g.cell
-  left join (select cell, round(min({haversine('lon', 'lat', 'tlon', 'tlat')}), 4) as terminal_km from grid cross join terminals group by cell) t on t.cell = g.cell where abs(g.lat - 59.1e0) > 0.05e0"""
+    return f"""select g.cell, round(s.cells * {CELL_KM}e0, 4) as shore_km, round(ln(1e0 + coalesce(n.n, 0)), 5) as density, l.lane_km, t.terminal_km, round(g.lat, 6) as lat, round(g.lon, 6) as lon
+  from grid g join shore s on s.cell = g.cell left join dense n on g.ix = n.ix and g.iy = n.iy
+  left join (select a.cell, round({CELL_KM}e0 * min(sqrt(power(a.ix - b.ix, 2) + power(a.iy - b.iy, 2))), 4) as lane_km from grid a cross join lane_cells b group by a.cell) l on l.cell = g.cell
+  left join (select cell, round(min({haversine('lon', 'lat', 'tlon', 'tlat')}), 4) as terminal_km from grid cross join terminals group by cell) t on t.cell = g.cell where s.cells > 0"""
 
 
 @query("ring_centroid_area", "ring_edges")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.operators.grid import risk_features, target_grid
+from tidewake.plans.scratch import written
 
 INPUTS = ["shore_km", "density", "lane_km", "terminal_km", "lat", "lon"]
 FOLDS, SEED = 5, 7
@@ -51,7 +52,7 @@ def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under the curve of each fold, by a model of the other folds; null where a side lacks a class."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    rows = training(spark, sf_dir).persist()
+    rows = written(training(spark, sf_dir), "training")
     score = BinaryClassificationEvaluator(labelCol="target")
     out = []
     for k in range(FOLDS):
@@ -67,4 +68,51 @@ def risk_grid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probability(forest(GRID_TREES).fit(rows).transform(rows)).select("cell", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("p", 4).alias("p"))
 
 
+#: Inputs, trees, least leaf and least samples of the patch classifier.
+PATCH_INPUTS = ["area_px", "complexity", "contrast_db", "edge_sharpness", "homogeneity", "elongation", "dark_fraction_local"]
+PATCH_TREES, PATCH_LEAF, PATCH_SAMPLES = 300, 3, 20
+
+
+def train_patches(labelled: DataFrame):
+    """A forest over patch features with a ``label`` (1: oil), classes balanced; refuses fewer than ``PATCH_SAMPLES`` rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    n = sum(counts.values())
+    if n < PATCH_SAMPLES or len(counts) < 2:
+        raise ValueError(f"{n} labelled patches of {len(counts)} classes are too few")
+    weighted = labelled.withColumn("weight", F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
+    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=PATCH_TREES, minInstancesPerNode=PATCH_LEAF, maxDepth=30, seed=SEED)
+    return Pipeline(stages=[VectorAssembler(inputCols=PATCH_INPUTS, outputCol="features"), forest]).fit(weighted)
+
+
+def save_model(model, path: str, **facts: str) -> None:
+    """A model and a row of facts on it, side by side."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([facts or {"kind": "model"}]).write.mode("overwrite").json(f"{path}/facts")
+
+
+def load_model(spark: SparkSession, path: str):
+    """The model and its facts; neither where nothing was saved."""
+    from pyspark.ml import PipelineModel
+
+    try:
+        facts = spark.read.json(f"{path}/facts").first().asDict()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None, {}
+        raise
+    return PipelineModel.load(f"{path}/model"), facts
+
+
+def score_patches(features: DataFrame, model, prior: str) -> DataFrame:
+    """``p``: the model's probability of oil, or the expression ``prior`` where there is no model."""
+    if model is None:
+        return features.withColumn("p", F.expr(prior))
+    return _probability(model.transform(features)).drop("features", "rawPrediction", "probability", "prediction")
+
+
 QUERIES = {f.__name__: f for f in (risk_cv_auc, risk_grid_predict)}

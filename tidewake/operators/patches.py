@@ -1,8 +1,4 @@
-"""Dark patches: 4-connected labels by tiles and seams, their features and outlines.
-
-A tile is labelled by itself; pixels on tile borders give the pairs of labels
-that touch, and those few pairs are merged by repeated minima.
-"""
+"""Dark patches of the fixture's raster by the tile engine, their features and outlines."""
 
 from __future__ import annotations
 
@@ -11,61 +7,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.operators.raster import dark_pixels
-
-TILE, WIDTH = 16, 64
-
-
-def label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each pixel's least pixel number within its component of the tile."""
-    ids = {(r, c): r * WIDTH + c for r, c in zip(pdf.r, pdf.c, strict=True)}
-    parent = {p: p for p in ids}
-
-    def root(p):
-        while parent[p] != p:
-            parent[p] = parent[parent[p]]
-            p = parent[p]
-        return p
-
-    for r, c in ids:
-        for q in ((r + 1, c), (r, c + 1)):
-            if q in ids:
-                a, b = root((r, c)), root(q)
-                if a != b:
-                    lo, hi = sorted((a, b), key=ids.get)
-                    parent[hi] = lo
-    return pd.DataFrame({"r": pdf.r, "c": pdf.c, "v": pdf.v, "local": [ids[root((r, c))] for r, c in zip(pdf.r, pdf.c, strict=True)]})
-
-
-def labelled(pixels: DataFrame, rounds: int = 30) -> DataFrame:
-    """``r, c, v, label``: label is the least pixel number of the component."""
-    tiles = pixels.withColumn("tr", F.floor(F.col("r") / TILE)).withColumn("tc", F.floor(F.col("c") / TILE))
-    local = tiles.groupBy("tr", "tc").applyInPandas(label_tile, "r int, c int, v double, local long").persist()
-    beside = F.array(F.struct((F.col("r") + 1).alias("r"), F.col("c").alias("c")), F.struct(F.col("r").alias("r"), (F.col("c") + 1).alias("c")))
-    reach = local.select(F.explode(beside).alias("q"), F.col("local").alias("u")).select("q.r", "q.c", "u")
-    touch = reach.join(local.select("r", "c", F.col("local").alias("w")), ["r", "c"]).filter("u <> w").select("u", "w").distinct()
-    both = touch.unionByName(touch.select(F.col("w").alias("u"), F.col("u").alias("w"))).persist()
-    names = local.select(F.col("local").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        near = both.join(names.withColumnRenamed("node", "w").withColumnRenamed("label", "l2"), "w").groupBy("u").agg(F.min("l2").alias("l2"))
-        new = names.join(near, names.node == near.u, "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label"))
-        # A checkpointed step; the labels only fall, so an unchanged sum is the end.
-        new = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
-        if new.agg(F.sum("label")).first()[0] == names.agg(F.sum("label")).first()[0]:
-            break
-        names = new
-    return local.join(names, local.local == names.node).select("r", "c", "v", "label")
+from tidewake.operators import tiles
+from tidewake.plans.dialect import SPARK
+from tidewake.plans.query import register
+from tidewake.sources.fixtures import with_tables
+
+#: Square kilometres of a fixture's pixel: 20 m.
+PIXEL_KM2 = 0.0004
+
+
+def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir)
+    return tiles.tiled(spark.sql(with_tables(SPARK, ("sar",)) + "select 'scene' as scene, cast(r as bigint) as r, cast(c as bigint) as c, v from sar"))
+
+
+def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.closed(tiles.dark(scene(spark, sf_dir)))
 
 
 def label_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(dark_pixels.run(spark, sf_dir))
+    """Dark pixels with the label of their component."""
+    return tiles.labelled(mask(spark, sf_dir)).select("r", "c", "label")
+
+
+def component_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each component's pixels, and whether its area is a slick's."""
+    return tiles.sizes(tiles.labelled(mask(spark, sf_dir)), PIXEL_KM2).drop("scene")
 
 
 def patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area, bounds, mean level, axes and elongation of each patch."""
-    sums = label_components(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("area_px"), F.avg("v").alias("level"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.var_samp("r").alias("vr"), F.var_samp("c").alias("vc"), F.covar_samp("r", "c").alias("cv"))
-    half, gap = (F.col("vr") + F.col("vc")) / 2, F.sqrt(F.pow((F.col("vr") - F.col("vc")) / 2, 2) + F.col("cv") ** 2)
-    return sums.withColumn("elongation", F.sqrt(F.try_divide(half + gap, F.greatest(half - gap, F.lit(1e-9))))).drop("vr", "vc", "cv")
+    """Shape, contrast, edge, texture and surroundings of each patch."""
+    return tiles.features(scene(spark, sf_dir), tiles.labelled(mask(spark, sf_dir))).drop("scene")
 
 
 def outline(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,8 +60,49 @@ def outline(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": [int(pdf.label.iloc[0])], "ring": [" ".join(f"{int(a)},{int(b)}" for a, b in zip(x, y, strict=True))], "area_px": [float(area)]})
 
 
+def simplified(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """Douglas-Peucker on a closed ring (first point not repeated), from its first point and the one farthest from it."""
+    pts = np.array([*ring, ring[0]], float)
+    far = int(np.argmax(((pts - pts[0]) ** 2).sum(axis=1)))
+    keep = np.zeros(len(pts), bool)
+    keep[[0, far, -1]] = True
+    todo = [(0, far), (far, len(pts) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        d = pts[b] - pts[a]
+        rest = pts[a + 1 : b] - pts[a]
+        length = float(np.hypot(*d))
+        away = np.abs(d[0] * rest[:, 1] - d[1] * rest[:, 0]) / length if length else np.hypot(*rest.T)
+        i = int(np.argmax(away))
+        if away[i] > tolerance:
+            keep[a + 1 + i] = True
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return [tuple(p) for p in pts[:-1][keep[:-1]]]
+
+
+def simplified_rings(rings: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """``rings`` (id, ring) with fewer corners, none farther than ``tolerance`` from the new outline."""
+
+    def run(frames):
+        for pdf in frames:
+            pdf["ring"] = [[{"lon": x, "lat": y} for x, y in simplified([(p["lon"], p["lat"]) for p in ring], tolerance)] for ring in pdf.ring]
+            yield pdf[["id", "ring"]]
+
+    plain = rings.select("id", F.transform("ring", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("ring"))
+    return plain.mapInPandas(run, "id long, ring array<struct<lon: double, lat: double>>")
+
+
 def slick_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_components(spark, sf_dir).groupBy("label").applyInPandas(outline, "label long, ring string, area_px double")
 
 
-QUERIES = {f.__name__: f for f in (label_components, patch_features, slick_polygons)}
+def simple_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners that are left of each slick's footprint at 0.001 degrees."""
+    register(spark, sf_dir)
+    rings = spark.sql(with_tables(SPARK, ("rings",)) + "select * from rings")
+    return simplified_rings(rings).select(F.col("id").cast("long").alias("id"), F.size("ring").alias("corners"))
+
+
+QUERIES = {f.__name__: f for f in (label_components, component_bands, patch_features, slick_polygons, simple_outlines)}

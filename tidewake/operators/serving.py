@@ -5,9 +5,14 @@ from __future__ import annotations
 from tidewake.plans.query import query
 
 
+def clamped(limit: int, most: int) -> int:
+    """A caller's limit, between 1 and ``most``."""
+    return max(1, min(limit, most))
+
+
 @query("scenes_recent", "scenes")
-def scenes_recent(d):
-    return "select product_id, name, sensed_start, status from scenes order by sensed_start desc, product_id limit least(greatest(40, 1), 500)".replace("least(greatest(40, 1), 500)", "40")
+def scenes_recent(d, limit: int = 40):
+    return f"select product_id, name, sensed_start, status from scenes order by sensed_start desc, product_id limit {clamped(limit, 500)}"
 
 
 @query("newest_scene", "scenes")

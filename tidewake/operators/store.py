@@ -5,6 +5,9 @@ from __future__ import annotations
 from tidewake.plans.query import query
 from tidewake.sources.fixtures import AOI
 
+#: Seconds that positions are kept: seven days, squeezed as the fixture's time is.
+RETENTION_DAYS, SQUEEZE = 7, 40
+RETENTION_S = RETENTION_DAYS * 86400 / SQUEEZE
 NOW = "(select max(ts) from ais)"
 IN_AOI = f"lon between {AOI[0]}e0 and {AOI[2]}e0 and lat between {AOI[1]}e0 and {AOI[3]}e0"
 
@@ -56,7 +59,7 @@ def catalogue_filter_top20(d):
 
 @query("retention_positions", "ais")
 def retention_positions(d):
-    return f"select mmsi, count(*) as n from ais where ts >= {NOW} - 7e0 * 3600e0 group by mmsi"
+    return f"select mmsi, count(*) as n from ais where ts >= {NOW} - {RETENTION_S}e0 group by mmsi"
 
 
 @query("aoi_filter", "ais")
@@ -71,11 +74,22 @@ def slick_dedup_box(d):
   left join slicks o on o.scene_id = n.scene_id and o.centroid_lon between n.lon - 0.01e0 and n.lon + 0.01e0 and o.centroid_lat between n.lat - 0.01e0 and n.lat + 0.01e0 group by n.id"""
 
 
-@query("cache_eviction_running_sum", "scenes")
+def evicted(d):
+    """Sums before each archive: within its hour by a window, before the hour by the hours' sums (a row an hour, however many archives)."""
+    h = d.idiv("cast(sensed_start as bigint)", "3600")
+    order = "over (partition by hour order by sensed_start, seq rows between unbounded preceding and current row)"
+    return [
+        ("done", f"select *, {h} as hour, cast(size_mb * 100 as bigint) as size from scenes where status in ('detected', 'clear', 'error')"),
+        ("hours", "select hour, cast(sum(size) as bigint) as of_hour from done group by hour"),
+        ("before_hour", "select hour, cast(coalesce(sum(of_hour) over (order by hour rows between unbounded preceding and 1 preceding), 0) as bigint) as earlier from hours"),
+        ("before_each", f"select d.product_id, d.status, b.earlier + cast(sum(d.size) {order.replace('partition by hour', 'partition by d.hour').replace('order by sensed_start, seq', 'order by d.sensed_start, d.seq')} as bigint) - d.size as before from done d join before_hour b on b.hour = d.hour"),
+    ]
+
+
+@query("cache_eviction_running_sum", "scenes", steps=evicted)
 def cache_eviction_running_sum(d):
     # Oldest archives of done scenes go while what is left is over the limit.
-    return """select product_id, status from (select *, sum(cast(size_mb * 100 as bigint)) over (order by sensed_start, seq rows between unbounded preceding and current row) - cast(size_mb * 100 as bigint) as before
-  from scenes where status in ('detected', 'clear', 'error')) r cross join (select sum(cast(size_mb * 100 as bigint)) as total from scenes) t where t.total - r.before > cast(t.total * 0.7e0 as bigint)"""
+    return "select product_id, status from before_each cross join (select sum(cast(size_mb * 100 as bigint)) as total from scenes) t where t.total - before > cast(t.total * 0.7e0 as bigint)"
 
 
 @query("point_lookup", "ais", "slicks", "scenes")

@@ -104,5 +104,6 @@ def with_tables(d: Dialect, names: tuple[str, ...], extra: list[tuple[str, str]]
 
     for n in names:
         add(n)
-    parts = [f"{n} as ({s})" for n, s in [*out.items(), *extra]]
+    # The oracle computes each table once; Spark inlines them, so that filters and columns reach the scans.
+    parts = [f"{n} as {'' if d.spark else 'materialized '}({s})" for n, s in [*out.items(), *extra]]
     return "with " + ",\n".join(parts) + "\n" if parts else ""

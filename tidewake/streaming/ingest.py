@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewake.plans.dialect import DUCKDB, SPARK
 from tidewake.plans.scratch import shared_dir
 from tidewake.sources.fixtures import tables, with_tables
+from tidewake.streaming.live import deduplicated
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +44,7 @@ def _table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 
 def stream_ingest_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = positions(spark, sf_dir).withColumn("at", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
-    once = rows.withWatermark("at", "7 days").dropDuplicates(["mmsi", "ts"])
+    once = deduplicated(positions(spark, sf_dir))
     return _table(spark, once.select("mmsi", F.round("ts", 3).alias("ts")), "append")
 
 
