@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import materialise, scratch_path
 
 RESULT = "query_id long, rank int, vec_id long, score long"
-BINS, BLOCK = 4_096, 1_024
-TILE = 2_048
+BINS, BLOCK = 4_096, 4_096
+TILE = 512
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -156,7 +156,8 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, id_co
     """``query_id, rank, vec_id, score`` for the rows where ``query`` holds."""
     spark = vectors.sparkSession
     rows = quantised(vectors, scale, id_col, vector_col)
-    asked = quantised(vectors.filter(query), scale, id_col, vector_col).groupBy("vec_id").agg(F.min("x").alias("x"))
+    # Written once: each block is a short scan of the queries alone.
+    asked = materialise(quantised(vectors.filter(query), scale, id_col, vector_col).groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
     path, after = scratch_path(spark, "topk"), None
     while found := _block(asked, after, block):
         after = found[-1][0]

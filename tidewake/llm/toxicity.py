@@ -9,8 +9,9 @@ backward passes give each word's marginal; a logistic model on the sum of a
 document's marginals, their density and its length gives the document's score.
 It is fitted on marginals that come from fields fitted on other documents.
 
-Fitting uses a bounded sample of labelled rows (``SAMPLE`` of each label, up to
-``SAMPLE_CHARS`` characters each), chosen by a hash of the id.  Scoring reads
+Fitting uses a bounded sample of labelled rows (``SAMPLE`` of each label, chosen
+by a hash of the id; labelled texts of more than ``SAMPLE_CHARS`` bytes are left
+out of it, whole, so that no text is cut).  Scoring reads
 every whole text, in NumPy over all words of a batch: a step of the passes
 covers one word of each document.
 
