@@ -65,9 +65,11 @@ SPARK, DUCKDB = Dialect(True), Dialect(False)
 
 
 def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    """Kilometres on a sphere of 6371 km."""
+    """Kilometres on a sphere of 6371 km; null where a place is."""
     a = f"power(sin(radians({lat2} - {lat1}) / 2e0), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians({lon2} - {lon1}) / 2e0), 2)"
-    return f"(2e0 * 6371e0 * asin(sqrt(least({a}, 1e0))))"
+    # Least passes over nulls, so its limit is null where the sum is.
+    one = f"1e0 + 0e0 * ({lon1} + {lat1} + {lon2} + {lat2})"
+    return f"(2e0 * 6371e0 * asin(sqrt(least({a}, {one}))))"
 
 
 def bearing(d: Dialect, lon1: str, lat1: str, lon2: str, lat2: str) -> str:

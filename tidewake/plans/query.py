@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,6 +30,15 @@ class Query:
             return self.frame(lambda name: spark.sql(f"{with_tables(SPARK, (name,))}select * from {name}"))
         return spark.sql(self.text(SPARK))
 
+    def over(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
+        """The query over a caller's tables, by the names it needs (``needs``); tables made of others are made of those."""
+        views = {n: f"given_{n}_{uuid.uuid4().hex}" for n in frames}
+        for n, view in views.items():
+            frames[n].createOrReplaceTempView(view)
+        if self.frame is not None:
+            return self.frame(lambda n: spark.sql(f"{with_tables(SPARK, (n,), given=views)}select * from {n}"))
+        return spark.sql(counted(with_tables(SPARK, self.needs, self.steps(SPARK) if self.steps else [], views) + self.body(SPARK)))
+
     def oracle(self) -> str:
         return self.text(DUCKDB)
 

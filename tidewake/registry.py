@@ -6,5 +6,6 @@ from tidewake.operators import attribution, drift, grid, inputs, models, patches
 from tidewake.streaming import ingest
 
 _ALL = [q for m in (attribution, tracks, store, serving, grid, drift, raster, inputs, shore) for q in m.QUERIES]
+BY_NAME = {q.name: q for q in _ALL}
 QUERIES = {q.name: q.run for q in _ALL} | simulate.QUERIES | patches.QUERIES | models.QUERIES | ingest.QUERIES
 ORACLE = {q.name: q.oracle() for q in _ALL} | ingest.ORACLE

@@ -92,12 +92,14 @@ def met_column(d: Dialect) -> str:
     return f"select ts, wind_u, wind_v, cur_u, cur_v from ({tables(d)['met'][1]}) m where ix = 2 and iy = 3"
 
 
-def with_tables(d: Dialect, names: tuple[str, ...], extra: list[tuple[str, str]] = []) -> str:
-    """A WITH list of the named tables, what they need before them, and further ones."""
+def with_tables(d: Dialect, names: tuple[str, ...], extra: list[tuple[str, str]] = [], given: dict[str, str] | None = None) -> str:
+    """A WITH list of the named tables, what they need before them, and further ones; ``given`` tables are views with the rows of a caller."""
     known, out = tables(d), {}
 
     def add(n: str) -> None:
-        if n not in out:
+        if n in (given or {}):
+            out[n] = f"select * from {given[n]}"
+        elif n not in out:
             for m in known[n][0]:
                 add(m)
             out[n] = known[n][1]
