@@ -1,12 +1,12 @@
 """Particle drift by slick: seeding, midpoint steps with a random walk, hindcast and forecast.
 
-One group is one slick with its own seeded generator, so results repeat; the
-particles of a slick are integrated as one array.
+Each slick has its own seeded generator, so results repeat whatever the batches;
+the particles of all slicks of a batch are integrated as one array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ def slick_rows(d):
 def analytic(lon: np.ndarray, lat: np.ndarray, ts: float) -> tuple[np.ndarray, ...]:
     """Wind and current of the fixture's field."""
     it = ts / 3600
-    return 5 + 2 * np.sin((lon - 21.8) / 3.52 + it / 5), -3 + np.cos((lat - 58.9) / 0.9 + it / 7), np.full(len(lon), 0.1 + 0.05 * np.sin(it / 6)), -0.05 + 0.02 * np.cos((lon - 21.8) / 5.28)
+    return 5 + 2 * np.sin((lon - 21.8) / 3.52 + it / 5), -3 + np.cos((lat - 58.9) / 0.9 + it / 7), 0.1 + 0.05 * np.sin(it / 6) + 0.0 * lon, -0.05 + 0.02 * np.cos((lon - 21.8) / 5.28)
 
 
 def velocity(xy: np.ndarray, ts: float, lon0: float, lat0: float, forcing: Forcing, aspect: float = 1.0, axis: float = 0.0) -> np.ndarray:
@@ -38,22 +38,22 @@ def velocity(xy: np.ndarray, ts: float, lon0: float, lat0: float, forcing: Forci
     wu, wv, cu, cv = forcing(lon0 + xy[:, 0] / scale, lat0 + xy[:, 1] / METRES, ts)
     cross = np.sin(np.mod(np.abs(np.arctan2(wv, wu) - axis), np.pi))
     share = WINDAGE * (1 + 0.22 * (aspect - 1) * cross)
-    turn = -np.radians(DEFLECTION + 7.5 * (cross - 0.5)) if aspect != 1 else np.full(len(cross), -np.radians(DEFLECTION))
+    turn = -np.radians(DEFLECTION + np.where(np.equal(aspect, 1), 0.0, 7.5 * (cross - 0.5)))
     u = cu + share * (wu * np.cos(turn) - wv * np.sin(turn)) + STOKES * wu
     v = cv + share * (wu * np.sin(turn) + wv * np.cos(turn)) + STOKES * wv
     return np.stack([u, v], axis=1)
 
 
-def integrate(lon0: float, lat0: float, start: np.ndarray, ts: float, hours: float, forcing: Forcing, rng: np.random.Generator, backward: bool = False, diffusion: float = DIFFUSION, aspect: float = 1.0, axis: float = 0.0) -> list[tuple[int, np.ndarray]]:
-    """(hour, positions in metres) at each full hour."""
+def integrate(lon0, lat0, start: np.ndarray, ts, hours: float, forcing: Forcing, rng: np.random.Generator | np.ndarray, backward: bool = False, diffusion: float = DIFFUSION, aspect=1.0, axis=0.0) -> list[tuple[int, np.ndarray]]:
+    """(hour, positions in metres) at each full hour; place, time and shape are of all particles or one each, ``rng`` draws the walk or has it, step by step."""
     xy, sign = start.copy(), -1.0 if backward else 1.0
     walk = np.sqrt(2 * diffusion * (0.35 if backward else 1.0) * STEP)
     out = [(0, xy.copy())]
     for step in range(1, int(hours * 3600 / STEP) + 1):
         k1 = velocity(xy, ts, lon0, lat0, forcing, aspect, axis)
         k2 = velocity(xy + sign * k1 * STEP / 2, ts + sign * STEP / 2, lon0, lat0, forcing, aspect, axis)
-        xy = xy + sign * k2 * STEP + (walk * rng.standard_normal(xy.shape) if diffusion else 0.0)
-        ts += sign * STEP
+        xy = xy + sign * k2 * STEP + (walk * (rng[step - 1] if isinstance(rng, np.ndarray) else rng.standard_normal(xy.shape)) if diffusion else 0.0)
+        ts = ts + sign * STEP
         if step % (3600 // STEP) == 0:
             out.append((step * STEP // 3600, xy.copy()))
     return out
@@ -66,28 +66,51 @@ def seed(major_km: float, minor_km: float, axis: float, n: int, rng: np.random.G
     return p @ np.array([[c, s], [-s, c]])
 
 
+#: Slicks integrated at once.
+BATCH = 48
+
+
 def _run(backward: bool, hours: int, particles: int, salt: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        rng = np.random.default_rng([int(r.id), salt])
-        axis, aspect = np.radians(r.orientation_deg), float(np.clip(r.major_axis_km / max(r.minor_axis_km, 1e-6), 1, 5))
-        start = seed(r.major_axis_km, r.minor_axis_km, axis, particles, rng)
-        scale = METRES * np.cos(np.radians(r.centroid_lat))
-        rows = []
-        for hour, xy in integrate(r.centroid_lon, r.centroid_lat, start, r.detected_at, hours, analytic, rng, backward, aspect=aspect, axis=axis):
-            m = xy.mean(axis=0)
-            rows.append((int(r.id), hour, r.centroid_lon + m[0] / scale, r.centroid_lat + m[1] / METRES, float(np.sqrt(((xy - m) ** 2).sum(axis=1).mean())), len(xy)))
-        return pd.DataFrame(rows, columns=["id", "hour", "lon", "lat", "spread_m", "n"])
+    steps = int(hours * 3600 / STEP)
+
+    def batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        axis = np.radians(pdf.orientation_deg.to_numpy(float))
+        major, minor = pdf.major_axis_km.to_numpy(float), pdf.minor_axis_km.to_numpy(float)
+        aspect = np.clip(major / np.maximum(minor, 1e-6), 1, 5)
+        starts, walks = [], np.empty((steps, len(pdf), particles, 2))
+        for k, slick in enumerate(pdf.id):
+            rng = np.random.default_rng([int(slick), salt])
+            starts.append(seed(major[k], minor[k], axis[k], particles, rng))
+            walks[:, k] = rng.standard_normal((steps, particles, 2))
+        each = lambda x: np.repeat(np.asarray(x, float), particles)
+        lon, lat = pdf.centroid_lon.to_numpy(float), pdf.centroid_lat.to_numpy(float)
+        scale, out = METRES * np.cos(np.radians(lat)), []
+        for hour, xy in integrate(each(lon), each(lat), np.concatenate(starts), each(pdf.detected_at), hours, analytic, walks.reshape(steps, -1, 2), backward, aspect=each(aspect), axis=each(axis)):
+            xy = xy.reshape(len(pdf), particles, 2)
+            m = xy.mean(axis=1)
+            spread = np.sqrt(((xy - m[:, None]) ** 2).sum(axis=2).mean(axis=1))
+            out.append(pd.DataFrame({"id": pdf.id.to_numpy(), "hour": hour, "lon": lon + m[:, 0] / scale, "lat": lat + m[:, 1] / METRES, "spread_m": spread, "n": particles}))
+        return pd.concat(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield from (batch(pdf.iloc[i : i + BATCH]) for i in range(0, len(pdf), BATCH))
 
     return run
 
 
+def drifted(slicks: DataFrame, backward: bool, hours: int, particles: int = PARTICLES, salt: int = 1) -> DataFrame:
+    """Centre and spread of each slick's particles at each hour; slicks are dealt evenly, since little data is much work."""
+    n = 2 * slicks.sparkSession.sparkContext.defaultParallelism
+    return slicks.repartition(n, "id").mapInPandas(_run(backward, hours, particles, salt), OUT)
+
+
 def hindcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slick_rows.run(spark, sf_dir).groupBy("id").applyInPandas(_run(True, HINDCAST_H, PARTICLES, 1), OUT)
+    return drifted(slick_rows.run(spark, sf_dir), True, HINDCAST_H, salt=1)
 
 
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slick_rows.run(spark, sf_dir).groupBy("id").applyInPandas(_run(False, FORECAST_H, PARTICLES, 2), OUT)
+    return drifted(slick_rows.run(spark, sf_dir), False, FORECAST_H, salt=2)
 
 
 def analyze_slicks(spark: SparkSession, sf_dir: str) -> DataFrame:
