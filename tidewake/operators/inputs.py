@@ -116,11 +116,20 @@ def patch_levels(d):
   join (select slick_id, max(x - case when slick_id % 2 = 0 then 1e7 else 0e0 end) as hi, min(x - case when slick_id % 2 = 0 then 1e7 else 0e0 end) as lo from particles group by slick_id) m on m.slick_id = p.slick_id"""
 
 
-@query("historical_pages", "hist_slicks")
+def numbered(d):
+    """Rows within a box, numbered from 0 by id: within a range of ids by a window, before it by the ranges' counts."""
+    return [
+        ("boxed", f"select id, {d.idiv('id', '4096')} as part from hist_slicks where centroid_lon between {AOI[0]}e0 and {AOI[2]}e0 and centroid_lat between 55e0 and 63e0"),
+        ("parts", "select part, count(*) as n from boxed group by part"),
+        ("before_part", "select part, cast(coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as bigint) as earlier from parts"),
+        ("in_order", "select b.id, p.earlier + row_number() over (partition by b.part order by b.id) - 1 as i from boxed b join before_part p on p.part = b.part"),
+    ]
+
+
+@query("historical_pages", "hist_slicks", steps=numbered)
 def historical_pages(d):
-    """Rows within a box by pages, up to the page limit and the first short page."""
-    return f"""select page, count(*) as n, min(id) as first_id, max(id) as last_id from (select id, {d.idiv('(row_number() over (order by id) - 1)', str(PAGE_ROWS))} as page from hist_slicks
-  where centroid_lon between {AOI[0]}e0 and {AOI[2]}e0 and centroid_lat between 55e0 and 63e0) p where page < {PAGES} group by page"""
+    """Rows within a box by pages, up to the page limit; the last page is the first short one."""
+    return f"select page, count(*) as n, min(id) as first_id, max(id) as last_id from (select id, {d.idiv('i', str(PAGE_ROWS))} as page from in_order) p where page < {PAGES} group by page"
 
 
 QUERIES = (band_choice, directory_sizes, scene_files, calibration_vectors, scene_decimation, met_window, field_coverage, decimated_paths, largest_polygon, footprint_in_box, union_bounds, segmenter_choice, tile_sampling, patch_levels, historical_pages)
