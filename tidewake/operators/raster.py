@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidewake.operators import tiles
 from tidewake.plans.query import query
 
+#: Side of the fixture's raster, and of its background blocks (over ``LEAST_BLOCK`` pixels each).
+SIDE, BLOCK_SIDE = 64, 32
+
 
 def around(d, name: str, source: str, reach: int, agg: str) -> tuple[str, str]:
     """Aggregates over the square of neighbours, edges mirrored, as offsets joined on pixels."""
     side = 2 * reach + 1
-    fold = lambda x: f"case when {x} < 0 then -{x} - 1 when {x} > 63 then 127 - {x} else {x} end"
+    fold = lambda x: f"case when {x} < 0 then -{x} - 1 when {x} > {SIDE - 1} then {2 * SIDE - 1} - {x} else {x} end"
     return (name, f"""select p.r, p.c, {agg} from (select r, c, {fold(f'(r + a.i - {reach})')} as nr, {fold(f'(c + b.j - {reach})')} as nc from {source} cross join {d.numbers(side, 'i')} a cross join {d.numbers(side, 'j')} b) p
   join {source} q on q.r = p.nr and q.c = p.nc group by p.r, p.c""")
 
@@ -22,13 +28,18 @@ def lee(d):
 
 
 def blocks(d):
+    br, bc = (d.idiv(f"s.{k}", str(BLOCK_SIDE)) for k in "rc")
     return [
-        ("stats", f"select {d.idiv('r', '16')} as br, {d.idiv('c', '16')} as bc, count(*) as n, avg(v) as mu, stddev_pop(v) as sd from sar group by 1, 2"),
-        ("dark", f"""select s.r, s.c, s.v from sar s join stats b on b.br = {d.idiv('s.r', '16')} and b.bc = {d.idiv('s.c', '16')} cross join (select avg(v) as mu, stddev_pop(v) as sd from sar) g
-  where s.v < case when b.n >= 500 then b.mu else g.mu end - 2.2e0 * case when b.n >= 500 then b.sd else g.sd end"""),
+        ("stats", f"select {d.idiv('r', str(BLOCK_SIDE))} as br, {d.idiv('c', str(BLOCK_SIDE))} as bc, count(*) as n, avg(v) as mu, stddev_pop(v) as sd from sar group by 1, 2"),
+        ("dark", f"""select s.r, s.c, s.v from sar s join stats b on b.br = {br} and b.bc = {bc} cross join (select avg(v) as mu, stddev_pop(v) as sd from sar) g
+  where s.v < case when b.n >= {tiles.LEAST_BLOCK} then b.mu else g.mu end - {tiles.K_SIGMA}e0 * case when b.n >= {tiles.LEAST_BLOCK} then b.sd else g.sd end"""),
     ]
 
 
+def tiled(table):
+    return tiles.tiled(table("sar").selectExpr("'scene' as scene", "cast(r as bigint) as r", "cast(c as bigint) as c", "v"), BLOCK_SIDE)
+
+
 @query("lee_filter", "sar", steps=lee)
 def lee_filter(d):
     return "select r, c, round(v, 4) as v from smooth"
@@ -49,10 +60,18 @@ def closing_3x3(d):
     return "select r, c from closed where v = 1"
 
 
-@query("component_sizes", "sar", steps=blocks)
+def sized(table):
+    found = tiles.sizes(tiles.labelled(tiles.dark(tiled(table)), BLOCK_SIDE), tiles.MIN_AREA_KM2 / 125)
+    label = F.shiftright("label", tiles.COLUMN_BITS) * SIDE + F.col("label") % (1 << tiles.COLUMN_BITS)
+    return found.select("px", label.alias("label"), "in_band")
+
+
+@query("component_sizes", "sar", steps=blocks, frame=sized)
 def component_sizes(d):
-    # The fixture's dark pixels form one disc; its size stands against the area band in pixels.
-    return "select count(*) as px, cast(min(r * 64 + c) as bigint) as label, count(*) between 125 and 200000 as in_band from dark"
+    # The oracle walks from every dark pixel to all that it reaches.
+    return f"""select count(*) as px, root as label, count(*) between 125 and 200000 as in_band from (
+  select id, min(seen) as root from (with recursive reach as (select cast(r * {SIDE} + c as bigint) as id, cast(r * {SIDE} + c as bigint) as seen, r, c from dark
+    union select p.id, cast(k.r * {SIDE} + k.c as bigint), k.r, k.c from reach p join dark k on abs(k.r - p.r) + abs(k.c - p.c) = 1) select id, seen from reach) w group by id) g group by root"""
 
 
 @query("db_convert", "sar")
