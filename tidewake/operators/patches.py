@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.operators import tiles
+from tidewake.operators import models, tiles
+from tidewake.operators.raster import oil_prior
 from tidewake.plans.dialect import SPARK
 from tidewake.plans.query import register
+from tidewake.plans.scratch import written
 from tidewake.sources.fixtures import with_tables
 
 #: Square kilometres of a fixture's pixel: 20 m.
@@ -60,6 +62,24 @@ def outline(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": [int(pdf.label.iloc[0])], "ring": [" ".join(f"{int(a)},{int(b)}" for a, b in zip(x, y, strict=True))], "area_px": [float(area)]})
 
 
+def scanned(pixels: DataFrame, pixel_km2: float, land_km: DataFrame | None = None, model=None) -> DataFrame:
+    """Slicks of scenes (scene, r, c, v in decibels, sea only): smoothed, thresholded, closed, labelled, sized, scored and outlined.
+
+    ``land_km`` (scene, r, c, land_km) is looked up at a patch's centre; without a model the prior scores.
+    """
+    image = written(tiles.lee(tiles.tiled(pixels)), "smooth")
+    labels = written(tiles.labelled(tiles.closed(tiles.dark(image))), "patches")
+    sized = tiles.sizes(labels, pixel_km2)
+    kept = written(labels.join(sized.filter("in_band").select("scene", "label"), ["scene", "label"]), "kept")
+    found = tiles.features(image, kept).withColumn("area_km2", F.col("area_px") * pixel_km2)
+    centre = kept.groupBy("scene", "label").agg(F.round(F.avg("r")).cast("long").alias("r"), F.round(F.avg("c")).cast("long").alias("c"))
+    far = centre.withColumn("land_km", F.lit(None).cast("double")) if land_km is None else centre.join(land_km, ["scene", "r", "c"], "left")
+    found = found.join(far.select("scene", "label", F.round("land_km", 2).alias("dist_land_km")), ["scene", "label"])
+    prior = oil_prior("area_km2", "contrast_db", "edge_sharpness", "homogeneity", "complexity", "dark_fraction_local", "dist_land_km")
+    rings = kept.groupBy("scene", "label").applyInPandas(lambda pdf: outline(pdf).drop(columns="area_px").assign(scene=pdf.scene.iloc[0]), "label long, ring string, scene string")
+    return models.score_patches(found, model, prior).join(rings, ["scene", "label"])
+
+
 def simplified(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """Douglas-Peucker on a closed ring (first point not repeated), from its first point and the one farthest from it."""
     pts = np.array([*ring, ring[0]], float)

@@ -100,11 +100,16 @@ def lut_interpolate(d):
   join {lut} b on b.line = a.line and b.px = a.px + 16"""
 
 
+def oil_prior(area: str, contrast: str, sharp: str, homog: str, cx: str, dark: str, land: str) -> str:
+    """How much a patch is like oil, 0 to 1, without a model; an unknown distance to land adds nothing."""
+    sig = lambda x: f"(1e0 / (1e0 + exp(-least(greatest({x}, -30e0), 30e0))))"
+    return f"""least(greatest(0.20e0 * {sig(f'(log10(greatest({area}, 0.01e0)) + 1e0) / 1.4e0')} + 0.30e0 * {sig(f'({contrast} - 3.5e0) / 2.5e0')} + 0.15e0 * {sig(f'({sharp} - 1.2e0) / 1.2e0')} + 0.10e0 * ({homog} - 0.45e0) / 0.35e0
+  + 0.10e0 * case when {cx} < 8e0 then {sig(f'(6e0 - {cx}) / 2e0')} else 0.15e0 end + 0.05e0 * (1e0 - least({dark}, 1e0)) + case when {land} is null then 0e0 else 0.10e0 * {sig(f'({land} - 3e0) / 3e0')} end, 0e0), 1e0)"""
+
+
 @query("oil_prior_score", "hist_slicks")
 def oil_prior_score(d):
-    sig = lambda x: f"(1e0 / (1e0 + exp(-least(greatest({x}, -30e0), 30e0))))"
-    return f"""select id, round(least(greatest(0.20e0 * {sig('(log10(greatest(area, 0.01e0)) + 1e0) / 1.4e0')} + 0.30e0 * {sig('(contrast - 3.5e0) / 2.5e0')} + 0.15e0 * {sig('(sharp - 1.2e0) / 1.2e0')} + 0.10e0 * (homog - 0.45e0) / 0.35e0
-  + 0.10e0 * case when cx < 8e0 then {sig('(6e0 - cx) / 2e0')} else 0.15e0 end + 0.05e0 * (1e0 - least(dark, 1e0)) + coalesce(0.10e0 * {sig('(land - 3e0) / 3e0')}, 0e0), 0e0), 1e0), 4) as prior from (
+    return f"""select id, round({oil_prior('area', 'contrast', 'sharp', 'homog', 'cx', 'dark', 'land')}, 4) as prior from (
   select id, area_m2 / 1e6 as area, (id % 90) / 1e1 as contrast, (id % 37) / 1e1 as sharp, 0.3e0 + (id % 50) / 1e2 as homog, 1e0 + (id % 100) / 1e1 as cx, (id % 120) / 1e2 as dark, case when id % 7 = 0 then null else (id % 200) / 1e1 end as land from hist_slicks) f"""
 
 
