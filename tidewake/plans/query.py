@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.plans.dialect import DUCKDB, SPARK, Dialect
+from tidewake.plans.ship import ship
 from tidewake.sources.fixtures import BASE, with_tables
 
 
@@ -56,6 +57,7 @@ def counted(sql: str) -> str:
 
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Views over the driver's tables; column pruning and filters reach the Parquet scans."""
+    ship(spark)
     for t in BASE:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
