@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from tidewake.plans.ship import ship
+
 from . import byte_bpe, html_text, packing, pii, quality, simhash, token_files, topk, toxicity, urls
 from .common import scratch_path
 
@@ -18,6 +20,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
