@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewake.plans.ship import ship
 
-from . import byte_bpe, html_text, packing, pii, quality, simhash, token_files, topk, toxicity, urls
+from . import byte_bpe, collocations, html_text, packing, periodic, pii, quality, secrets, simhash, token_files, topk, toxicity, urls
 from .common import scratch_path
 
 
@@ -69,9 +69,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digests(html_text.extract(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op4_toxicity, op5_byte_bpe, op6_urls, op7_simhash, op8_quality, op9_pii, op10_html_text)}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digests(periodic.find(docs, seed=F.crc32(F.col("doc_id").cast("string"))))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_topk, op3_token_files, op4_toxicity, op5_byte_bpe, op6_urls, op7_simhash, op8_quality, op9_pii, op10_html_text, op11_periodic, op12_secrets, op13_collocations)}
 ORACLE: dict[str, str] = {
     "op6_urls": urls.oracle(),
+    "op11_periodic": periodic.oracle(),
+    "op12_secrets": secrets.oracle(),
+    "op13_collocations": collocations.oracle(),
     "op2_topk": """
 with fit as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
