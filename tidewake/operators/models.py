@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tidewake.operators.grid import risk_features, target_grid
-from tidewake.plans.scratch import written
+from tidewake.plans.scratch import shared_dir, written
 
 INPUTS = ["shore_km", "density", "lane_km", "terminal_km", "lat", "lon"]
 FOLDS, SEED = 5, 7
@@ -15,16 +19,19 @@ CV_TREES, GRID_TREES = 300, 400
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sea cells with features, target, class weight and fold, as a table in the shared folder; one action counts classes and bands."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = risk_features.run(spark, sf_dir).join(target_grid.run(spark, sf_dir), "cell").fillna(50.0, ["lane_km"])
-    share = rows.agg(F.avg("target")).first()[0] or 0.5
+    joined = risk_features.run(spark, sf_dir).join(target_grid.run(spark, sf_dir), "cell").fillna(50.0, ["lane_km"])
+    rows = written(joined.withColumn("band", F.floor("lon").cast("int")), "risk-rows")
+    bands = {r.band: (r.n, r.positive) for r in rows.groupBy("band").agg(F.count("*").alias("n"), F.sum("target").alias("positive")).collect()}  # 360 at most
+    share = sum(b[1] for b in bands.values()) / max(sum(b[0] for b in bands.values()), 1) or 0.5
     # Both classes weigh alike in total.
     weight = F.when(F.col("target") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6))
-    rows = rows.withColumn("weight", weight).withColumn("band", F.floor("lon").cast("int"))
-    fold = folds({r.band: r["count"] for r in rows.groupBy("band").count().collect()})
-    rows = rows.withColumn("fold", F.element_at(F.create_map(*(F.lit(x) for item in fold.items() for x in item)), F.col("band")) if fold else F.lit(0))
-    return VectorAssembler(inputCols=INPUTS, outputCol="features").transform(rows).select("cell", "lon", "lat", "target", "weight", "fold", "features")
+    fold = folds({b: n for b, (n, _) in bands.items()})
+    known = F.element_at(F.create_map(*(F.lit(x) for item in fold.items() for x in item)), F.col("band")) if fold else F.lit(0)
+    rows = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(rows.withColumn("weight", weight).withColumn("fold", known))
+    return written(rows.select("cell", "lon", "lat", "target", "weight", "fold", "features"), "training")
 
 
 def folds(sizes: dict[int, int]) -> dict[int, int]:
@@ -36,10 +43,19 @@ def folds(sizes: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def forest(trees: int):
+def forest(trees: int, label: str = "target", leaf: int = 5):
+    """A forest whose levels look up each row's nodes in a cached column, not in trees that are sent along.
+
+    The cache's lineage is cut by checkpoints every ten levels, in the session's checkpoint folder.
+    """
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(labelCol="target", weightCol="weight", numTrees=trees, minInstancesPerNode=5, maxDepth=30, seed=SEED)
+    return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=leaf, maxDepth=30, seed=SEED, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
+
+
+def checkpointed(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def _probability(rows: DataFrame) -> DataFrame:
@@ -48,44 +64,100 @@ def _probability(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.element_at(vector_to_array("probability"), 2))
 
 
+def each_fold(spark: SparkSession, folds: int, of_fold: Callable[[int], tuple]) -> list[tuple]:
+    """One result a fold; the folds' jobs run side by side, since the levels of one are many and small."""
+    with ThreadPool(folds) as pool:
+        return pool.map(inheritable_thread_target(spark)(of_fold), range(folds))
+
+
 def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under the curve of each fold, by a model of the other folds; null where a side lacks a class."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    rows = written(training(spark, sf_dir), "training")
-    score = BinaryClassificationEvaluator(labelCol="target")
-    out = []
-    for k in range(FOLDS):
-        test, train = rows.filter(F.col("fold") == k), rows.filter(F.col("fold") != k)
-        both = all(part.select("target").distinct().count() == 2 for part in (test, train))
-        out.append((k, float(score.evaluate(forest(CV_TREES).fit(train).transform(test))) if both else None))
-    return spark.createDataFrame(out, "fold int, auc double")
+    rows, score = training(spark, sf_dir), BinaryClassificationEvaluator(labelCol="target")
+    checkpointed(spark)
+    held = {r.fold: (r.n, r.positive) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("target").alias("positive")).collect()}
+    n, positive = (sum(h[i] for h in held.values()) for i in (0, 1))
+
+    def auc(k: int) -> tuple[int, int, int, float | None]:
+        size, own = held.get(k, (0, 0))
+        if not (0 < own < size and 0 < positive - own < n - size):
+            return k, size, own, None
+        model = forest(CV_TREES).fit(rows.filter(F.col("fold") != k))
+        return k, size, own, float(score.evaluate(model.transform(rows.filter(F.col("fold") == k))))
+
+    return spark.createDataFrame(each_fold(spark, FOLDS, auc), "fold int, n_test long, positive long, auc double")
+
+
+def served(spark: SparkSession, sf_dir: str):
+    """The served forest and the rows that it was fitted on."""
+    rows = training(spark, sf_dir)
+    checkpointed(spark)
+    return forest(GRID_TREES).fit(rows), rows
 
 
 def risk_grid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of each sea cell, in sample as the served grid is."""
-    rows = training(spark, sf_dir)
-    return _probability(forest(GRID_TREES).fit(rows).transform(rows)).select("cell", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("p", 4).alias("p"))
+    model, rows = served(spark, sf_dir)
+    return _probability(model.transform(rows)).select("cell", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("p", 4).alias("p"))
+
+
+def importances(model, names: list[str]) -> list[tuple[str, float]]:
+    """Inputs of a forest by importance, the highest first; they sum to 1."""
+    found = zip(names, model.featureImportances.toArray().tolist(), strict=True)
+    return sorted(((n, round(x, 4)) for n, x in found), key=lambda f: (-f[1], f[0]))
+
+
+def risk_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of each input of the served forest, by rank."""
+    ranked = importances(served(spark, sf_dir)[0], INPUTS)
+    return spark.createDataFrame([(i, *f) for i, f in enumerate(ranked, 1)], "rank int, feature string, importance double")
 
 
 #: Inputs, trees, least leaf and least samples of the patch classifier.
 PATCH_INPUTS = ["area_px", "complexity", "contrast_db", "edge_sharpness", "homogeneity", "elongation", "dark_fraction_local"]
 PATCH_TREES, PATCH_LEAF, PATCH_SAMPLES = 300, 3, 20
+#: What a missing input of a patch counts as.
+ABSENT = 999.0
+
 
+def train_patches(labelled: DataFrame, inputs: list[str] = PATCH_INPUTS, trees: int = PATCH_TREES):
+    """A forest over patch features with a ``label`` (1: oil), classes balanced; refuses fewer than ``PATCH_SAMPLES`` rows.
 
-def train_patches(labelled: DataFrame):
-    """A forest over patch features with a ``label`` (1: oil), classes balanced; refuses fewer than ``PATCH_SAMPLES`` rows."""
+    An input that is missing (a patch far from any land has no distance) counts as ``ABSENT``.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
 
+    checkpointed(labelled.sparkSession)
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     n = sum(counts.values())
     if n < PATCH_SAMPLES or len(counts) < 2:
         raise ValueError(f"{n} labelled patches of {len(counts)} classes are too few")
     weighted = labelled.withColumn("weight", F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
-    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=PATCH_TREES, minInstancesPerNode=PATCH_LEAF, maxDepth=30, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=PATCH_INPUTS, outputCol="features"), forest]).fit(weighted)
+    filled = SQLTransformer(statement="select *, " + ", ".join(f"coalesce(cast(`{c}` as double), {ABSENT}) as `input_{c}`" for c in inputs) + " from __THIS__")
+    vector = VectorAssembler(inputCols=[f"input_{c}" for c in inputs], outputCol="features")
+    return Pipeline(stages=[filled, vector, forest(trees, "label", PATCH_LEAF)]).fit(weighted)
+
+
+def patch_cv_f1(labelled: DataFrame, key: str = "path", inputs: list[str] = PATCH_INPUTS, trees: int = PATCH_TREES) -> DataFrame:
+    """``fold, n_test, f1`` of oil patches by a model of the other folds; patches go to folds by a hash of ``key``.
+
+    Five folds, fewer for under 20 patches; null where a fold holds no oil or none is found.
+    """
+    known = written(labelled, "patches")
+    k = max(2, min(FOLDS, known.count() // 4))
+    rows = known.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(k)).cast("int"))
+
+    def f1(i: int) -> tuple[int, int, float | None]:
+        test = rows.filter(F.col("fold") == i)
+        found = score_patches(test, train_patches(rows.filter(F.col("fold") != i), inputs, trees), "0e0")
+        oil, hit = F.col("label") == 1, F.col("p") > 0.5
+        n, right, wrong, lost = found.agg(F.count("*"), F.count_if(oil & hit), F.count_if(~oil & hit), F.count_if(oil & ~hit)).first()
+        return i, n, 2 * right / (2 * right + wrong + lost) if right + wrong + lost else None
+
+    spark = labelled.sparkSession
+    return spark.createDataFrame(each_fold(spark, k, f1), "fold int, n_test long, f1 double")
 
 
 def save_model(model, path: str, **facts: str) -> None:
@@ -112,7 +184,8 @@ def score_patches(features: DataFrame, model, prior: str) -> DataFrame:
     """``p``: the model's probability of oil, or the expression ``prior`` where there is no model."""
     if model is None:
         return features.withColumn("p", F.expr(prior))
-    return _probability(model.transform(features)).drop("features", "rawPrediction", "probability", "prediction")
+    scored = _probability(model.transform(features))
+    return scored.select(*features.columns, "p")
 
 
-QUERIES = {f.__name__: f for f in (risk_cv_auc, risk_grid_predict)}
+QUERIES = {f.__name__: f for f in (risk_cv_auc, risk_grid_predict, risk_importances)}
