@@ -51,12 +51,17 @@ def rank_area(ps, ys):
 
 def test_cross_validation_ends_and_equals_ranks(spark, rows, monkeypatch):
     monkeypatch.setattr(models, "CV_TREES", 20)
+    monkeypatch.setattr(models, "TREES_EACH", 8)
     monkeypatch.setattr(models, "training", lambda *_: rows)
     got = {r.fold: r for r in models.risk_cv_auc(spark, SF).collect()}
     assert set(got) == set(range(models.FOLDS)) and sum(r.n_test for r in got.values()) == rows.count()
     test = rows.filter("fold = 0")
-    scored = models._probability(models.forest(20).fit(rows.filter("fold <> 0")).transform(test)).select("p", "target").collect()
+    grown = [models.forest(n, seed=models.SEED + i).fit(rows.filter("fold <> 0")) for i, n in enumerate((8, 8, 4))]
+    scored = models.scored(test, grown).select("p", "target").collect()
     assert got[0].auc == pytest.approx(rank_area([r.p for r in scored], [r.target for r in scored]), abs=0.01)
+    one = grown[0]
+    (a, b) = (sorted(x.select("cell", F.round("p", 9).alias("p")).collect()) for x in (models.scored(test, [one]), models._probability(one.setPredictionCol("prediction").setProbabilityCol("probability").transform(test))))
+    assert a == b and models.parts(20) == [8, 8, 4]
 
 
 def test_served_grid_and_importances(spark, rows, monkeypatch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ INPUTS = ["shore_km", "density", "lane_km", "terminal_km", "lat", "lon"]
 FOLDS, SEED = 5, 7
 #: Trees of a fold's forest and of the served one.
 CV_TREES, GRID_TREES = 300, 400
+#: Trees that are grown in one go; a forest's others grow at the same time, with other seeds.
+TREES_EACH = 50
+T = TypeVar("T")
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,14 +47,14 @@ def folds(sizes: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def forest(trees: int, label: str = "target", leaf: int = 5):
+def forest(trees: int, label: str = "target", leaf: int = 5, seed: int = SEED):
     """A forest whose levels look up each row's nodes in a cached column, not in trees that are sent along.
 
     The cache's lineage is cut by checkpoints every ten levels, in the session's checkpoint folder.
     """
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=leaf, maxDepth=30, seed=SEED, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
+    return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=leaf, maxDepth=30, seed=seed, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=256)
 
 
 def checkpointed(spark: SparkSession) -> None:
@@ -58,53 +62,62 @@ def checkpointed(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def _probability(rows: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def side_by_side(spark: SparkSession, n: int, of_one: Callable[[int], T]) -> list[T]:
+    """Results for 0 to n - 1; their jobs run at the same time, since the levels of one forest are many and small."""
+    with ThreadPool(max(1, min(n, spark.sparkContext.defaultParallelism))) as pool:
+        return pool.map(inheritable_thread_target(spark)(of_one), range(n), chunksize=1)
 
-    return rows.withColumn("p", F.element_at(vector_to_array("probability"), 2))
 
+def parts(trees: int) -> list[int]:
+    """The trees of the forests that make one forest together: ``TREES_EACH``, and the rest in the last."""
+    return [min(TREES_EACH, trees - i) for i in range(0, trees, TREES_EACH)]
 
-def each_fold(spark: SparkSession, folds: int, of_fold: Callable[[int], tuple]) -> list[tuple]:
-    """One result a fold; the folds' jobs run side by side, since the levels of one are many and small."""
-    with ThreadPool(folds) as pool:
-        return pool.map(inheritable_thread_target(spark)(of_fold), range(folds))
+
+def scored(rows: DataFrame, grown: list) -> DataFrame:
+    """``p``: the mean of all trees' probabilities, from forests with their own numbers of trees."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = rows
+    for i, model in enumerate(grown):
+        out = model.setProbabilityCol(f"p_{i}").setPredictionCol("").setRawPredictionCol("").transform(out)
+    trees = sum(m.getNumTrees for m in grown)
+    mean = sum((F.element_at(vector_to_array(f"p_{i}"), 2) * m.getNumTrees for i, m in enumerate(grown)), F.lit(0.0)) / trees
+    return out.select(*rows.columns, mean.alias("p"))
 
 
 def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under the curve of each fold, by a model of the other folds; null where a side lacks a class."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    rows, score = training(spark, sf_dir), BinaryClassificationEvaluator(labelCol="target")
+    rows, score = training(spark, sf_dir), BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="p")
     checkpointed(spark)
     held = {r.fold: (r.n, r.positive) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("target").alias("positive")).collect()}
     n, positive = (sum(h[i] for h in held.values()) for i in (0, 1))
+    whole = [k for k, (size, own) in held.items() if 0 < own < size and 0 < positive - own < n - size]
+    todo = [(k, i, trees) for k in whole for i, trees in enumerate(parts(CV_TREES))]
+    grown = side_by_side(spark, len(todo), lambda j: forest(todo[j][2], seed=SEED + todo[j][1]).fit(rows.filter(F.col("fold") != todo[j][0])))
+    areas = {k: float(score.evaluate(scored(rows.filter(F.col("fold") == k), [g for g, t in zip(grown, todo, strict=True) if t[0] == k]))) for k in whole}
+    return spark.createDataFrame([(k, *held.get(k, (0, 0)), areas.get(k)) for k in range(FOLDS)], "fold int, n_test long, positive long, auc double")
 
-    def auc(k: int) -> tuple[int, int, int, float | None]:
-        size, own = held.get(k, (0, 0))
-        if not (0 < own < size and 0 < positive - own < n - size):
-            return k, size, own, None
-        model = forest(CV_TREES).fit(rows.filter(F.col("fold") != k))
-        return k, size, own, float(score.evaluate(model.transform(rows.filter(F.col("fold") == k))))
-
-    return spark.createDataFrame(each_fold(spark, FOLDS, auc), "fold int, n_test long, positive long, auc double")
 
-
-def served(spark: SparkSession, sf_dir: str):
-    """The served forest and the rows that it was fitted on."""
+def served(spark: SparkSession, sf_dir: str) -> tuple[list, DataFrame]:
+    """The served forest, in parts, and the rows that it was fitted on."""
     rows = training(spark, sf_dir)
     checkpointed(spark)
-    return forest(GRID_TREES).fit(rows), rows
+    trees = parts(GRID_TREES)
+    return side_by_side(spark, len(trees), lambda i: forest(trees[i], seed=SEED + i).fit(rows)), rows
 
 
 def risk_grid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of each sea cell, in sample as the served grid is."""
-    model, rows = served(spark, sf_dir)
-    return _probability(model.transform(rows)).select("cell", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("p", 4).alias("p"))
+    grown, rows = served(spark, sf_dir)
+    return scored(rows, grown).select("cell", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("p", 4).alias("p"))
 
 
-def importances(model, names: list[str]) -> list[tuple[str, float]]:
+def importances(grown: list, names: list[str]) -> list[tuple[str, float]]:
     """Inputs of a forest by importance, the highest first; they sum to 1."""
-    found = zip(names, model.featureImportances.toArray().tolist(), strict=True)
+    mean = sum(m.featureImportances.toArray() * m.getNumTrees for m in grown) / sum(m.getNumTrees for m in grown)
+    found = zip(names, mean.tolist(), strict=True)
     return sorted(((n, round(x, 4)) for n, x in found), key=lambda f: (-f[1], f[0]))
 
 
@@ -114,6 +127,12 @@ def risk_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, *f) for i, f in enumerate(ranked, 1)], "rank int, feature string, importance double")
 
 
+def _probability(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return rows.withColumn("p", F.element_at(vector_to_array("probability"), 2))
+
+
 #: Inputs, trees, least leaf and least samples of the patch classifier.
 PATCH_INPUTS = ["area_px", "complexity", "contrast_db", "edge_sharpness", "homogeneity", "elongation", "dark_fraction_local"]
 PATCH_TREES, PATCH_LEAF, PATCH_SAMPLES = 300, 3, 20
@@ -157,7 +176,7 @@ def patch_cv_f1(labelled: DataFrame, key: str = "path", inputs: list[str] = PATC
         return i, n, 2 * right / (2 * right + wrong + lost) if right + wrong + lost else None
 
     spark = labelled.sparkSession
-    return spark.createDataFrame(each_fold(spark, k, f1), "fold int, n_test long, f1 double")
+    return spark.createDataFrame(side_by_side(spark, k, f1), "fold int, n_test long, f1 double")
 
 
 def save_model(model, path: str, **facts: str) -> None:
