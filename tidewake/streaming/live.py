@@ -1,16 +1,19 @@
 """Streams with state and sinks: the live snapshot with eviction, fan-out, single flight, atomic swap.
 
-State between batches is a table a version in the shared folder, written whole
-before it is pointed to, so a batch that is run again gives the same version.
+The live snapshot's state lies in the state store, a value and a timer a vessel
+(``live_changes``), and what a batch changes is what it writes.  ``Snapshot`` is
+the plain form for small fleets: a whole table a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewake.sources.readers import AHEAD_S
 
@@ -26,11 +29,114 @@ def clamped(positions: DataFrame, arrival: str = "arrived") -> DataFrame:
 
 def deduplicated(positions: DataFrame, days: int = 7) -> DataFrame:
     """The first row of each (mmsi, ts); rows later than the horizon are dropped, as retention drops them."""
-    at = positions.withColumn("at", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+    at = positions.filter("mmsi is not null and ts is not null").withColumn("at", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
     # The time of the watermark is a key, so that keys beyond it leave the state.
     return at.withWatermark("at", f"{days} days").dropDuplicates(["mmsi", "at"]).drop("at")
 
 
+#: The state store that keeps timers.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIX = "ts double, tie long, lon double, lat double, sog double"
+CHANGE = f"mmsi long, {FIX}, gone boolean"
+
+
+class LatestFix(StatefulProcessor):
+    """A vessel's latest fix, and a timer that lets it go when the watermark has passed it.
+
+    Of fixes at one time the greater ``tie`` is the later.  A fix that is no
+    later than the one that is known changes nothing.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.fix = handle, handle.getValueState("fix", FIX)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        old = self.fix.get() if self.fix.exists() else None
+        best = old
+        for pdf in rows:
+            for fix in pdf[["ts", "tie", "lon", "lat", "sog"]].sort_values(["ts", "tie"]).tail(1).itertuples(index=False, name=None):
+                if best is None or fix[:2] > tuple(best)[:2]:
+                    best = fix
+        if best is old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(expiry(old[0]))
+        self.fix.update(tuple(None if v != v else v for v in best))
+        self.handle.registerTimer(expiry(best[0]))
+        yield changes(key[0], best, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        last = self.fix.get()
+        self.fix.clear()
+        yield changes(key[0], last, True)
+
+    def close(self) -> None:
+        pass
+
+
+def expiry(ts: float) -> int:
+    """The time of a fix in whole milliseconds, as the watermark has it."""
+    return int(ts * 1000)
+
+
+def changes(mmsi: int, fix: tuple, gone: bool) -> pd.DataFrame:
+    return pd.DataFrame([(mmsi, *fix, gone)], columns=["mmsi", "ts", "tie", "lon", "lat", "sog", "gone"])
+
+
+def live_changes(positions: DataFrame, stale_s: int = STALE_S) -> DataFrame:
+    """What changes in the live snapshot: each vessel's new latest fix, and those that went.
+
+    A vessel goes when its latest fix is ``stale_s`` behind the latest of all
+    fixes; rows that are later than that are dropped, as they would go at once.
+    So the snapshot doesn't depend on how the rows are cut into batches.
+    """
+    spark = positions.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    at = positions.filter("mmsi is not null and ts is not null").withColumn("at", F.timestamp_millis((F.col("ts") * 1000).cast("long"))).withWatermark("at", f"{stale_s} seconds")
+    return at.groupBy("mmsi").transformWithStateInPandas(LatestFix(), CHANGE, "Append", "EventTime")
+
+
+class ChangeLog:
+    """A folder a batch of changes, and the snapshot that they give.
+
+    A batch that is run again replaces its own folder; a batch that is missing
+    among those that are there is an error, not an emptier snapshot.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def batches(self) -> list[int]:
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def whole(self, committed: int | None = None) -> int:
+        """The last batch (or ``committed``), if none up to it is missing."""
+        have = [n for n in self.batches() if committed is None or n <= committed]
+        last = committed if committed is not None else max(have, default=-1)
+        if have != list(range(last + 1)):
+            raise FileNotFoundError(f"batches {sorted(set(range(last + 1)) - set(have))} of {self.path} are missing")
+        return last
+
+    def snapshot(self, committed: int | None = None) -> DataFrame:
+        """``mmsi, ts, tie, lon, lat, sog`` as of the last batch, or of batch ``committed``; that and all before it must be there."""
+        last = self.whole(committed)
+        if last < 0:
+            return self.spark.createDataFrame([], f"mmsi long, {FIX}")
+        rows = self.spark.read.schema(CHANGE + ", batch long").parquet(self.path).filter(F.col("batch") <= last)
+        # Within a batch a vessel's fix comes before its going.
+        newest = rows.groupBy("mmsi").agg(F.max_by(F.struct("ts", "tie", "lon", "lat", "sog", "gone"), F.struct("batch", "gone")).alias("m"))
+        return newest.filter("not m.gone").select("mmsi", "m.ts", "m.tie", "m.lon", "m.lat", "m.sog")
+
+
 class Snapshot:
     """The latest fix of each vessel; one that a batch lacks stays until it is ``STALE_S`` old."""
 
@@ -49,6 +155,8 @@ class Snapshot:
         latest = batch.groupBy("mmsi").agg(F.max_by(F.struct("ts", "lon", "lat", "sog"), F.struct("ts", "lon")).alias("m")).select("mmsi", "m.*")
         now = latest.agg(F.max("ts").alias("now"))
         old = self.read(number - 1)
+        if old is None and number > 0:
+            raise FileNotFoundError(f"version {number - 1} of {self.path} is missing")
         if old is not None:
             stay = old.join(latest.select("mmsi", F.col("ts").alias("new_ts")), "mmsi", "left").crossJoin(F.broadcast(now))
             older = stay.filter("new_ts < ts or new_ts is null and ts >= coalesce(now, ts) - " + str(STALE_S)).select("mmsi", "ts", "lon", "lat", "sog")
