@@ -78,7 +78,9 @@ def tables(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
   from part cross join (""" + " union all ".join(f"select {k} as k" for k in range(4)) + ") ks"),
         "calibration": ((), """select p_partkey as scene, '<calibration>' || '<calibrationVector><line>0</line><pixel>0 40 80 120</pixel><sigmaNought>310.5 305.25 ' || cast(300 + p_partkey % 7 as varchar(9)) || ' 299</sigmaNought></calibrationVector>'
   || '<calibrationVector><line>500</line><pixel>0 40 80 120</pixel><sigmaNought>311 306 301 300</sigmaNought></calibrationVector>'
-  || '<calibrationVector><line>' || cast(1000 + p_partkey % 11 as varchar(9)) || '</line><pixel>0 40 80 120</pixel><sigmaNought>312 307 302 301.75</sigmaNought></calibrationVector></calibration>' as xml from part where p_partkey % 20 = 1"""),
+  || '<calibrationVector><line>' || cast(1000 + p_partkey % 11 as varchar(9)) || '</line><pixel>0 40 80 120</pixel><sigmaNought>312 307 302 301.75</sigmaNought></calibrationVector></calibration>' as xml from part"""),
+        "samples": ((), """select l_orderkey * 8 + l_linenumber as id, l_partkey + case when l_orderkey % 101 = 0 then 10000000 else 0 end as scene, cast(l_orderkey * 37 % 1500 - 20 as int) as line,
+  cast(l_suppkey * 13 % 140 as double) as pixel, case when l_linenumber = 7 then 0e0 else cast(l_extendedprice as double) / 1e2 end as dn from lineitem"""),
         "land": ((), """select n_nationkey as id, k, 22.2e0 + (n_nationkey * 13 % 17) * 0.5e0 + (0.1e0 + (n_nationkey % 4) * 0.09e0) * cos(k * pi() / 3e0) as lon,
   58.8e0 + (n_nationkey * 7 % 11) * 0.2e0 + (0.08e0 + (n_nationkey % 3) * 0.05e0) * sin(k * pi() / 3e0) as lat from nation cross join (""" + " union all ".join(f"select {k} as k" for k in range(6)) + """) ks
   where k < case when n_nationkey % 9 = 4 then 2 else 6 end"""),
