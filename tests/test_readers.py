@@ -39,12 +39,36 @@ def test_vessels_and_empty_documents(spark, tmp_path):
     assert readers.vessels(spark, write(tmp_path / "none", "v.json", [])).count() == 0
 
 
-def test_met_grid(spark, tmp_path):
-    hourly = {"time": ["2024-08-01T00:00", "2024-08-01T01:00"], "wind_speed_10m": [5.0, 10.0], "wind_direction_10m": [270.0, 0.0], "ocean_current_velocity": [1.0], "ocean_current_direction": [90.0]}
-    got = readers.met_grid(spark, write(tmp_path, "p.json", {"latitude": 59.0, "longitude": 22.0, "hourly": hourly})).orderBy("ts").collect()
-    assert [r.ts for r in got] == [1722470400.0, 1722474000.0]
+def hourly(time, **arrays):
+    return {"hourly": {"time": time, **arrays}}
+
+
+@pytest.mark.parametrize("time", [[1722470400, 1722474000], ["2024-08-01T00:00", "2024-08-01T01:00"]])
+def test_met_grid(spark, tmp_path, time):
+    # Worked by hand: wind from 270 degrees at 5 m/s blows east; a current of 3.6 km/h with 90 degrees runs west at 1 m/s.
+    both = {"wind_speed_10m": [5.0, 10.0], "wind_direction_10m": [270.0, 0.0], "ocean_current_velocity": [3.6], "ocean_current_direction": [90.0]}
+    where = write(tmp_path, "p.json", {"latitude": 59.0, "longitude": 22.0, **hourly(time, **both)})
+    got = readers.met_grid(spark, where).orderBy("ts").collect()
+    assert [(r.lon, r.lat, r.ts) for r in got] == [(22.0, 59.0, 1722470400.0), (22.0, 59.0, 1722474000.0)]
     assert got[0].wind_u == pytest.approx(5) and got[0].wind_v == pytest.approx(0, abs=1e-9)
-    assert got[0].cur_u == pytest.approx(1) and got[1].wind_v == pytest.approx(-10) and got[1].cur_u is None
+    assert got[0].cur_u == pytest.approx(-1) and got[0].cur_v == pytest.approx(0, abs=1e-9)
+    assert got[1].wind_v == pytest.approx(-10) and got[1].cur_u is None
+    other = readers.met_grid(spark, where, currents="to").orderBy("ts").first()
+    assert other.cur_u == pytest.approx(1)
+    with pytest.raises(ValueError):
+        readers.met_grid(spark, where, currents="up")
+
+
+def test_met_grid_of_two_feeds(spark, tmp_path):
+    at = [{"latitude": 59.0, "longitude": 22.0}, {"latitude": 59.0, "longitude": 23.0}, {"latitude": 60.0, "longitude": 22.0}]
+    wind = [p | hourly([3600 * i for i in range(3)], wind_speed_10m=[1.0 + j] * (3 - j), wind_direction_10m=[180.0] * 3) for j, p in enumerate(at)]
+    sea = [{"latitude": 59.1, "longitude": 22.1} | hourly([0], ocean_current_velocity=[7.2, None], ocean_current_direction=[0.0, 0.0])] * 2
+    for folder, doc in (("w", wind), ("s", sea)):
+        write(tmp_path / folder, "a.json", doc)
+    got = {(r.lon, r.lat, r.ts): r for r in readers.met_grid(spark, str(tmp_path / "w"), str(tmp_path / "s")).collect()}
+    assert len(got) == 9  # each point at the three times of the first document
+    assert got[22.0, 59.0, 0.0].wind_v == pytest.approx(1) and got[22.0, 60.0, 3600.0].wind_v is None and got[23.0, 59.0, 3600.0].wind_v == pytest.approx(2)
+    assert got[22.0, 59.0, 0.0].cur_v == pytest.approx(-2) and got[22.0, 59.0, 3600.0].cur_v is None and got[22.0, 60.0, 0.0].cur_v is None
 
 
 def test_catalogue_and_slicks(spark, tmp_path):
@@ -52,7 +76,7 @@ def test_catalogue_and_slicks(spark, tmp_path):
     (s,) = readers.catalogue(spark, write(tmp_path / "c", "c.json", doc)).collect()
     assert (s.product_id, s.sensed_start, s.size_mb, len(s.footprint)) == ("x", 1722486600.5, 2.5, 4)
     ring = [[24.0, 59.0], [24.2, 59.0], [24.2, 59.1], [24.0, 59.1], [24.0, 59.0]]
-    page = {"features": [{"geometry": {"coordinates": [ring]}, "properties": {"id": 7, "slick_timestamp": "2024-08-01T00:00:00Z", "cls": 2, "machine_confidence": 0.9, "area": 5.0, "length": 6.0, "s1_scene_id": "S"}}]}
+    page = {"features": [{"geometry": {"coordinates": [ring]}, "properties": {"id": 7, "slick_timestamp": "2024-08-01T00:00:00+03:00", "cls": 2, "machine_confidence": 0.9, "area": 5.0, "length": 6.0, "s1_scene_id": "S"}}]}
     flat = {"features": [{"geometry": {"coordinates": [[[1.0, 2.0], [1.0, 2.0]]]}, "properties": {"id": 8}}, page["features"][0]]}
     where = write(tmp_path / "s", "1.json", page)
     write(tmp_path / "s", "2.json", flat)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewake.plans.query import query
-from tidewake.sources.fixtures import AOI, met_column
+from tidewake.sources.fixtures import AOI
 
-#: Pixels of a scene after decimation, particles of a drawn path, rows of a page and pages of a fetch.
-MAX_PIXELS, PATHS, PAGE_ROWS, PAGES = 40_000_000, 120, 1000, 100
+#: Pixels of a scene after decimation, particles of a drawn path, rows of a page.
+MAX_PIXELS, PATHS, PAGE_ROWS = 40_000_000, 120, 1000
 #: Degrees around the footprints of a training scene, and the training tiles: side, stride, positive pixels, least negatives.
 TRAIN_MARGIN, TILE, STRIDE, POSITIVE, LEAST = 0.08, 16, 8, 40, 40
 
+#: Seconds of a day and of the live field (14 days back, 3 ahead), and what stands for a field that isn't there.
+DAY_S, LIVE_S, CALM = 86400.0, 17 * 86400.0, (5.0, -3.0, 0.1, -0.05)
+
 
 @query("band_choice", "files")
 def band_choice(d):
@@ -49,13 +54,38 @@ def scene_decimation(d):
   select *, greatest(ceil(sqrt(h * w / {MAX_PIXELS}e0)), 1e0) as decim from (select product_id, 5e3 + seq * 31 % 12000 as h, 8e3 + seq * 57 % 18000 as w from scenes) s) t"""
 
 
-@query("met_window", "slicks", steps=lambda d: [("live", met_column(d)), ("windows", """select id, detected_at + case when id % 3 = 0 then 9e6 when id % 4 = 0 then 6e4 else 0e0 end - 3600e0 * (4 + id % 9) as t0,
-  detected_at + case when id % 3 = 0 then 9e6 when id % 4 = 0 then 6e4 else 0e0 end as t1 from slicks"""), ("covered", "select w.*, coalesce(l.first_ts <= w.t0 and l.last_ts >= w.t1, false) as live_covers, floor(w.t0 / 86400e0) * 86400e0 as d0, (floor(w.t1 / 86400e0) + 2e0) * 86400e0 as d1 from windows w cross join (select min(ts) as first_ts, max(ts) as last_ts from live) l")])
+def window_fields(table):
+    """Joined on (point, day): a window asks for the days that it touches, so no side is broadcast and no row meets rows of other days."""
+    windows, met = table("met_windows"), table("met_obs")
+    live = met.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select(F.greatest("first_ts", F.col("last_ts") - LIVE_S).alias("first_ts"), "last_ts")
+    known = windows.crossJoin(live)  # one row
+    covered = F.coalesce((F.col("first_ts") <= F.col("t0")) & (F.col("last_ts") >= F.col("t1")), F.lit(False))
+    day = lambda c: F.floor(c / DAY_S)
+    known = known.withColumn("live", covered).withColumn("lo", F.when(F.col("live"), F.col("t0")).otherwise(day(F.col("t0")) * DAY_S))
+    known = known.withColumn("hi", F.when(F.col("live"), F.col("t1")).otherwise((day(F.col("t1")) + 2) * DAY_S))
+    asked = known.select("id", "live", "lo", "hi", F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")))).alias("day"))
+    hours = asked.join(met.withColumn("day", day(F.col("ts"))), "day")
+    inside = (F.col("ts") >= F.col("lo")) & F.when(F.col("live"), F.col("ts") <= F.col("hi")).otherwise(F.col("ts") < F.col("hi"))
+    parts = ("wind_u", "wind_v", "cur_u", "cur_v")
+    found = hours.filter(inside).groupBy("id", "ix", "iy").agg(F.count("*").alias("hours"), *(F.avg(c).alias(c) for c in parts))
+    points = known.select("id", "live").crossJoin(table("met_points")).join(found, ["id", "ix", "iy"], "left")
+    any_hour = found.groupBy("id").agg(F.lit(1).alias("some"))
+    source = F.when(F.col("live"), "live").when(F.col("some").isNotNull(), "dates").otherwise("constant")
+    # What a point lacks within a field is 0; a window without any field has the constants.
+    value = [(F.round(F.when(F.col("source") == "constant", F.lit(k)).otherwise(F.coalesce(c, F.lit(0.0))), 4) + 0.0).alias(c) for c, k in zip(parts, CALM, strict=True)]
+    return points.join(any_hour, "id", "left").withColumn("source", source).select("id", "ix", "iy", "source", F.coalesce("hours", F.lit(0)).alias("hours"), *value)
+
+
+@query("met_window", "met_windows", "met_obs", "met_points", frame=window_fields)
 def met_window(d):
-    """Where a window's field comes from: the live one if it covers it, else the dates' rows, else constants."""
-    return """select c.id, case when c.live_covers then 'live' when max(m.ts) is not null then 'dates' else 'constant' end as source, count(m.ts) as hours,
-  round(coalesce(avg(m.wind_u), 5e0), 4) as wind_u, round(coalesce(avg(m.wind_v), -3e0), 4) as wind_v, round(coalesce(avg(m.cur_u), 0.1e0), 4) as cur_u, round(coalesce(avg(m.cur_v), -0.05e0), 4) as cur_v
-  from covered c left join live m on case when c.live_covers then m.ts between c.t0 and c.t1 else m.ts >= c.d0 and m.ts < c.d1 end group by c.id, c.live_covers"""
+    """Where each point of a window's field comes from: the live field if it covers the window, else the dates' hours, else constants."""
+    at = f"case when w.live then m.ts between w.t0 and w.t1 else m.ts >= floor(w.t0 / {DAY_S}) * {DAY_S} and m.ts < (floor(w.t1 / {DAY_S}) + 2) * {DAY_S} end"
+    pick = lambda c, k: f"round(case when source = 'constant' then {k}e0 else coalesce({c}, 0e0) end, 4) + 0e0 as {c}"
+    return f"""select id, ix, iy, source, hours, {", ".join(pick(c, k) for c, k in zip(("wind_u", "wind_v", "cur_u", "cur_v"), CALM, strict=True))} from (
+  select p.id, p.ix, p.iy, p.hours, wind_u, wind_v, cur_u, cur_v, case when live then 'live' when sum(hours) over (partition by id) > 0 then 'dates' else 'constant' end as source from (
+    select w.id, q.ix, q.iy, w.live, count(m.ts) as hours, avg(m.wind_u) as wind_u, avg(m.wind_v) as wind_v, avg(m.cur_u) as cur_u, avg(m.cur_v) as cur_v
+    from (select w.*, coalesce(greatest(l.first_ts, l.last_ts - {LIVE_S}) <= w.t0 and l.last_ts >= w.t1, false) as live from met_windows w cross join (select min(ts) as first_ts, max(ts) as last_ts from met_obs) l) w
+    cross join met_points q left join met_obs m on m.ix = q.ix and m.iy = q.iy and {at} group by w.id, q.ix, q.iy, w.live) p) s"""
 
 
 @query("field_coverage", "slicks", "met")
@@ -128,8 +158,8 @@ def numbered(d):
 
 @query("historical_pages", "hist_slicks", steps=numbered)
 def historical_pages(d):
-    """Rows within a box by pages, up to the page limit; the last page is the first short one."""
-    return f"select page, count(*) as n, min(id) as first_id, max(id) as last_id from (select id, {d.idiv('i', str(PAGE_ROWS))} as page from in_order) p where page < {PAGES} group by page"
+    """Rows within a box by pages, all of them; the last page is the first short one.  A fetch's limit of pages is its reader's."""
+    return f"select page, count(*) as n, min(id) as first_id, max(id) as last_id from (select id, {d.idiv('i', str(PAGE_ROWS))} as page from in_order) p group by page"
 
 
 QUERIES = (band_choice, directory_sizes, scene_files, calibration_vectors, scene_decimation, met_window, field_coverage, decimated_paths, largest_polygon, footprint_in_box, union_bounds, segmenter_choice, tile_sampling, patch_levels, historical_pages)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import tiles
@@ -124,7 +125,32 @@ def iou_metrics(d):
   select count_if(p and t) as tp, count_if(p and not t) as fp, count_if(t and not p) as fn from (select k.r is not null as p, power(s.r - 30e0, 2) + power(s.c - 34e0, 2) < 100e0 as t from sar s left join dark k on k.r = s.r and k.c = s.c) m) c"""
 
 
-@query("auc_rank_sum", "hist_slicks")
+def areas(rows: DataFrame, fold: str, score: str, label: str, ranges: int = 256) -> DataFrame:
+    """``fold, auc``: each positive beats the negatives below it, and half of those beside it.
+
+    Counts by distinct score are combined before the shuffle; what lies below
+    comes from the sums of ``ranges`` ranges of scores, and within a range by a
+    window over its distinct scores.  Null where a class is missing.
+    """
+    given = rows.select(F.col(fold).alias("fold"), F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y")).filter("s is not null and y is not null")
+    ends = given.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    of_range = F.least(F.floor((F.col("s") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * ranges), F.lit(ranges - 1))
+    counts = given.groupBy("fold", "s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("part", F.coalesce(of_range, F.lit(0))).drop("lo", "hi")
+    before = Window.partitionBy("fold").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("fold", "part").agg(F.sum("neg").alias("n")).select("fold", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lower"))
+    within = Window.partitionBy("fold", "part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = counts.join(parts, ["fold", "part"]).withColumn("beaten", F.col("lower") + F.coalesce(F.sum("neg").over(within), F.lit(0)) + F.col("neg") / 2)
+    sums = below.groupBy("fold").agg(F.sum(F.col("pos") * F.col("beaten")).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return sums.select("fold", (F.col("won") / F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))).alias("auc"))
+
+
+def slick_areas(table) -> DataFrame:
+    rows = table("hist_slicks").selectExpr("cast(id % 5 as int) as fold", "confidence", "case when (id * 31 % 100) / 1e2 + confidence > 1e0 then 1 else 0 end as y")
+    return areas(rows, "fold", "confidence", "y").select("fold", F.round("auc", 5).alias("auc"))
+
+
+@query("auc_rank_sum", "hist_slicks", frame=slick_areas)
 def auc_rank_sum(d):
     return """select fold, round((sum(case when y = 1 then rk else 0e0 end) - p * (p + 1e0) / 2e0) / nullif(p * (n - p), 0e0), 5) as auc from (
   select fold, y, avg(rn) over (partition by fold, s) as rk, sum(1e0 * y) over (partition by fold) as p, count(*) over (partition by fold) as n from (

@@ -249,7 +249,7 @@ FEATURES = "scene string, label long, area_px long, complexity double, contrast_
 
 
 def features(tiles: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Shape, contrast, edge and texture of each patch, from its crop; the share of dark pixels in a window three crops wide.
+    """Shape, contrast, edge and texture of each patch, from its crop; in a window three crops wide the share of its own pixels.
 
     A patch meets the tiles of its window; its task puts crop and window together.
     """
@@ -267,7 +267,6 @@ def features(tiles: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFra
         wr1, wc1 = (min(int(hi), max(t * block + n for t, n in zip(pdf[k], pdf[size], strict=True))) for hi, k, size in ((one.wr1, "tr", "h"), (one.wc1, "tc", "w")))
         img = np.full((wr1 - wr0, wc1 - wc0), np.nan)
         lab = np.zeros(img.shape, np.int64)
-        any_dark = np.zeros(img.shape, bool)
         for p in pdf.itertuples():
             g, top, left = _grid(p), p.tr * block, p.tc * block
             a0, a1, b0, b1 = max(top, wr0), min(top + p.h, wr1), max(left, wc0), min(left + p.w, wc1)
@@ -276,7 +275,7 @@ def features(tiles: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFra
             for q in p.px if p.px is not None else ():
                 r, c = q["r"] - wr0, q["c"] - wc0
                 if 0 <= r < img.shape[0] and 0 <= c < img.shape[1]:
-                    any_dark[r, c], lab[r, c] = True, q["label"] == one.label
+                    lab[r, c] = q["label"] == one.label
         r0, c0, r1, c1 = int(one.r0) - wr0, int(one.c0) - wc0, int(one.r1) - wr0, int(one.c1) - wc0
         crop, mask = img[r0:r1, c0:c1], lab[r0:r1, c0:c1] > 0
         ys, xs = np.nonzero(mask)
@@ -294,7 +293,7 @@ def features(tiles: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFra
         return pd.DataFrame([{
             "scene": one.scene, "label": int(one.label), "area_px": area, "complexity": complexity, "contrast_db": round(contrast, 2), "edge_sharpness": round(float(np.hypot(*steps)[band].mean()), 3), "homogeneity": round(homogeneity(crop, mask), 3),
             "elongation": round(float(np.sqrt(max(values[1], 1e-6) / max(values[0], 1e-6))), 2), "orientation_deg": round(float(np.degrees(np.arctan2(vectors[1, 1], vectors[0, 1])) % 180), 1),
-            "dark_fraction_local": round(float(any_dark[sea].mean()) if sea.any() else 0.5, 3), "r0": int(one.r0), "c0": int(one.c0), "r1": int(one.r1), "c1": int(one.c1),
+            "dark_fraction_local": round(float((lab > 0)[sea].mean()) if sea.any() else 0.5, 3), "r0": int(one.r0), "c0": int(one.c0), "r1": int(one.r1), "c1": int(one.c1),
         }])
 
     return met.groupBy("scene", "label").applyInPandas(run, FEATURES)

@@ -71,6 +71,12 @@ def tables(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
         "met": ((), f"""select ix, iy, it, 21.8e0 + ix * 1.76e0 as lon, 58.9e0 + iy * 0.45e0 as lat, it * 3600e0 as ts,
   5e0 + 2e0 * sin(ix / 2e0 + it / 5e0) as wind_u, -3e0 + cos(iy / 2e0 + it / 7e0) as wind_v, 0.1e0 + 0.05e0 * sin(it / 6e0) as cur_u, -0.05e0 + 0.02e0 * cos(ix / 3e0) as cur_v
   from {d.numbers(6, 'ix')} a cross join {d.numbers(5, 'iy')} b cross join {d.numbers(24, 'it')} c"""),
+        "met_points": ((), f"select ix, iy from {d.numbers(6, 'ix')} a cross join {d.numbers(5, 'iy')} b"),
+        "met_obs": ((), f"""select ix, iy, ts, avg(-speed * sin(radians(dir))) as wind_u, avg(-speed * cos(radians(dir))) as wind_v, avg(-flow / 3.6e0 * sin(radians(cdir))) as cur_u, avg(-flow / 3.6e0 * cos(radians(cdir))) as cur_v from (
+  select l_suppkey % 6 as ix, l_partkey % 5 as iy, {d.micros('cast(l_shipdate as timestamp)')} / 1e6 + (l_orderkey % 24) * 3600e0 as ts, cast(l_quantity as double) / 3e0 as speed, cast(l_orderkey * 7 % 360 as double) as dir,
+    cast(l_discount as double) * 3e1 as flow, cast(l_orderkey * 11 % 360 as double) as cdir from lineitem) o group by ix, iy, ts"""),
+        "met_windows": (("met_obs",), f"""select s_suppkey as id, case when s_suppkey % 4 = 0 then last_ts - 4e5 when s_suppkey % 9 = 1 then last_ts + 9e6 else 7e8 + (s_suppkey * 7919 % 2300) * 86400e0 end as t0,
+  case when s_suppkey % 4 = 0 then last_ts - 4e5 when s_suppkey % 9 = 1 then last_ts + 9e6 else 7e8 + (s_suppkey * 7919 % 2300) * 86400e0 end + 3600e0 * (4 + s_suppkey % 70) as t1 from supplier cross join (select max(ts) as last_ts from met_obs) m"""),
         "sar": ((), f"""select cast(id % 64 as int) as c, cast(floor(id / 64) as int) as r,
   -18e0 + 2e0 * sin(floor(id / 64) / 5e0) + 1.5e0 * cos((id % 64) / 7e0) - case when power(floor(id / 64) - 30e0, 2) + power((id % 64) - 34e0, 2) < 81e0 then 12e0 else 0e0 end as v from {d.numbers(4096)} p"""),
         "files": ((), """select p_partkey + case when p_partkey % 13 = 0 then 100000 else 0 end as scene, 'scenes/' || cast(p_partkey % 50 as varchar(20)) as directory, cast((p_partkey * 31 + k * 17) % 1000 + 1 as bigint) as bytes,
@@ -89,11 +95,6 @@ def tables(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
     }
 
 
-def met_column(d: Dialect) -> str:
-    """One place of the met grid, by the hour."""
-    return f"select ts, wind_u, wind_v, cur_u, cur_v from ({tables(d)['met'][1]}) m where ix = 2 and iy = 3"
-
-
 def with_tables(d: Dialect, names: tuple[str, ...], extra: list[tuple[str, str]] = [], given: dict[str, str] | None = None) -> str:
     """A WITH list of the named tables, what they need before them, and further ones; ``given`` tables are views with the rows of a caller."""
     known, out = tables(d), {}

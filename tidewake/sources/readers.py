@@ -72,13 +72,40 @@ def uv(speed: Column, direction: Column) -> tuple[Column, Column]:
     return -speed * F.sin(F.radians(direction)), -speed * F.cos(F.radians(direction))
 
 
-def met_grid(spark: SparkSession, path: str) -> DataFrame:
-    """``lon, lat, ts, wind_u, wind_v, cur_u, cur_v`` from a document a point; arrays that end early give nulls."""
-    rows = spark.read.schema(HOURLY).option("multiLine", True).json(path)
-    zipped = F.arrays_zip(*(F.col(f"hourly.{c}").alias(c) for c in ("time", "wind_speed_10m", "wind_direction_10m", "ocean_current_velocity", "ocean_current_direction")))
-    hours = rows.select(F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), F.explode(zipped).alias("h")).filter("h.time is not null")
-    (wu, wv), (cu, cv) = uv(F.col("h.wind_speed_10m"), F.col("h.wind_direction_10m")), uv(F.col("h.ocean_current_velocity"), F.col("h.ocean_current_direction") + 180)
-    return hours.select("lon", "lat", F.unix_timestamp(F.to_timestamp("h.time")).cast("double").alias("ts"), wu.alias("wind_u"), wv.alias("wind_v"), cu.alias("cur_u"), cv.alias("cur_v"))
+def seconds(text: Column) -> Column:
+    """Epoch seconds of a feed's time: a number, or a text of a time in UTC."""
+    stated = F.coalesce(F.try_to_timestamp(F.concat(text, F.lit("Z"))), F.try_to_timestamp(text))
+    return F.coalesce(text.try_cast("double"), F.unix_timestamp(stated).cast("double"))
+
+
+def met_grid(spark: SparkSession, path: str, marine: str | None = None, currents: str = "from") -> DataFrame:
+    """``lon, lat, ts, wind_u, wind_v, cur_u, cur_v`` in m/s from documents of the forecast, one or an array of one a point.
+
+    ``marine`` is the folder of the currents' documents, which go with the
+    forecast's file of the same name by position; None: the documents hold both.
+    Winds are in m/s, currents in km/h.  Directions are those from which a flow
+    comes; ``currents="to"`` says that the feed's currents go to theirs.  The
+    first document's times serve all of its file; arrays that end early give nulls.
+    """
+    if currents not in ("from", "to"):
+        raise ValueError("currents must be from or to")
+
+    def documents(folder: str) -> DataFrame:
+        files = spark.read.option("wholetext", True).text(folder).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.trim("value").alias("value"))
+        listed = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+        return files.select("file", F.from_json(listed, f"array<struct<{HOURLY.replace('latitude double, longitude double, hourly ', 'latitude: double, longitude: double, hourly: ')}>>").alias("docs"))
+
+    winds = documents(path).select("file", "docs", F.get("docs", F.lit(0)).hourly.time.alias("times"))
+    both = winds.withColumn("sea", F.col("docs")) if marine is None else winds.join(documents(marine).select("file", F.col("docs").alias("sea")), "file", "left")
+    point = both.select("times", "sea", F.posexplode("docs").alias("i", "wind")).select("times", "wind", F.get("sea", F.col("i")).alias("sea"))
+    hours = point.select("wind", "sea", F.posexplode("times").alias("k", "time")).filter("time is not null")
+
+    def at(c: str) -> Column:
+        return F.get(F.col(c), F.col("k"))
+
+    turn = 0 if currents == "from" else 180
+    (wu, wv), (cu, cv) = uv(at("wind.hourly.wind_speed_10m"), at("wind.hourly.wind_direction_10m")), uv(at("sea.hourly.ocean_current_velocity") / 3.6, at("sea.hourly.ocean_current_direction") + turn)
+    return hours.select(F.col("wind.longitude").alias("lon"), F.col("wind.latitude").alias("lat"), seconds(F.col("time")).alias("ts"), wu.alias("wind_u"), wv.alias("wind_v"), cu.alias("cur_u"), cv.alias("cur_v"))
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +130,9 @@ def historical_slicks(spark: SparkSession, path: str) -> DataFrame:
     """Slicks of GeoJSON pages; a slick that two pages hold counts once."""
     f = spark.read.schema(SLICKS).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("ring"))
     lon, lat = centroid(F.col("ring"))
-    ts = F.unix_micros(F.to_timestamp("slick_timestamp")) / 1e6
-    return f.filter("id is not null").dropDuplicates(["id"]).select("id", ts.alias("ts"), "cls", F.col("machine_confidence").alias("confidence"), F.col("area").alias("area_m2"), F.col("length").alias("length_m"), lon.alias("centroid_lon"), lat.alias("centroid_lat"), F.col("s1_scene_id").alias("s1_scene"))
+    # Whatever zone the text names, its clock time is UTC.
+    ts = F.unix_micros(F.to_timestamp(F.concat(F.regexp_replace("slick_timestamp", "(Z|[+-][0-9]{2}:?[0-9]{2})$", ""), F.lit("Z")))) / 1e6
+    return f.filter("id is not null").dropDuplicates(["id"]).select("id", ts.alias("ts"), "cls", F.col("machine_confidence").alias("confidence"), F.col("area").alias("area_m2"), F.col("length").alias("length_m"), F.round(lon, 5).alias("centroid_lon"), F.round(lat, 5).alias("centroid_lat"), F.col("s1_scene_id").alias("s1_scene"))
 
 
 def labelled_patches(spark: SparkSession, folder: str) -> DataFrame:
