@@ -8,10 +8,10 @@ from tidewake.plans.query import query
 WINDAGE, DEFLECTION, STOKES, STEP = 0.03, 20.0, 0.02, 300
 
 
-@query("met_explode")
+@query("met_explode", "slicks")
 def met_explode(d):
     wind = "transform(sequence(0, 23), i -> 5e0 + sin(p + i / 3e0))" if d.spark else "list_transform(range(0, 24), lambda i: 5e0 + sin(p + i / 3e0))"
-    src = f"(select p, {wind} as speeds from {d.numbers(30, 'p')} n)"
+    src = f"(select p, {wind} as speeds from (select id as p from slicks) n)"
     if d.spark:
         return f"select p, pos as hour, round(speed, 5) as speed from {src} s lateral view posexplode(speeds) x as pos, speed"
     return f"select p, cast(hour as int) as hour, round(speeds[hour + 1], 5) as speed from {src} s cross join {d.numbers(24, 'hour')} h"

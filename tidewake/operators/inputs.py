@@ -122,11 +122,11 @@ def union_bounds(d):
     return f"select scene_id, round(min(lon) - {m}, 5) as lon0, round(min(lat) - {m}, 5) as lat0, round(max(lon) + {m}, 5) as lon1, round(max(lat) + {m}, 5) as lat1 from ring r join slicks s on s.id = r.id group by scene_id"
 
 
-@query("segmenter_choice")
+@query("segmenter_choice", "scenes")
 def segmenter_choice(d):
     """The mode that was asked for, where its checkpoint is; the threshold otherwise."""
-    return """select mode, has_checkpoint, case when mode in ('auto', 'unet') and has_checkpoint then 'unet' else 'heuristic' end as chosen from (select 'auto' as mode union all select 'unet' union all select 'heuristic') m
-  cross join (select true as has_checkpoint union all select false) c"""
+    return """select product_id, mode, has_checkpoint, case when mode in ('auto', 'unet') and has_checkpoint then 'unet' else 'heuristic' end as chosen
+  from (select product_id, case seq % 3 when 0 then 'auto' when 1 then 'unet' else 'heuristic' end as mode, status <> 'error' as has_checkpoint from scenes) m"""
 
 
 @query("tile_sampling", "sar")

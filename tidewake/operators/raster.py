@@ -86,11 +86,13 @@ def glcm_homogeneity(d):
     return f"""select round(sum(n / (1e0 + power(a - b, 2))) / sum(n), 5) as homogeneity, cast(sum(n) as bigint) as pairs from (select x.q as a, y.q as b, count(*) as n from levels x join levels y on y.r = x.r and y.c = x.c + 3 group by 1, 2) g""".replace("levels", f"(select r, c, {q} as q from sar cross join (select {d.percentile('v', 0.02)} as lo, {d.percentile('v', 0.98)} as hi from sar) p)")
 
 
-@query("tile_plan")
+@query("tile_plan", "scenes")
 def tile_plan(d):
-    # 256 px tiles of a 1000 x 700 raster; the last of each axis lies flush with the edge.
-    axis = lambda n: f"(select least(k * 256, {n} - 256) as o from {d.numbers(-(-1000 // 256), 'k')} t where k * 256 < {n})"
-    return f"select cast(y.o as int) as y0, cast(y.o + 256 as int) as y1, cast(x.o as int) as x0, cast(x.o + 256 as int) as x1 from {axis(700)} y cross join {axis(1000)} x"
+    # 256 px tiles of each scene's thumbnail; the last of each axis lies flush with the edge.
+    most = -(-1100 // 256)
+    axis = lambda n: f"(select seq, least(k * 256, {n} - 256) as o from sized cross join {d.numbers(most, 'k')} t where k * 256 < {n})"
+    sized = "(select seq, 300 + seq * 31 % 800 as h, 260 + seq * 57 % 840 as w from scenes)"
+    return f"select y.seq, cast(y.o as int) as y0, cast(y.o + 256 as int) as y1, cast(x.o as int) as x0, cast(x.o + 256 as int) as x1 from {axis('h')} y join {axis('w')} x on x.seq = y.seq".replace("from sized", f"from {sized} s")
 
 
 @query("lut_interpolate", "sar")

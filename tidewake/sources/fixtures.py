@@ -77,8 +77,11 @@ def tables(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
     cast(l_discount as double) * 3e1 as flow, cast(l_orderkey * 11 % 360 as double) as cdir from lineitem) o group by ix, iy, ts"""),
         "met_windows": (("met_obs",), f"""select s_suppkey as id, case when s_suppkey % 4 = 0 then last_ts - 4e5 when s_suppkey % 9 = 1 then last_ts + 9e6 else 7e8 + (s_suppkey * 7919 % 2300) * 86400e0 end as t0,
   case when s_suppkey % 4 = 0 then last_ts - 4e5 when s_suppkey % 9 = 1 then last_ts + 9e6 else 7e8 + (s_suppkey * 7919 % 2300) * 86400e0 end + 3600e0 * (4 + s_suppkey % 70) as t1 from supplier cross join (select max(ts) as last_ts from met_obs) m"""),
-        "sar": ((), f"""select cast(id % 64 as int) as c, cast(floor(id / 64) as int) as r,
-  -18e0 + 2e0 * sin(floor(id / 64) / 5e0) + 1.5e0 * cos((id % 64) / 7e0) - case when power(floor(id / 64) - 30e0, 2) + power((id % 64) - 34e0, 2) < 81e0 then 12e0 else 0e0 end as v from {d.numbers(4096)} p"""),
+        # A pixel's speckle is the mean of whole numbers of its lineitem rows, so that both engines have the same digits.
+        "speckle": ((), "select l_orderkey % 4096 as id, 1e0 * sum(l_linenumber * 3 + l_suppkey % 11 + l_partkey % 13) / count(*) as n from lineitem group by l_orderkey % 4096"),
+        "sar": (("speckle",), f"""select cast(p.id % 64 as int) as c, cast(floor(p.id / 64) as int) as r,
+  -18e0 + 2e0 * sin(floor(p.id / 64) / 5e0) + 1.5e0 * cos((p.id % 64) / 7e0) + (coalesce(s.n, 2e1) - 2e1) / 2e1 - case when power(floor(p.id / 64) - 30e0, 2) + power((p.id % 64) - 34e0, 2) < 81e0 then 12e0 else 0e0 end as v
+  from {d.numbers(4096)} p left join speckle s on s.id = p.id"""),
         "files": ((), """select p_partkey + case when p_partkey % 13 = 0 then 100000 else 0 end as scene, 'scenes/' || cast(p_partkey % 50 as varchar(20)) as directory, cast((p_partkey * 31 + k * 17) % 1000 + 1 as bigint) as bytes,
   's1a-iw-grd-' || case when k = 3 then 'notes.xml' else case when k = 1 and p_partkey % 5 <> 0 then 'vv' else 'vh' end || '-' || cast(9 - k as varchar(2)) || '.tiff' end as name
   from part cross join (""" + " union all ".join(f"select {k} as k" for k in range(4)) + ") ks"),
