@@ -1,4 +1,4 @@
-"""Streams with state and sinks: the live snapshot with eviction, fan-out, single flight, atomic swap.
+"""Streams with state and sinks: the live snapshot with eviction, fan-out, single flight.
 
 The live snapshot's state lies in the state store, a value and a timer a vessel
 (``live_changes``), and what a batch changes is what it writes.  ``Snapshot`` is
@@ -201,5 +201,9 @@ def recovered(scenes: DataFrame) -> DataFrame:
 
 
 def swap(analysis: DataFrame, path: str) -> None:
-    """Replaces the analyses of the slicks in ``analysis``, and no other; readers see the old rows until the new ones are whole."""
+    """Replaces the analyses of the slicks in ``analysis``, and no other.
+
+    The new rows are written before any old ones go, but a folder a slick is
+    replaced one after the other; ``publish.Analyses`` swaps all at once.
+    """
     analysis.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slick_id").parquet(path)
