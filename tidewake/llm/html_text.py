@@ -105,6 +105,7 @@ def blocks(html: str) -> list[Block]:
             if marks >> i & 1:
                 depth[k] += by
 
+    shut: int | None = None
     while at < n:
         lt = html.find("<", at)
         end = n if lt < 0 else lt
@@ -114,11 +115,13 @@ def blocks(html: str) -> list[Block]:
             break
         m = _TAG.match(html, lt) if _OPENS.match(html, lt) else None
         if m is None:
-            gt = html.find(">", lt) if _OPENS.match(html, lt) else -1
+            if shut is not None and 0 <= shut < lt or shut is None:
+                shut = html.find(">", lt)  # each > is looked for once, however many < come before it
+            gt = shut if _OPENS.match(html, lt) else -1
             if gt >= 0:  # a quote that never closes: the tag ends at the next >
                 m = _TAG.match(re.sub("[\"']", " ", html[lt : gt + 1]))
             if m is None:  # a lone < is text, and all the rest if no > follows
-                end = n if html.find(">", lt) < 0 else lt + 1
+                end = n if shut < 0 else lt + 1
                 if not depth["skip"]:
                     piece.append((unescape(html[lt:end]), depth["link"] > 0))
                 at = end
