@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, materialise, slices, text_of
 
 DEPTH, BYTES_A_CELL, NARROWEST, WIDEST = 2, 32, 1 << 16, 1 << 25
-#: Cells of a block of counters, and bytes of text that a task works on at once.
-BLOCK, PORTION = 1 << 16, 8 << 20
+#: Cells of a block of counters, bytes of text that a task works on at once, and those that it sketches in all.
+BLOCK, PORTION, TASK_BYTES = 1 << 16, 8 << 20, 1 << 30
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SPLIT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _SEPARATOR = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -198,10 +198,10 @@ def survivors(texts: DataFrame, bits: np.ndarray, width: int, longest: int) -> D
 def counted(docs: DataFrame, scratch: Scratch, least: int, longest: int, lang_col: str, text_col: str, width: int | None = None) -> DataFrame:
     """Exact counts of all phrases of up to ``longest`` words that stand ``least`` times or more (``lang, order, phrase, n``), and of all words (order 0)."""
     spark, texts = docs.sparkSession, _texts(docs, lang_col, text_col)
-    if width is None:
-        width = width_for(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    # Few tasks with much text each: their counters are what is shuffled.
-    tasks = 2 * spark.sparkContext.defaultParallelism
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    width = width or width_for(n_bytes)
+    # Few tasks with much text each, since their counters are what is shuffled, but no more than TASK_BYTES.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
     full = full_cells(sketches(texts.coalesce(tasks), width, longest, least), tasks, least)
     bits = np.zeros((DEPTH, width // 8), np.uint8)
     for row in scratch.materialise(full, "full-cells").collect():  # a bit a cell: bounded by WIDEST
