@@ -32,6 +32,17 @@ def morph_age(d):
     return "select id, round(age_h, 4) as age_h, round(release_ts, 3) as release_ts from releases"
 
 
+@query("morph_age_of_outline", "ring", "ring_edges", "slicks")
+def morph_age_of_outline(d):
+    """The age of slicks whose axis or area isn't known, from their outline's bounds and area; others' from what is known."""
+    mx = "111320e0 * cos(radians(centroid_lat))"
+    return f"""select id, missing, round(greatest(least(0.8e0 + 0.4e0 * major_km + 0.5e0 * sqrt(km2), 17e0), 1e0), 4) as age_h from (
+  select s.id, s.missing, case when s.missing then greatest(b.dx * {mx} / 1e3, b.dy * 111320e0 / 1e3, 0.2e0) else s.major_axis_km end as major_km,
+    case when s.missing then greatest(e.deg2 * ({mx}) * 111320e0 / 1e6, 0.05e0) else s.area_km2 end as km2
+  from (select id, centroid_lat, major_axis_km, area_km2, id % 3 = 0 as missing from slicks) s join (select id, max(lon) - min(lon) as dx, max(lat) - min(lat) as dy from ring group by id) b on b.id = s.id
+  join (select e.id, abs(sum((x1 - c.centroid_lon) * (y2 - c.centroid_lat) - (x2 - c.centroid_lon) * (y1 - c.centroid_lat))) / 2e0 as deg2 from ring_edges e join slicks c on c.id = e.id group by e.id) e on e.id = s.id) a"""
+
+
 @query("origin_sigma", "slicks")
 def origin_sigma(d):
     return "select id, round(greatest((id * 37 % 4000) / 1e3, 0.3e0 + 0.1e0 * major_axis_km, 0.5e0) + 1e-9, 2) as sigma_km, round(least(greatest((id * 37 % 4000) / 1e3, 0.3e0 + 0.1e0 * major_axis_km, 0.5e0) / 3e0, 6e0), 4) as age_sigma_h from slicks"
@@ -86,4 +97,4 @@ def drift_deterministic(d):
     return d.recursion("run", "step, x, y", first, step, 300) + " select cast(step as int) as step, round(x, 4) as x, round(y, 4) as y from run where step % 12 = 0"
 
 
-QUERIES = (met_explode, uv_from_dir, local_frame, morph_age, origin_sigma, forecast_cone, shape_factors, ensemble_spread, snapshot_nearest_age, field_sample_trilinear, drift_deterministic)
+QUERIES = (met_explode, uv_from_dir, local_frame, morph_age, morph_age_of_outline, origin_sigma, forecast_cone, shape_factors, ensemble_spread, snapshot_nearest_age, field_sample_trilinear, drift_deterministic)

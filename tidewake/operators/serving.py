@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidewake.plans.query import query
 
 
@@ -85,14 +88,46 @@ def event_severity_counts(d):
     return "select count(*) as n, count_if(severity in ('alert', 'spill')) as alerts, count_if(severity in ('warning', 'gap')) as warnings, count_if(severity not in ('alert', 'spill', 'warning', 'gap')) as infos from event_log"
 
 
-@query("vessels_live_geojson", "ais", "vessels")
+def features(rows: DataFrame) -> DataFrame:
+    """``mmsi, feature``: each vessel's latest position as a GeoJSON feature; null properties stay, texts are escaped."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 5), F.round("lat", 5)).alias("coordinates"))
+    told = F.struct("mmsi", F.round("ts", 3).alias("ts"), "sog", "cog", F.col("navstat").alias("navStat"), "name", F.col("ship_type").alias("shipType"))
+    whole = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), told.alias("properties"))
+    return rows.select("mmsi", F.to_json(whole, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def live_features(table) -> DataFrame:
+    latest = table("ais").groupBy("mmsi").agg(F.max_by(F.struct("ts", "lon", "lat", "sog", "cog", "navstat"), F.struct("ts", "event_id")).alias("m")).select("mmsi", "m.*")
+    return features(latest.join(table("vessels").select("mmsi", "name", "ship_type"), "mmsi", "left"))
+
+
+@query("vessels_live_geojson", "ais", "vessels", frame=live_features)
 def vessels_live_geojson(d):
-    # The JSON is one string; coordinates as whole hundred-thousandths keep both engines' texts alike.
-    num = lambda x: f"cast(cast(round({x} * 1e5) as bigint) as varchar(20))"
-    return f"""select a.mmsi, '{{"type":"Feature","geometry":{{"type":"Point","coordinates_e5":[' || {num('lon')} || ',' || {num('lat')} || ']}},"properties":{{"mmsi":' || cast(a.mmsi as varchar(20)) || ',"name":"' || coalesce(name, '') || '"}}}}' as feature
+    return """select a.mmsi, cast(to_json({'type': 'Feature', 'geometry': {'type': 'Point', 'coordinates': [round(lon, 5), round(lat, 5)]},
+    'properties': {'mmsi': a.mmsi, 'ts': round(ts, 3), 'sog': sog, 'cog': cog, 'navStat': navstat, 'name': name, 'shipType': ship_type}}) as varchar) as feature
   from (select *, row_number() over (partition by mmsi order by ts desc, event_id desc) as rn from ais) a left join vessels v on v.mmsi = a.mmsi where rn = 1"""
 
 
+def time_ago(d, seconds: str) -> str:
+    """How long ago in words, of whole seconds that are null where no time is known."""
+    part = lambda n: f"cast({d.idiv(seconds, str(n))} as varchar(20))"
+    return f"case when {seconds} is null then '—' when {seconds} < 60 then 'just now' when {seconds} < 3600 then {part(60)} || 'm ago' when {seconds} < 86400 then {part(3600)} || 'h ago' else {part(86400)} || 'd ago' end"
+
+
+@query("event_ages", "event_log")
+def event_ages(d):
+    """Of each event its age at the newest one, in words; a time ahead is now, one of zero unknown."""
+    return f"""select id, {time_ago(d, 'away')} as age from (select id, case when ts <> 0 then greatest(cast(floor(newest - ts) as bigint), 0) end as away
+  from (select id, case when id % 97 = 0 then 0e0 when id % 89 = 0 then ts + 1e9 else ts end as ts from event_log) e cross join (select max(ts) as newest from event_log) n) a"""
+
+
+@query("wrapped_longitudes", "hist_slicks")
+def wrapped_longitudes(d):
+    """Longitudes beyond the date line, within -180 to 180."""
+    return f"""select id, round(case when lon between -180e0 and 180e0 then lon else {d.pmod('lon + 180e0', '360e0')} - 180e0 end, 6) as lon
+  from (select id, centroid_lon + (id % 9 - 4) * 155e0 as lon from hist_slicks) s"""
+
+
 @query("json_roundtrip", "suspects")
 def json_roundtrip(d):
     text = """'{"score":' || cast(cast(score * 10 as bigint) as varchar(20)) || ',"evidence":"' || evidence || '"}'"""
@@ -123,4 +158,4 @@ def risk_grid_topk(d):
   where p >= 0.05e0 order by p desc, cell limit 100"""
 
 
-QUERIES = (scenes_recent, newest_scene, largest_product, scene_name_parse, epoch_text, slicks_recent, slicks_per_scene, suspects_per_slick, suspects_top15, suspects_left_join_vessels, latest_drift_run, event_log_recent, event_filter_search, event_severity_counts, vessels_live_geojson, json_roundtrip, risk_opacity_minmax, cone_thinning, circle_polygon, risk_grid_topk)
+QUERIES = (scenes_recent, newest_scene, largest_product, scene_name_parse, epoch_text, slicks_recent, slicks_per_scene, suspects_per_slick, suspects_top15, suspects_left_join_vessels, latest_drift_run, event_log_recent, event_filter_search, event_severity_counts, vessels_live_geojson, event_ages, wrapped_longitudes, json_roundtrip, risk_opacity_minmax, cone_thinning, circle_polygon, risk_grid_topk)
