@@ -152,6 +152,21 @@ def slick_areas(table) -> DataFrame:
     return areas(rows, "fold", "confidence", "y").select("fold", F.round("auc", 5).alias("auc"))
 
 
+#: Side of a test tile and pixels that make a detection in it.
+TEST_TILE, DETECTED = 16, 40
+
+
+@query("segmentation_report", "sar", steps=blocks)
+def segmentation_report(d):
+    """Of each segmenter its pixel IoU, detection recall and false alarms over test tiles; tiles that are empty on both sides tell nothing."""
+    tile = lambda k: d.idiv(f"m.{k}", str(TEST_TILE))
+    return f"""select model, count(*) as tiles, round(1e0 * sum(shared) / nullif(sum(pred + truth - shared), 0), 5) as iou,
+  round(1e0 * count_if(truth >= {DETECTED} and pred >= {DETECTED}) / nullif(count_if(truth >= {DETECTED}), 0), 5) as recall, count_if(truth < {DETECTED} and pred >= {DETECTED}) as false_alarms from (
+  select model, {tile('r')} as ti, {tile('c')} as tj, count_if(p) as pred, count_if(t) as truth, count_if(p and t) as shared from (
+    select a.model, s.r, s.c, power(s.r - 30e0, 2) + power(s.c - 34e0, 2) < 100e0 as t, case a.model when 'blocks' then k.r is not null else s.v < -22e0 end as p
+    from sar s cross join (select 'blocks' as model union all select 'threshold') a left join dark k on k.r = s.r and k.c = s.c) m group by model, {tile('r')}, {tile('c')}) n where pred > 0 or truth > 0 group by model"""
+
+
 @query("auc_rank_sum", "hist_slicks", frame=slick_areas)
 def auc_rank_sum(d):
     return """select fold, round((sum(case when y = 1 then rk else 0e0 end) - p * (p + 1e0) / 2e0) / nullif(p * (n - p), 0e0), 5) as auc from (
@@ -159,4 +174,4 @@ def auc_rank_sum(d):
     select *, row_number() over (partition by fold order by s) as rn from (select id, cast(id % 5 as int) as fold, confidence as s, case when (id * 31 % 100) / 1e2 + confidence > 1e0 then 1 else 0 end as y from hist_slicks) b) r) q group by fold, p, n"""
 
 
-QUERIES = (lee_filter, block_stats, dark_pixels, closing_3x3, component_sizes, db_convert, glcm_homogeneity, tile_plan, lut_interpolate, oil_prior_score, pixel_area, iou_metrics, auc_rank_sum)
+QUERIES = (lee_filter, block_stats, dark_pixels, closing_3x3, component_sizes, db_convert, glcm_homogeneity, tile_plan, lut_interpolate, oil_prior_score, pixel_area, iou_metrics, segmentation_report, auc_rank_sum)
