@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import asof, calibrate, clip, raster
+from tidewake.operators import asof, calibrate, clip, dedup, raster
 
 
 @pytest.mark.parametrize("span", [10.0, 1e9])
@@ -81,3 +81,18 @@ def test_a_window_takes_the_live_field_the_dates_or_constants(spark):
         (3, 0): ("constant", 0, 5.0), (3, 1): ("constant", 0, 5.0),
         (4, 0): ("dates", 2, 3.0), (4, 1): ("dates", 0, 0.0),
     }
+
+
+def test_detections_of_a_batch_take_those_that_come_after(spark):
+    rng = random.Random(4)
+    place = lambda: (round(24 + rng.randint(0, 60) / 1000, 3), round(59 + rng.randint(0, 40) / 1000, 3))
+    slicks = [(i, f"s{i % 2}", *place()) for i in range(6)]
+    batch = [(100 + i, f"s{i % 3}", *place()) for i in range(150)]
+    got = {r.n: (r.target, r.first, r.inserted) for r in dedup.absorbed(spark.createDataFrame(slicks, "id long, scene string, lon double, lat double"), spark.createDataFrame(batch, "n long, scene string, lon double, lat double").repartition(3)).collect()}
+    there, want = [(s, lon, lat, i, None) for i, s, lon, lat in slicks], {}
+    for n, scene, lon, lat in batch:
+        hit = next((t for t in there if t[0] == scene and lon - 0.01 <= t[1] <= lon + 0.01 and lat - 0.01 <= t[2] <= lat + 0.01), None)
+        want[n] = (hit[3], hit[4], False) if hit else (None, None, True)
+        if not hit:
+            there.append((scene, lon, lat, None, n))
+    assert got == want and any(w[1] for w in want.values())
