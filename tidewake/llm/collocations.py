@@ -38,6 +38,8 @@ from .common import Scratch, materialise, slices, text_of
 DEPTH, BYTES_A_CELL, NARROWEST, WIDEST = 2, 32, 1 << 16, 1 << 25
 #: Cells of a block of counters, bytes of text that a task works on at once, and those that it sketches in all.
 BLOCK, PORTION, TASK_BYTES = 1 << 16, 8 << 20, 1 << 30
+#: Parts of a language that are ranked apart first.
+PARTS = 64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SPLIT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _SEPARATOR = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -257,8 +259,12 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, percent: int = 80,
         raise ValueError("longest must be 2 to 8 and least 1 or more")
     with Scratch(docs.sparkSession) as scratch:
         counts = counted(docs, scratch, least, longest, lang_col, text_col, width)
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-        first = unexplained(scored(counts, longest), counts, percent).withColumn("rank", place).filter(F.col("rank") <= top)
+        left = unexplained(scored(counts, longest), counts, percent).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+        # The first of each part of a language, then of those the first: no task takes more than PARTS * top rows of one.
+        for keys in (["lang", "part"], ["lang"]):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+            left = left.withColumn("rank", place).filter(F.col("rank") <= top)
+        first = left
         n = counts.filter("order = 0").select("lang", "n")
         out = first.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
         return materialise(out, "collocations")
