@@ -1,5 +1,7 @@
 """The risk forests are those of the survey (X8 to X10), end, and their areas are those of ranks."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,24 @@ def test_patches_are_cross_validated(spark):
     assert len(got) == 5 and sum(r.n_test for r in got) == 60 and all(r.f1 == 1.0 for r in got)
     scored = models.score_patches(labelled, models.train_patches(labelled, inputs, 5), "0.0")
     assert scored.columns == [*labelled.columns, "p"] and scored.filter("(p > 0.5) <> (label = 1)").count() == 0
+
+
+def test_a_published_forest_is_served(spark, rows, monkeypatch, tmp_path):
+    for name in ("CV_TREES", "GRID_TREES"):
+        monkeypatch.setattr(models, name, 6)
+    where = str(tmp_path / "risk")
+    assert models.risk_status(spark, where) == {"trained": False}
+    with pytest.raises(FileNotFoundError):
+        models.risk_cells(spark, where)
+    with pytest.raises(ValueError):
+        models.publish_risk(rows.withColumn("target", F.lit(0)), where)
+    facts = models.publish_risk(rows, where, history="trial")
+    status = models.risk_status(spark, where)
+    assert status == {"trained": True, **facts} and status["n_cells"] == rows.count() and status["history"] == "trial" and len(status["auc_folds"]) == 5
+    assert sum(status["importances"].values()) == pytest.approx(1, abs=1e-3)
+    cells = models.risk_cells(spark, where, min_p=0.3, limit=7).collect()
+    assert len(cells) == 7 and [c.p for c in cells] == sorted((c.p for c in cells), reverse=True) and cells[-1].p >= 0.3
+    outline = json.loads(cells[0].feature)
+    (ring,) = outline["geometry"]["coordinates"]
+    assert outline["properties"] == {"p": cells[0].p} and ring[0] == ring[4] and ring[1][0] - ring[0][0] == pytest.approx(0.05, abs=1e-3)
+    assert models.risk_cells(spark, where, limit=10**9).count() == rows.count()

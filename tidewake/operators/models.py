@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
@@ -11,12 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from tidewake.operators.grid import risk_features, target_grid
+from tidewake.operators.serving import clamped
 from tidewake.plans.scratch import shared_dir, written
+from tidewake.sources.fixtures import CELL
 
 INPUTS = ["shore_km", "density", "lane_km", "terminal_km", "lat", "lon"]
 FOLDS, SEED = 5, 7
 #: Trees of a fold's forest and of the served one.
 CV_TREES, GRID_TREES = 300, 400
+#: Cells with slicks that a served forest needs.
+LEAST_POSITIVE = 30
 #: Trees that are grown in one go; a forest's others grow at the same time, with other seeds.
 TREES_EACH = 50
 T = TypeVar("T")
@@ -85,11 +91,11 @@ def scored(rows: DataFrame, grown: list) -> DataFrame:
     return out.select(*rows.columns, mean.alias("p"))
 
 
-def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area under the curve of each fold, by a model of the other folds; null where a side lacks a class."""
+def fold_areas(rows: DataFrame) -> list[tuple[int, int, int, float | None]]:
+    """(fold, rows, positives, area under the curve) by models of the other folds; no area where a side lacks a class."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    rows, score = training(spark, sf_dir), BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="p")
+    spark, score = rows.sparkSession, BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="p")
     checkpointed(spark)
     held = {r.fold: (r.n, r.positive) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("target").alias("positive")).collect()}
     n, positive = (sum(h[i] for h in held.values()) for i in (0, 1))
@@ -97,15 +103,25 @@ def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     todo = [(k, i, trees) for k in whole for i, trees in enumerate(parts(CV_TREES))]
     grown = side_by_side(spark, len(todo), lambda j: forest(todo[j][2], seed=SEED + todo[j][1]).fit(rows.filter(F.col("fold") != todo[j][0])))
     areas = {k: float(score.evaluate(scored(rows.filter(F.col("fold") == k), [g for g, t in zip(grown, todo, strict=True) if t[0] == k]))) for k in whole}
-    return spark.createDataFrame([(k, *held.get(k, (0, 0)), areas.get(k)) for k in range(FOLDS)], "fold int, n_test long, positive long, auc double")
+    return [(k, *held.get(k, (0, 0)), areas.get(k)) for k in range(FOLDS)]
+
+
+def risk_cv_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the curve of each fold, by a model of the other folds; null where a side lacks a class."""
+    return spark.createDataFrame(fold_areas(training(spark, sf_dir)), "fold int, n_test long, positive long, auc double")
+
+
+def grown_on(rows: DataFrame) -> list:
+    """The served forest, in parts."""
+    checkpointed(rows.sparkSession)
+    trees = parts(GRID_TREES)
+    return side_by_side(rows.sparkSession, len(trees), lambda i: forest(trees[i], seed=SEED + i).fit(rows))
 
 
 def served(spark: SparkSession, sf_dir: str) -> tuple[list, DataFrame]:
-    """The served forest, in parts, and the rows that it was fitted on."""
+    """The served forest and the rows that it was fitted on."""
     rows = training(spark, sf_dir)
-    checkpointed(spark)
-    trees = parts(GRID_TREES)
-    return side_by_side(spark, len(trees), lambda i: forest(trees[i], seed=SEED + i).fit(rows)), rows
+    return grown_on(rows), rows
 
 
 def risk_grid_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +143,51 @@ def risk_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, *f) for i, f in enumerate(ranked, 1)], "rank int, feature string, importance double")
 
 
+def publish_risk(rows: DataFrame, path: str, history: str = "") -> dict[str, object]:
+    """Fits the served forest on training rows and writes it, the cells' probabilities and the facts on it, in that order.
+
+    A folder is of one training; what serves it looks at the facts first, so it
+    sees nothing of one that failed.  Refuses fewer than ``LEAST_POSITIVE`` cells with slicks.
+    """
+    spark = rows.sparkSession
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0))).first()
+    if positive < LEAST_POSITIVE:
+        raise ValueError(f"{positive} cells with slicks are too few")
+    areas = fold_areas(rows)
+    grown = grown_on(rows)
+    for i, part in enumerate(grown):
+        part.write().overwrite().save(f"{path}/forest/{i}")
+    corner = lambda c, sign: F.round(F.col(c) + sign * CELL / 2, 4)
+    cells = scored(rows, grown).select(corner("lon", -1).alias("lon0"), corner("lat", -1).alias("lat0"), corner("lon", 1).alias("lon1"), corner("lat", 1).alias("lat1"), F.round("p", 4).alias("p"))
+    cells.write.mode("overwrite").parquet(f"{path}/cells")
+    known = [a for *_, a in areas if a is not None]
+    facts = {"features": INPUTS, "importances": dict(importances(grown, INPUTS)), "auc_mean": sum(known) / len(known) if known else None, "auc_folds": [a for *_, a in areas], "trained_at": time.time(), "n_cells": n, "n_positive": positive, "history": history, "cell_deg": CELL}
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+    return facts
+
+
+def risk_status(spark: SparkSession, path: str) -> dict[str, object]:
+    """``trained`` and the facts on the published forest."""
+    try:
+        (row,) = spark.read.text(f"{path}/facts").collect()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return {"trained": False}
+        raise
+    return {"trained": True, **json.loads(row.value)}
+
+
+def risk_cells(spark: SparkSession, path: str, min_p: float = 0.0, limit: int = 4000) -> DataFrame:
+    """The published cells of ``min_p`` or more as GeoJSON features, the likeliest first; ``limit`` from 1 to 20,000."""
+    if not risk_status(spark, path)["trained"]:
+        raise FileNotFoundError(f"no risk model was published at {path}")
+    at = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(at("lon0", "lat0"), at("lon1", "lat0"), at("lon1", "lat1"), at("lon0", "lat1"), at("lon0", "lat0"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct("p").alias("properties")))
+    rows = spark.read.parquet(f"{path}/cells").filter(F.col("p") >= min_p).orderBy(F.desc("p"), "lat0", "lon0").limit(clamped(limit, 20_000))
+    return rows.select("p", feature.alias("feature"))
+
+
 def _probability(rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
