@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewake.operators.shore import CELL_KM, distance_transform, shore_grid, valid_land
 from tidewake.plans.dialect import SPARK, haversine
 from tidewake.plans.query import query
+from tidewake.sources.fixtures import with_tables
 
 IN_GRID = "ix between 0 and 188 and iy between 0 and 47"
 
@@ -19,9 +20,13 @@ def density(d):
     ]
 
 
-@query("grid_cells", "grid")
+#: Fixes of each cell that has any.
+OF_CELL = f"(select ix, iy, count(*) as n from ais_cells where {IN_GRID} group by ix, iy)"
+
+
+@query("grid_cells", "grid", "ais_cells")
 def grid_cells(d):
-    return "select cell, ix, iy, round(lon, 6) as lon, round(lat, 6) as lat from grid"
+    return f"select g.cell, g.ix, g.iy, round(g.lon, 6) as lon, round(g.lat, 6) as lat, coalesce(n.n, 0) as fixes from grid g left join {OF_CELL} n on n.ix = g.ix and n.iy = g.iy"
 
 
 @query("ais_density", "grid", "ais_cells", steps=density)
@@ -45,9 +50,13 @@ def lane_distance(d):
     return f"select g.cell, round({CELL_KM}e0 * min(sqrt(power(g.ix - l.ix, 2) + power(g.iy - l.iy, 2))), 4) as lane_km from grid g cross join lane_cells l group by g.cell"
 
 
-@query("terminal_distance", "grid", "terminals")
+#: Of each cell the distance to the nearest of the terminals.
+TO_TERMINAL = f"select cell, round(min({haversine('lon', 'lat', 'tlon', 'tlat')}), 4) as terminal_km from grid cross join terminals group by cell"
+
+
+@query("terminal_distance", "grid", "terminals", "ais_cells")
 def terminal_distance(d):
-    return f"select cell, round(min({haversine('lon', 'lat', 'tlon', 'tlat')}), 4) as terminal_km from grid cross join terminals group by cell"
+    return f"select g.cell, t.terminal_km, coalesce(n.n, 0) as fixes from grid g join ({TO_TERMINAL}) t on t.cell = g.cell left join {OF_CELL} n on n.ix = g.ix and n.iy = g.iy"
 
 
 @query("target_grid", "grid", "hist_slicks")
@@ -62,7 +71,7 @@ def features(table):
     grid = table("grid")
     spark = grid.sparkSession
     shore = shore_grid(table).filter("cells > 0").select("cell", F.round(F.col("cells") * CELL_KM, 4).alias("shore_km"))
-    dense, far = spark.sql(ais_density.text(SPARK)), spark.sql(terminal_distance.text(SPARK))
+    dense, far = spark.sql(ais_density.text(SPARK)), spark.sql(with_tables(SPARK, ("grid", "terminals")) + TO_TERMINAL)
     lane = lanes_away(table).select("cell", F.round(F.col("cells") * CELL_KM, 4).alias("lane_km"))
     rows = grid.join(shore, "cell").join(dense, "cell").join(lane, "cell").join(far, "cell")
     return rows.select("cell", "shore_km", "density", "lane_km", "terminal_km", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
@@ -73,7 +82,7 @@ def risk_features(d):
     return f"""select g.cell, round(s.cells * {CELL_KM}e0, 4) as shore_km, round(ln(1e0 + coalesce(n.n, 0)), 5) as density, l.lane_km, t.terminal_km, round(g.lat, 6) as lat, round(g.lon, 6) as lon
   from grid g join shore s on s.cell = g.cell left join dense n on g.ix = n.ix and g.iy = n.iy
   left join (select a.cell, round({CELL_KM}e0 * min(sqrt(power(a.ix - b.ix, 2) + power(a.iy - b.iy, 2))), 4) as lane_km from grid a cross join lane_cells b group by a.cell) l on l.cell = g.cell
-  left join (select cell, round(min({haversine('lon', 'lat', 'tlon', 'tlat')}), 4) as terminal_km from grid cross join terminals group by cell) t on t.cell = g.cell where s.cells > 0"""
+  left join ({TO_TERMINAL}) t on t.cell = g.cell where s.cells > 0"""
 
 
 @query("ring_centroid_area", "ring_edges")

@@ -102,10 +102,12 @@ def decimated_paths(d):
   where case when n <= {PATHS} then true else {d.idiv(f'({k} * (n - 1))', str(PATHS - 1))} = i end"""
 
 
-@query("largest_polygon", "slicks")
+@query("largest_polygon", "ring_edges", "slicks")
 def largest_polygon(d):
+    """Of a patch's outlines the one of the greatest area, by the outlines' own areas."""
+    area = "abs(sum((e.x1 - s.centroid_lon) * (e.y2 - s.centroid_lat) - (e.x2 - s.centroid_lon) * (e.y1 - s.centroid_lat))) / 2e0 * 111.320e0 * 111.320e0 * cos(radians(max(s.centroid_lat)))"
     return f"""select patch, k, area from (select patch, k, area, row_number() over (partition by patch order by area desc, k) as rn from (
-  select cast(id % 40 as bigint) as patch, id as k, round(area_km2 * (1 + id % 3), 4) as area from slicks) a) r where rn = 1"""
+  select cast(e.id % 40 as bigint) as patch, e.id as k, round({area}, 4) as area from ring_edges e join slicks s on s.id = e.id group by e.id) a) r where rn = 1"""
 
 
 @query("footprint_in_box", "ring")

@@ -196,7 +196,9 @@ def labelled(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     side = lambda k, by: local.select("scene", (F.col("r") + (by if k == "r" else 0)).alias("r"), (F.col("c") + (by if k == "c" else 0)).alias("c"), F.col("local").alias("u"))
     seams = side("r", 1).filter(F.col("r") % block == 0).unionByName(side("c", 1).filter(F.col("c") % block == 0))
     # Scenes keep apart: a node is a scene's number of a label.
-    touch = seams.join(local, ["scene", "r", "c"]).filter("u <> local").select("scene", "u", F.col("local").alias("v")).distinct()
+    # The other side of a seam is a tile's first row or column.
+    first = local.filter((F.col("r") % block == 0) | (F.col("c") % block == 0))
+    touch = seams.join(first, ["scene", "r", "c"]).filter("u <> local").select("scene", "u", F.col("local").alias("v")).distinct()
     ids = touch.select("scene", F.col("u").alias("local")).unionByName(touch.select("scene", F.col("v").alias("local"))).distinct()
     named = written(ids.withColumn("node", F.xxhash64("scene", "local")), "nodes")
     joined = touch.join(named.withColumnsRenamed({"local": "u", "node": "nu"}), ["scene", "u"]).join(named.withColumnsRenamed({"local": "v", "node": "nv"}), ["scene", "v"])
