@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.sources import images
 from tidewake.sources.fixtures import AOI
 
 POSITIONS = "features array<struct<geometry: struct<coordinates: array<double>>, properties: struct<mmsi: long, timestampExternal: long, sog: double, cog: double, navStat: int>>>"
@@ -136,19 +137,20 @@ def historical_slicks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labelled_patches(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, label, h, w, db`` of .npy crops under ``oil`` (1) and ``lookalike`` (0); digital numbers become decibels."""
+    """``path, label, h, w, db`` of .npy, .png and .tif crops under ``oil`` (1) and ``lookalike`` (0); digital numbers become decibels."""
+    how = {".npy": lambda b: np.load(io.BytesIO(b), allow_pickle=False), ".png": images.png, ".tif": images.tiff, "tiff": images.tiff}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
-                img = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float32)
+                img = how[path[-4:].lower()](content).astype(np.float32)
                 if img.size and img.max() > 0 and img.min() >= 0:
                     img = 10 * np.log10(np.maximum(img, 1e-3))
                 out.append((path, int("/oil/" in path), *img.shape[-2:], img.ravel()))
             yield pd.DataFrame(out, columns=["path", "label", "h", "w", "db"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{npy,png,tif,tiff,NPY,PNG,TIF,TIFF}").load(folder)
     return files.select("path", "content").mapInPandas(run, "path string, label int, h int, w int, db array<float>")
 
 
