@@ -88,7 +88,8 @@ def live_changes(positions: DataFrame, stale_s: int = STALE_S) -> DataFrame:
 
     A vessel goes when its latest fix is ``stale_s`` behind the latest of all
     fixes; rows that are later than that are dropped, as they would go at once.
-    So the snapshot doesn't depend on how the rows are cut into batches.
+    So the snapshot doesn't depend on how the rows are cut into batches.  Sets
+    the session's state store to the one that keeps timers, for new streams.
     """
     spark = positions.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
