@@ -78,9 +78,19 @@ def event_log_recent(d):
     return "select id, kind, severity, message from event_log order by id desc limit 100"
 
 
+#: The severities of each filter of the log.
+SEVERITIES = {"alert": ("alert", "spill"), "warning": ("warning", "gap"), "info": ("info", "action")}
+
+
+def severity_group(severity: str) -> str:
+    """The filter that shows a severity; none where no filter but all does."""
+    return "case " + " ".join(f"when {severity} in ({', '.join(map(repr, s))}) then '{name}'" for name, s in SEVERITIES.items()) + " end"
+
+
 @query("event_filter_search", "event_log")
 def event_filter_search(d):
-    return "select id, severity, message from event_log where severity in ('warning', 'gap') and (lower(message) like '%vessel 1%' or lower(kind) like '%vessel 1%')"
+    """Events that hold a text, whatever its case and signs, with the filter that shows them."""
+    return f"select id, severity, message, {severity_group('severity')} as shown_by from event_log where instr(lower(message), 'vessel 1') > 0 or instr(lower(kind), 'vessel 1') > 0"
 
 
 @query("event_severity_counts", "event_log")
