@@ -35,6 +35,10 @@ def test_swaps_are_whole(spark, tmp_path, monkeypatch):
     # A slick that has no suspects any more.
     table.swap(rows().limit(0), replaced=spark.createDataFrame([(2,)], "slick_id long"))
     assert seen(table) == [(1, 12, 9.0), (3, 5, 1.0)]
+    gone = Analyses(spark, str(tmp_path / "b"))
+    gone.swap(rows((1, 10, 5.0)))
+    gone.swap(rows().limit(0), replaced=spark.createDataFrame([(1,)], "slick_id long"))
+    assert seen(gone) == [] and gone.read().columns == ["slick_id", "mmsi", "score"]
     assert len(table.clean()) > 0 and seen(table) == [(1, 12, 9.0), (3, 5, 1.0)]
     assert Analyses(spark, str(tmp_path / "a")).current() == table.current()
 

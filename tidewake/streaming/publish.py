@@ -63,6 +63,8 @@ class Analyses:
             raise FileNotFoundError(f"nothing was published at {self.path}")
         manifest = self._manifest(version)
         folders = [r.folder for r in manifest.select("folder").distinct().collect()]  # at most ``most``
+        if not folders:
+            return self.spark.read.parquet(f"{self.path}/data").drop("folder").limit(0)
         rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/folder={f}" for f in folders))
         kept = rows.withColumn("folder", F.col("folder").cast("string")).join(manifest, [self.key, "folder"], "left_semi")
         return kept.drop("folder")
