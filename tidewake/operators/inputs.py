@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidewake.plans.dialect import SPARK
 from tidewake.plans.query import query
 from tidewake.sources.fixtures import AOI
 
@@ -93,7 +96,20 @@ def field_coverage(d):
     return "select s.id, s.detected_at - 3600e0 * (id % 20) >= m.first_ts and s.detected_at <= m.last_ts as covered from slicks s cross join (select min(ts) as first_ts, max(ts) as last_ts from met) m"
 
 
-@query("decimated_paths", "particles")
+#: Particles of a task.
+TASK = 500_000
+
+
+def dealt_paths(table):
+    """Runs are dealt to tasks by the number of particles, so a task's sort doesn't grow with them."""
+    rows = table("particles")
+    spark, view = rows.sparkSession, f"particles_{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK)
+    rows.repartition(n, "slick_id").createOrReplaceTempView(view)
+    return spark.sql(decimated_paths.body(SPARK).replace("particles", view))
+
+
+@query("decimated_paths", "particles", frame=dealt_paths)
 def decimated_paths(d):
     """At most ``PATHS`` particles of a run, evenly spaced, the first and the last among them: those at floor(k (n - 1) / (PATHS - 1))."""
     k = d.idiv(f"(i * {PATHS - 1} + n - 2)", "(n - 1)")
