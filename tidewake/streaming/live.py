@@ -19,6 +19,8 @@ from tidewake.sources.readers import AHEAD_S
 
 #: Seconds after which a vessel that isn't in a batch leaves the snapshot.
 STALE_S = 1800
+#: Seconds that event times are moved ahead in a stream: its watermark starts at the epoch, and what isn't after that would go as too late.
+CLOCK_S = 100 * 31_557_600
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -28,8 +30,11 @@ def clamped(positions: DataFrame, arrival: str = "arrived") -> DataFrame:
 
 
 def deduplicated(positions: DataFrame, days: int = 7) -> DataFrame:
-    """The first row of each (mmsi, ts); rows later than the horizon are dropped, as retention drops them."""
-    at = positions.filter("mmsi is not null and ts is not null").withColumn("at", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+    """The first row of each (mmsi, ts); rows later than the horizon are dropped, as retention drops them.
+
+    Times may be zero or negative, down to ``CLOCK_S`` seconds before the epoch.
+    """
+    at = positions.filter("mmsi is not null and ts is not null").withColumn("at", F.timestamp_micros((F.col("ts") * 1e6).cast("long") + CLOCK_S * 1_000_000))
     # The time of the watermark is a key, so that keys beyond it leave the state.
     return at.withWatermark("at", f"{days} days").dropDuplicates(["mmsi", "at"]).drop("at")
 
