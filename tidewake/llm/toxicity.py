@@ -11,7 +11,7 @@ It is fitted on marginals that come from fields fitted on other documents.
 
 Fitting uses a bounded sample of labelled rows (``SAMPLE`` of each label, chosen
 by a hash of the id; labelled texts of more than ``SAMPLE_CHARS`` bytes are left
-out of it, whole, so that no text is cut).  Scoring reads
+out of it, whole, so that no text is cut), in one task.  Scoring reads
 every whole text, in NumPy over all words of a batch: a step of the passes
 covers one word of each document.
 
@@ -24,6 +24,7 @@ stay; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -285,18 +286,37 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(fit_field(w, n, token_labels(w, y)), fit_scorer(x, y.astype(float)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``sample`` texts of each label reach the driver; ``keep`` is on labels.doc_id."""
+def sampled(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, toxic, text`` of at most ``sample`` documents of each label; ``keep`` is on labels.doc_id."""
     spark = docs.sparkSession
     known = labels.filter(keep & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     picked = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     ids = spark.createDataFrame(picked, "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs, "text")).filter(F.octet_length("text") <= SAMPLE_CHARS)
     # One text of an id, however often it is repeated.
-    got = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    # By label, then hash: the folds get like shares.
-    got.sort(key=lambda r: (r["toxic"], r["doc_id"] * 2654435761 % 2**32, bytes(r["text"])))
-    return [bytes(r["text"]).decode("utf-8", "replace") for r in got], [r["toxic"] for r in got]
+    return rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def in_order(rows: list[tuple[int, int, bytes]]) -> tuple[list[str], list[int]]:
+    """Texts and labels by label, then hash of the id: the folds get like shares."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0] * 2654435761 % 2**32, bytes(r[2])))
+    return [bytes(r[2]).decode("utf-8", "replace") for r in rows], [r[1] for r in rows]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
+    """The rows of ``sampled``, which reach the driver, in order."""
+    return in_order([tuple(r) for r in sampled(docs, labels, keep, sample).collect()])
+
+
+def fit_in_task(rows: DataFrame) -> Model:
+    """``fit`` of a bounded table (``sampled``) in one task, so that the driver holds neither texts nor features, but the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*in_order(found)))], pa.binary())], names=["model"])
+
+    made = rows.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else Model(None, None)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,7 +341,7 @@ def remainder(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_rows(docs, labels, remainder(F.col("doc_id")) != 1))
+    return fit_in_task(sampled(docs, labels, remainder(F.col("doc_id")) != 1))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model: Model | None = None) -> DataFrame:
