@@ -37,7 +37,9 @@ from .common import Scratch, materialise, slices, text_of
 
 DEPTH, BYTES_A_CELL, NARROWEST, WIDEST = 2, 32, 1 << 16, 1 << 25
 #: Cells of a block of counters, bytes of text that a task works on at once, and those that it sketches in all.
-BLOCK, PORTION, TASK_BYTES = 1 << 16, 8 << 20, 1 << 30
+BLOCK, PORTION, TASK_BYTES = 1 << 16, 4 << 20, 1 << 30
+#: Words whose hashes a task keeps.
+MOST_HASHES = 1 << 18
 #: Parts of a language that are ranked apart first.
 PARTS = 64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -83,7 +85,7 @@ class Hashes(dict[bytes, int]):
     """A hash a word, kept while few enough."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) >= MOST_HASHES:
             self.clear()
         h = self[word] = _BREAK if word == b"\n" else max(2, xxhash.xxh64_intdigest(word))
         return h
@@ -121,6 +123,18 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(docs, text_col))
 
 
+def count_into(have: np.ndarray, words: np.ndarray, longest: int, least: int) -> None:
+    """Adds the n-grams of ``words`` to a task's counters; a length at a time, since saturating sums don't depend on how they are cut."""
+    for h, ok in grams(words, longest):
+        found = h[ok]
+        for row in range(DEPTH):
+            at = cells(found, row, have.shape[1])
+            at.sort()
+            first = np.flatnonzero(np.diff(at, prepend=at[:1] - np.uint32(1))) if len(at) else at
+            n = np.diff(first, append=len(at))
+            have[row, at[first]] = np.minimum(have[row, at[first]].astype(np.int64) + n, least)
+
+
 def sketches(texts: DataFrame, width: int, longest: int, least: int) -> DataFrame:
     """Each task's counters by block: ``block`` (rows one after the other), ``counts``."""
     kind = np.uint8 if least < 256 else np.uint32
@@ -129,12 +143,7 @@ def sketches(texts: DataFrame, width: int, longest: int, least: int) -> DataFram
         known, have = Hashes(), np.zeros((DEPTH, width), kind)
         for lang, text in portions(batches):
             words = hashed(tokens(text), lang, known)
-            found = np.concatenate([h[ok] for h, ok in grams(words, longest)])
-            for row in range(DEPTH):
-                at = np.sort(cells(found, row, width))
-                first = np.flatnonzero(np.diff(at, prepend=at[:1] - np.uint32(1))) if len(at) else at
-                n = np.diff(first, append=len(at))
-                have[row, at[first]] = np.minimum(have[row, at[first]].astype(np.int64) + n, least)
+            count_into(have, words, longest, least)
         flat = have.reshape(-1, BLOCK)
         for i in np.flatnonzero(flat.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([flat[i].tobytes()], pa.binary())], names=["block", "counts"])
