@@ -114,3 +114,21 @@ def test_packed_numbers_return():
         assert quality.unpacked(quality.packed(x)).tolist() == x.tolist()
         up = np.sort(x)
         assert quality.unpacked(quality.packed(up, True), True).tolist() == up.tolist()
+
+
+def test_words_are_hashed_from_the_bytes_of_all_texts_at_once():
+    rng = random.Random(3)
+    texts = [b"", b" ", b"oil", b"\x00 a\x0bb\x1c\xc2\x85 \xff", "俵   oil\r\n".encode(), b"x" * 5000 + b" ba ab", b"ab ab ab ab ab"]
+    texts += [bytes(rng.choice(b"ab \t") for _ in range(rng.randrange(40))) for _ in range(200)]
+    hashes, sizes = quality.word_hashes(texts)
+    words = [t.split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    # Each by itself, in whole numbers.
+    of = lambda w: sum(int(quality._BYTES[b]) * pow(int(quality._STEP), i + 1, 1 << 64) for i, b in enumerate(w)) % (1 << 64)
+    assert hashes.view(np.uint64).tolist() == [of(w) for ws in words for w in ws]
+    assert len(set(hashes.tolist())) == len({w for ws in words for w in ws})
+    repeats = quality.repeat_words(hashes, sizes)
+    for ws, got in zip(words, repeats.tolist(), strict=True):
+        windows = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+        assert got == len({i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)})
+    assert quality.word_hashes([])[0].tolist() == quality.word_hashes([b" "])[0].tolist() == []

@@ -41,7 +41,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
-from itertools import chain
 from math import sqrt
 from typing import NamedTuple
 
@@ -64,9 +63,9 @@ BROADCAST_ROWS = 100_000
 #: Bytes of text handled at once, and n-grams a task holds before it merges them.
 SLICE, MERGE_AT = 1 << 20, 2_000_000
 #: The word model: the share of all words that makes a symbol, ids of the others and of a text's start; words of a chunk,
-#: pairs of a bucket, words' hashes that a task remembers.
+#: pairs of a bucket.
 VOCABULARY, ID_BITS, RARE, START = 1 << 21, 22, 0, 1
-CHUNK_WORDS, BUCKET_PAIRS, HASHES = 1_000_000, 2_000_000, 300_000
+CHUNK_WORDS, BUCKET_PAIRS = 1_000_000, 2_000_000
 ALLOW = 40.0
 
 
@@ -94,6 +93,9 @@ MEASURES = (Measure("word_chars", "", 5.0, 8_000, 5e-4, 1e-2), Measure("n_words"
 #: The characters that count as symbols.
 SYMBOL_CHARS = b"#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A word's hash is the sum of its bytes' numbers, each times a power of the (odd) step; words part at white space.
+_STEP, _BYTES = np.uint64(0xD1342543DE82EF93), np.frombuffer(b"".join(blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), "<u8")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def joined(text: bytes) -> bytes:
@@ -130,14 +132,13 @@ def counted(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
-        hashes = WordHashes()
 
         def out(kind: int, part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *map(pa.array, part)], names=["kind", "key", "n"])
 
         for b in slices(batches, "text", SLICE):
             texts = b.column(0).to_pylist()
-            for kind, keys in enumerate((grams([joined(t) for t in texts])[0], hashes.sequence([t.split() for t in texts]))):
+            for kind, keys in enumerate((grams([joined(t) for t in texts])[0], word_hashes(texts)[0])):
                 held[kind].append(np.unique(keys, return_counts=True))
                 if sum(len(k) for k, _ in held[kind]) > MERGE_AT:
                     held[kind][:] = [merged(held[kind])]
@@ -237,13 +238,24 @@ def shards(table: DataFrame, shard_rows: int = SHARD_ROWS) -> Iterator[tuple[int
         yield n, i, Shard(*(got[c].to_numpy() for c in ("kind", "key", "value")))
 
 
-def repeat_words(texts: list[list[bytes]]) -> np.ndarray:
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the texts' words, the same in every process, and each text's number of words."""
+    buffer = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    inside = ~_SPACE[buffer]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, length = edges[::2], edges[1::2] - edges[::2]
+    body, at = buffer[inside], np.cumsum(length) - length
+    power = np.cumprod(np.full(length.max(initial=0), _STEP))
+    hashes = np.add.reduceat(_BYTES[body] * power[np.arange(len(body)) - np.repeat(at, length)], at) if len(at) else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return hashes.view(np.int64), np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def repeat_words(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Words in 3-word windows that occur twice or more in their text; equality by 64-bit hashes."""
-    sizes = np.array([len(w) for w in texts], np.int64)
-    h = np.fromiter((hash(w) for ws in texts for w in ws), np.int64, int(sizes.sum())).view(np.uint64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    h, doc = hashes.view(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
     if len(h) < 3:
-        return np.zeros(len(texts), np.int64)
+        return np.zeros(len(sizes), np.int64)
     window = (h[:-2] * _MIX ^ h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[2:] * np.uint64(0x165667B19E3779F9) ^ doc[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     whole = doc[:-2] == doc[2:]
     order = np.sort(window[whole])
@@ -254,21 +266,7 @@ def repeat_words(texts: list[list[bytes]]) -> np.ndarray:
         found = np.flatnonzero(whole & (twice[at] == window))
         for j in range(3):
             covered[found + j] = True
-    return np.bincount(doc, covered, minlength=len(texts)).astype(np.int64)
-
-
-class WordHashes(dict):
-    """A word's hash, the same in every process."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return h
-
-    def sequence(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The hashes of the texts' words."""
-        if len(self) > HASHES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+    return np.bincount(doc, covered, minlength=len(sizes)).astype(np.int64)
 
 
 def vocabulary(words: DataFrame, size: int = VOCABULARY) -> np.ndarray:
@@ -429,11 +427,10 @@ def character_nll(texts: list[bytes], shard: Shard, n_shards: int = 1, which: in
     return n_chars, -np.bincount(pair & 0xFFFF, times * value, minlength=len(texts))
 
 
-def base_figures(texts: list[bytes], words: list[list[bytes]], n_chars: np.ndarray) -> list:
-    n_words = np.array([len(w) for w in words], np.int64)
+def base_figures(texts: list[bytes], hashes: np.ndarray, n_words: np.ndarray, n_chars: np.ndarray) -> list:
     lines = [[x for x in t.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")] for t in texts]
     symbols = [sum(t.count(SYMBOL_CHARS[i : i + 1]) for i in range(len(SYMBOL_CHARS))) for t in texts]
-    return [n_words, np.maximum(n_chars - np.maximum(n_words - 1, 0), 0), symbols, [len(x) - len(set(x)) for x in lines], repeat_words(words), n_chars]
+    return [n_words, np.maximum(n_chars - np.maximum(n_words - 1, 0), 0), symbols, [len(x) - len(set(x)) for x in lines], repeat_words(hashes, n_words), n_chars]
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +446,7 @@ def chunks(rows: DataFrame, part: tuple[int, int, Shard], known: np.ndarray) ->
     names = [f.split()[0] for f in FIGURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (shard, ids), hashes = sent.value, WordHashes()
+        shard, ids = sent.value
         docs, found, chunk = [], [], TaskContext.get().partitionId() << 33
 
         def out() -> pa.RecordBatch:
@@ -460,11 +457,11 @@ def chunks(rows: DataFrame, part: tuple[int, int, Shard], known: np.ndarray) ->
 
         for b in pieces(batches):
             texts = b.column("text").to_pylist()
-            words = [t.split() for t in texts]
+            hashes, n_words = word_hashes(texts)
             n_chars, nll = character_nll(texts, shard, n_shards, which)
-            cols = base_figures(texts, words, n_chars)
+            cols = base_figures(texts, hashes, n_words, n_chars)
             docs.append(pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:5]), *(pa.array(c, pa.int64()) for c in cols), pa.array(nll, pa.float64())], names=names))
-            found.append(np.nan_to_num(ids.find(hashes.sequence(words)), nan=RARE).astype(np.int64))
+            found.append(np.nan_to_num(ids.find(hashes), nan=RARE).astype(np.int64))
             if sum(map(len, found)) >= CHUNK_WORDS or sum(d.num_rows for d in docs) >= CHUNK_WORDS:
                 yield out()
                 docs, found, chunk = [], [], chunk + 1
