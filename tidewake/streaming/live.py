@@ -1,7 +1,7 @@
 """Streams with state and sinks: the live snapshot with eviction, fan-out, single flight.
 
-The live snapshot's state lies in the state store, a value and a timer a vessel
-(``live_changes``), and what a batch changes is what it writes.  ``Snapshot`` is
+The live snapshot's state lies in the state store, a value and a timer a bucket of
+vessels (``live_changes``), and what a batch changes is what it writes.  ``Snapshot`` is
 the plain form for small fleets: a whole table a batch.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,63 +44,82 @@ def deduplicated(positions: DataFrame, days: int = 7) -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIX = "ts double, tie long, lon double, lat double, sog double"
 CHANGE = f"mmsi long, {FIX}, gone boolean"
+HELD = pa.schema([("mmsi", pa.int64()), ("ts", pa.float64()), ("tie", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("sog", pa.float64())])
+#: Buckets of vessels: a call of Python and a few of the state store for each, not for each vessel, in a batch.
+BUCKETS = 512
 
 
-class LatestFix(StatefulProcessor):
-    """A vessel's latest fix, and a timer that lets it go when the watermark has passed it.
+class LatestFixes(StatefulProcessor):
+    """The latest fixes of a bucket's vessels, and a timer that lets the oldest go when the watermark has passed them.
 
     Of fixes at one time the greater ``tie`` is the later.  A fix that is no
     later than the one that is known changes nothing.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.fix = handle, handle.getValueState("fix", FIX)
+        self.handle, self.fixes = handle, handle.getValueState("fixes", "fixes binary")
+
+    def held(self) -> pd.DataFrame:
+        return pa.ipc.open_stream(self.fixes.get()[0]).read_pandas() if self.fixes.exists() else HELD.empty_table().to_pandas()
+
+    def hold(self, fixes: pd.DataFrame, old: pd.DataFrame, fired: bool = False) -> None:
+        """Fixes instead of the old ones; the timer stands at the first expiry.  Spark takes one away that fired."""
+        before, after = (expiry(x["ts"].min()) if len(x) else None for x in (old, fixes))
+        if before is not None and before != after and not fired:
+            self.handle.deleteTimer(before)
+        if after is not None and after != before:
+            self.handle.registerTimer(after)
+        if not len(fixes):
+            self.fixes.clear()
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, HELD) as w:
+            w.write_table(pa.Table.from_pandas(fixes, HELD, preserve_index=False))
+        self.fixes.update((sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        old = self.fix.get() if self.fix.exists() else None
-        best = old
+        old = self.held()
+        best = old.assign(known=True)
         for pdf in rows:
-            for fix in pdf[["ts", "tie", "lon", "lat", "sog"]].sort_values(["ts", "tie"]).tail(1).itertuples(index=False, name=None):
-                if best is None or fix[:2] > tuple(best)[:2]:
-                    best = fix
-        if best is old:
-            return
-        if old is not None:
-            self.handle.deleteTimer(expiry(old[0]))
-        self.fix.update(tuple(None if v != v else v for v in best))
-        self.handle.registerTimer(expiry(best[0]))
-        yield changes(key[0], best, False)
+            best = latest(pd.concat([pdf[HELD.names].assign(known=False), best]) if len(best) else pdf[HELD.names].assign(known=False))
+        if not best["known"].all():
+            self.hold(best[HELD.names], old)
+            yield best.loc[~best["known"], HELD.names].assign(gone=False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        last = self.fix.get()
-        self.fix.clear()
-        yield changes(key[0], last, True)
+        old = self.held()
+        gone = old["ts"].map(expiry) <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.hold(old[~gone], old, fired=True)
+        yield old[gone].assign(gone=True)
 
     def close(self) -> None:
         pass
 
 
+def latest(fixes: pd.DataFrame) -> pd.DataFrame:
+    """Each vessel's latest fix; of equal ones the one that is known."""
+    return fixes.sort_values(["mmsi", "ts", "tie", "known"], na_position="first").drop_duplicates("mmsi", keep="last")
+
+
 def expiry(ts: float) -> int:
     """The time of a fix in whole milliseconds, as the watermark has it."""
     return int(ts * 1000)
 
 
-def changes(mmsi: int, fix: tuple, gone: bool) -> pd.DataFrame:
-    return pd.DataFrame([(mmsi, *fix, gone)], columns=["mmsi", "ts", "tie", "lon", "lat", "sog", "gone"])
-
-
-def live_changes(positions: DataFrame, stale_s: int = STALE_S) -> DataFrame:
+def live_changes(positions: DataFrame, stale_s: int = STALE_S, buckets: int = BUCKETS) -> DataFrame:
     """What changes in the live snapshot: each vessel's new latest fix, and those that went.
 
     A vessel goes when its latest fix is ``stale_s`` behind the latest of all
     fixes; rows that are later than that are dropped, as they would go at once.
     So the snapshot doesn't depend on how the rows are cut into batches.  Sets
     the session's state store to the one that keeps timers, for new streams.
+    The state is kept by ``buckets`` of vessels, a number that a checkpoint fixes.
     """
     spark = positions.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     at = positions.filter("mmsi is not null and ts is not null").withColumn("at", F.timestamp_millis((F.col("ts") * 1000).cast("long"))).withWatermark("at", f"{stale_s} seconds")
-    return at.groupBy("mmsi").transformWithStateInPandas(LatestFix(), CHANGE, "Append", "EventTime")
+    bucket = at.withColumn("bucket", F.pmod(F.xxhash64("mmsi"), F.lit(buckets)))
+    return bucket.groupBy("bucket").transformWithStateInPandas(LatestFixes(), CHANGE, "Append", "EventTime")
 
 
 class ChangeLog:
