@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.plans.query import query
@@ -68,7 +68,14 @@ def suspects_left_join_vessels(d):
     return "select slick_id, s.mmsi, score, name from suspects s left join vessels v on v.mmsi = s.mmsi order by score desc, slick_id, s.mmsi limit 8"
 
 
-@query("latest_drift_run", "drift_runs")
+def latest_runs(table) -> DataFrame:
+    """Of each slick and direction the run with the greatest id; of runs that share it the first that a scan meets, whatever task's rows come first."""
+    newest = Window.partitionBy("slick_id", "direction").orderBy(F.desc("id"), "place")
+    placed = table("drift_runs").withColumn("place", F.monotonically_increasing_id())
+    return placed.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").select("slick_id", "direction", "id", "origin_sigma_km")
+
+
+@query("latest_drift_run", "drift_runs", frame=latest_runs)
 def latest_drift_run(d):
     return "select slick_id, direction, id, origin_sigma_km from (select *, row_number() over (partition by slick_id, direction order by id desc) as rn from drift_runs) r where rn = 1"
 
