@@ -1,17 +1,20 @@
 """Collocations: frequent phrases of a language, by count-min sketches and an exact second pass.
 
-Pass one: each task files every n-gram of one to ``longest`` words under a cell
-of each of ``DEPTH`` rows of counters, which saturate at the least count asked
-for; the tasks' rows are added block by block.  No sum is below an n-gram's
-count, so whatever is frequent has full cells in all rows.  Pass two goes over
-the texts again and adds up, exactly and by the words themselves, the n-grams
-whose own cells and whose parts' cells are full.  Then each candidate's cuts
-are scored by the exact counts, and phrases that a longer one explains go.
-
-The sketch's width follows the corpus (a cell for ``BYTES_A_CELL`` bytes of
-text, up to ``WIDEST``): 8 MB of bits at the most go to the tasks.  A corpus
-beyond that makes cells full that needn't be, which costs pass two rows and
-changes no result.
+Sketches: each task files n-grams under a cell of each of ``DEPTH`` rows of
+counters, which saturate at the least count asked for; the tasks' rows are
+added block by block.  No sum is below an n-gram's count, so whatever is
+frequent has full cells in all rows.  Words and pairs are filed first, then a
+length at a time, only n-grams whose two parts of a word less have full cells;
+so rare words, pairs and triples crowd no later sketch.  The last pass adds up,
+exactly and by the words themselves, the n-grams whose own cells and whose
+parts' cells are full.  Then each candidate's cuts are scored by the exact
+counts, and phrases that a longer one explains go.
+
+A sketch's width follows the corpus (a cell for ``BYTES_A_CELL`` bytes of text,
+up to ``WIDEST``): a bit a cell of each sketch goes to the tasks, 64 MB at the
+most.  A task counts ``ROUND`` cells of a row at once, and a wider sketch in
+rounds over the texts.  A corpus beyond 34 GB of text makes cells full that
+needn't be, which costs the last pass rows and changes no result.
 
 Parts that very many candidates share (a thousandth of all lookups or more, so
 a thousand at most) are looked up by a broadcast, all others by a join; longer
@@ -35,17 +38,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, materialise, slices, text_of
 
-DEPTH, BYTES_A_CELL, NARROWEST, WIDEST = 2, 32, 1 << 16, 1 << 25
+DEPTH, BYTES_A_CELL, NARROWEST, WIDEST, ROUND = 1, 64, 1 << 16, 1 << 29, 1 << 27
 #: Cells of a block of counters, bytes of text that a task works on at once, and those that it sketches in all.
 BLOCK, PORTION, TASK_BYTES = 1 << 16, 4 << 20, 1 << 30
-#: Words whose hashes a task keeps.
-MOST_HASHES = 1 << 18
+#: Words whose hashes are kept at once, and bytes that are hashed at once.
+MOST_HASHES, STRETCH = 1 << 18, 1 << 18
 #: Parts of a language that are ranked apart first.
 PARTS = 64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SPLIT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _SEPARATOR = re.compile(rb"[.,;:!?\x0A-\x0D]")
-_BREAK = 1
+_BREAK, _BASE = 1, 0xBF58476D1CE4E5B9
 
 
 def sections(text: bytes, size: int = PORTION) -> Iterator[bytes]:
@@ -82,15 +85,53 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Hashes(dict[bytes, int]):
-    """A hash a word, kept while few enough."""
+    """A hash a word, kept while few enough: one by one what ``word_hashes`` gives for a text."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MOST_HASHES:
             self.clear()
-        h = self[word] = _BREAK if word == b"\n" else max(2, xxhash.xxh64_intdigest(word))
+        h = self[word] = int(word_hashes(word)[0])
         return h
 
 
+def powers(n: int, known: list[np.ndarray] = []) -> list[np.ndarray]:
+    """Of ``_BASE`` and its inverse the powers from 0 on, ``n`` or more of each, in whole numbers of 64 bits."""
+    if not known or len(known[0]) < n:
+        known[:] = [np.full(2 * n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for p in known:
+            p[0] = 1
+            np.cumprod(p, out=p)
+    return known
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each of the ``tokens`` of a text, ``_BREAK`` for a line end, from all bytes at once.
+
+    A word's polynomial is a difference of prefix sums, divided by the power at which the word begins.
+    """
+    a = np.frombuffer(text.lower().translate(_SPLIT), np.uint8)
+    ends = a == 10
+    within = np.zeros(len(a) + 2, bool)
+    within[1:-1] = ~(ends | (a == 32))
+    first, last = np.flatnonzero(within[1:-1] & ~within[:-2]), np.flatnonzero(within[1:-1] & ~within[2:]) + 1
+    ends[first] = True
+    where = np.flatnonzero(ends)
+    out, h = np.full(len(where), _BREAK, np.uint64), np.empty(len(first), np.uint64)
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + STRETCH, "right")))
+        at, own = first[i], a[first[i] : last[j - 1]]
+        up, down = powers(max(STRETCH, len(own)))
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own + np.uint64(1)) * up[: len(own)], out=sums[1:])
+        h[i:j] = (sums[last[i:j] - at] - sums[first[i:j] - at]) * down[first[i:j] - at]
+        i = j
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_ODD[1])
+    out[a[where] != 10] = np.maximum(h ^ (h >> np.uint64(29)), 2)
+    return out
+
+
 def grams(words: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each length, the hash of the words from each place on and whether they lie within one piece."""
     with np.errstate(over="ignore"):
@@ -108,8 +149,8 @@ def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
         return ((h * np.uint64(_ODD[row])) >> np.uint64(65 - width.bit_length())).astype(np.uint32)
 
 
-def hashed(words: list[bytes], lang: str, known: Hashes) -> np.ndarray:
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+def hashed(text: bytes, lang: str) -> np.ndarray:
+    h = word_hashes(text)
     salt = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
     return np.where(h == _BREAK, h, np.maximum(h ^ salt, 2))
 
@@ -123,30 +164,59 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(docs, text_col))
 
 
-def count_into(have: np.ndarray, words: np.ndarray, longest: int, least: int) -> None:
-    """Adds the n-grams of ``words`` to a task's counters; a length at a time, since saturating sums don't depend on how they are cut."""
-    for h, ok in grams(words, longest):
+def likely(words: np.ndarray, longest: int, full: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each length the hashes and which may be frequent: their parts' cells are full, and their own where ``full`` has their length.
+
+    ``full`` has bits (a row of them a row of counters) for each length from one on, as far as they are known.
+    """
+    keep = None
+    for k, (h, ok) in enumerate(grams(words, longest), 1):
+        if keep is not None:
+            ok = ok & keep[:-1] & keep[1:]
+        if k <= len(full):
+            where = np.flatnonzero(ok)
+            for row, bits in enumerate(full[k - 1]):
+                at = cells(h[where], row, 8 * len(bits))
+                where = where[((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)]
+            ok = np.zeros(len(ok), bool)
+            ok[where] = True
+        keep = ok
+        yield h, ok
+
+
+def count_into(have: np.ndarray, words: np.ndarray, longest: int, least: int, full: list[np.ndarray] | None = None, width: int = 0, start: int = 0) -> None:
+    """Adds the n-grams of ``words`` that may be frequent, longer than those in ``full``, to a task's counters.
+
+    A length at a time, since saturating sums don't depend on how they are cut.  ``have`` may be the cells of ``width`` from ``start`` on.
+    """
+    share, full = have.shape[1], full or []
+    for k, (h, ok) in enumerate(likely(words, longest, full), 1):
+        if k <= len(full):
+            continue
         found = h[ok]
         for row in range(DEPTH):
-            at = cells(found, row, have.shape[1])
+            at = cells(found, row, width or share)
+            if width > share:
+                at = at[(at >= start) & (at < start + share)] - np.uint32(start)
             at.sort()
             first = np.flatnonzero(np.diff(at, prepend=at[:1] - np.uint32(1))) if len(at) else at
             n = np.diff(first, append=len(at))
             have[row, at[first]] = np.minimum(have[row, at[first]].astype(np.int64) + n, least)
 
 
-def sketches(texts: DataFrame, width: int, longest: int, least: int) -> DataFrame:
-    """Each task's counters by block: ``block`` (rows one after the other), ``counts``."""
-    kind = np.uint8 if least < 256 else np.uint32
+def sketches(texts: DataFrame, width: int, longest: int, least: int, full: list[np.ndarray] = [], start: int = 0) -> DataFrame:
+    """Each task's counters of the cells from ``start`` on, ``ROUND`` of a row at most, by block: ``block`` (rows one after the other), ``counts``."""
+    kind, share = np.uint8 if least < 256 else np.uint32, min(width, ROUND)
+    shared = texts.sparkSession.sparkContext.broadcast(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, have = Hashes(), np.zeros((DEPTH, width), kind)
+        have = np.zeros((DEPTH, share), kind)
         for lang, text in portions(batches):
-            words = hashed(tokens(text), lang, known)
-            count_into(have, words, longest, least)
+            count_into(have, hashed(text, lang), longest, least, shared.value, width, start)
         flat = have.reshape(-1, BLOCK)
         for i in np.flatnonzero(flat.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([flat[i].tobytes()], pa.binary())], names=["block", "counts"])
+            row, own = divmod(i, share // BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([(row * width + start) // BLOCK + own], pa.int32()), pa.array([flat[i].tobytes()], pa.binary())], names=["block", "counts"])
 
     return texts.mapInArrow(run, "block int, counts binary")
 
@@ -167,33 +237,25 @@ def full_cells(parts: DataFrame, tasks: int, least: int) -> DataFrame:
     return parts.repartition(tasks, "block").mapInArrow(run, "block int, bits binary")
 
 
-def survivors(texts: DataFrame, bits: np.ndarray, width: int, longest: int) -> DataFrame:
+def survivors(texts: DataFrame, full: list[np.ndarray], longest: int) -> DataFrame:
     """``lang, order, phrase, n``: counts, by portion, of the n-grams whose cells and whose parts' cells are full.
 
-    Order 0 (phrase empty) counts all words.  ``bits`` has a row of ``width`` bits a row of counters.
+    Order 0 (phrase empty) counts all words.  ``full`` has the bits of each length.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared = texts.sparkSession.sparkContext.broadcast(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for lang, text in portions(batches):
-            listed = tokens(text)
-            words = hashed(listed, lang, known)
+            listed, words = tokens(text), hashed(text, lang)
             number: dict[bytes, int] = {}
             exact = np.fromiter((number.setdefault(w, len(number)) for w in listed), np.int64, len(listed))
             orders, phrases, counts = [0], [b""], [int((words != _BREAK).sum())]
-            keep = same = None
-            for k, (h, ok) in enumerate(grams(words, longest), 1):
-                for row in range(DEPTH):
-                    at = cells(h, row, width)
-                    ok = ok & ((shared.value[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                key = exact
-                if k > 1:
-                    ok = ok & keep[:-1] & keep[1:]
-                    key = (same[:-1] << 32) | exact[k - 1 :]
+            same = None
+            for k, (_, ok) in enumerate(likely(words, longest, shared.value), 1):
+                key = exact if k == 1 else (same[:-1] << 32) | exact[k - 1 :]
                 where = np.flatnonzero(ok)
                 _, first, ids, n = np.unique(key[where], return_index=True, return_inverse=True, return_counts=True)
-                keep, same = ok, np.zeros(len(ok), np.int64)
+                same = np.zeros(len(ok), np.int64)
                 same[where] = ids
                 orders += [k] * len(first)
                 phrases += [b" ".join(listed[i : i + k]) for i in where[first].tolist()]
@@ -213,11 +275,16 @@ def counted(docs: DataFrame, scratch: Scratch, least: int, longest: int, lang_co
     width = width or width_for(n_bytes)
     # Few tasks with much text each, since their counters are what is shuffled, but no more than TASK_BYTES.
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
-    full = full_cells(sketches(texts.coalesce(tasks), width, longest, least), tasks, least)
-    bits = np.zeros((DEPTH, width // 8), np.uint8)
-    for row in scratch.materialise(full, "full-cells").collect():  # a bit a cell: bounded by WIDEST
-        bits.reshape(-1, BLOCK // 8)[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    found = survivors(texts, bits, width, longest)
+    full: list[np.ndarray] = []
+    for k in range(2, longest + 1):
+        bits = np.zeros((DEPTH, width // 8), np.uint8)
+        for start in range(0, width, ROUND):
+            sums = full_cells(sketches(texts.coalesce(tasks), width, k, least, full, start), tasks, least)
+            for row in scratch.materialise(sums, "full-cells").collect():  # a bit a cell: bounded by WIDEST
+                bits.reshape(-1, BLOCK // 8)[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        # Words and pairs have one sketch.
+        full = full + [bits] if full else [bits, bits]
+    found = survivors(texts, full, longest)
     sums = found.groupBy("lang", "order", "phrase").agg(F.sum("n").alias("n"))
     return scratch.materialise(sums.filter((F.col("order") == 0) | (F.col("n") >= least)), "phrases")
 
